@@ -77,16 +77,21 @@ STEPS: dict[str, str] = {
     "packets": _PACKETS.replace("{K}", "json_extract_string(props, '$.k')").replace("{EVENTS}", "events"),
 }
 
+def _rounded(c: Column, scale: float) -> Column:
+    """Rounding in plain double arithmetic, the same steps in both engines."""
+    return F.floor(c.cast("double") * scale + 0.5).cast("double") / scale
+
+
 _SPARK_KIND: dict[str, Callable[[Column], Column]] = {
     "s": lambda c: c.cast("string"),
     "i": lambda c: c.cast("bigint"),
-    "f": lambda c: F.round(c.cast("double"), 6) + F.lit(0.0),
-    "g": lambda c: F.round(c.cast("double"), 2) + F.lit(0.0),
+    "f": lambda c: _rounded(c, 1e6),
+    "g": lambda c: _rounded(c, 1e2),
     "t": lambda c: F.unix_micros(c),
 }
 _DUCK_KIND = {
-    "s": "CAST({0} AS VARCHAR)", "i": "CAST({0} AS BIGINT)", "f": "round(CAST({0} AS DOUBLE), 6) + 0.0",
-    "g": "round(CAST({0} AS DOUBLE), 2) + 0.0", "t": "epoch_us({0})",
+    "s": "CAST({0} AS VARCHAR)", "i": "CAST({0} AS BIGINT)", "f": "floor(CAST({0} AS DOUBLE) * 1e6 + 0.5) / 1e6 + 0.0",
+    "g": "floor(CAST({0} AS DOUBLE) * 1e2 + 0.5) / 1e2 + 0.0", "t": "epoch_us({0})",
 }
 
 

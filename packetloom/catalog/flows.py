@@ -13,7 +13,7 @@ _KEY = "src_ip, dst_ip, src_port, dst_port, protocol"
 _PACKET = "frame_no src_ip:s dst_ip:s src_port dst_port protocol:s"
 
 STEPS["gaps"] = f"""SELECT *, coalesce(epoch_us(timestamp) - lag(epoch_us(timestamp))
-    OVER (PARTITION BY {_KEY} ORDER BY timestamp, frame_no), 0) / 1e6 AS gap FROM keyed"""
+    OVER (PARTITION BY {_KEY} ORDER BY timestamp, frame_no), 0) AS gap_us, gap_us / 1e6 AS gap FROM keyed"""
 STEPS["flows"] = f"""SELECT *, flow_pkt_count / (flow_duration_seconds + 1e-6) AS flow_pkts_per_sec,
     flow_byte_count / (flow_duration_seconds + 1e-6) AS flow_bytes_per_sec,
     flow_byte_count / flow_pkt_count AS flow_bytes_per_packet,
@@ -24,8 +24,8 @@ STEPS["flows"] = f"""SELECT *, flow_pkt_count / (flow_duration_seconds + 1e-6) A
   FROM (SELECT {_KEY}, any_value(flow_key) AS flow_key, any_value(session_key) AS session_key, any_value(direction) AS direction,
     count(frame_len) AS flow_pkt_count, sum(frame_len) AS flow_byte_count, avg(frame_len) AS flow_mean_pkt_size,
     stddev_samp(frame_len) AS flow_std_pkt_size, min(timestamp) AS flow_start_time, max(timestamp) AS flow_end_time,
-    avg(gap) AS flow_inter_arrival_time_mean, stddev_samp(gap) AS flow_inter_arrival_time_stddev,
-    max(gap) AS flow_inter_arrival_time_max, (epoch_us(max(timestamp)) - epoch_us(min(timestamp))) / 1e6 AS flow_duration_seconds,
+    avg(gap_us) / 1e6 AS flow_inter_arrival_time_mean, stddev_samp(gap_us) / 1e6 AS flow_inter_arrival_time_stddev,
+    max(gap_us) / 1e6 AS flow_inter_arrival_time_max, (epoch_us(max(timestamp)) - epoch_us(min(timestamp))) / 1e6 AS flow_duration_seconds,
     sum(http_rsp_success) AS http_rsp_success_sum, sum(http_rsp_redirect) AS http_rsp_redirect_sum,
     sum(http_rsp_client_error) AS http_rsp_client_error_sum, sum(http_rsp_server_error) AS http_rsp_server_error_sum
     FROM gaps GROUP BY {_KEY})"""

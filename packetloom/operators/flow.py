@@ -19,11 +19,15 @@ def complete_flows(df: DataFrame) -> DataFrame:
     return df.na.drop(subset=list(FLOW_KEY))
 
 
+def _gap_us(df: DataFrame, width: str | int) -> DataFrame:
+    us = F.unix_micros("timestamp")
+    prev = previous_value(df, FLOW_KEY, us, "__prev", width)
+    return prev.withColumn("__gap_us", F.coalesce(us - F.col("__prev"), F.lit(0))).drop("__prev")
+
+
 def flow_gaps(df: DataFrame, width: str | int = DEFAULT_SLICE, out: str = "inter_arrival_time") -> DataFrame:
     """Seconds since the previous packet of the same flow; 0 for the first one."""
-    prev = previous_value(df, FLOW_KEY, F.col("timestamp"), "__prev", width)
-    gap = F.coalesce(seconds_between(F.col("timestamp"), F.col("__prev")), F.lit(0.0))
-    return prev.withColumn(out, gap).drop("__prev")
+    return _gap_us(df, width).withColumn(out, F.col("__gap_us") / 1e6).drop("__gap_us")
 
 
 def flow_table(df: DataFrame, width: str | int = DEFAULT_SLICE) -> DataFrame:
@@ -33,16 +37,16 @@ def flow_table(df: DataFrame, width: str | int = DEFAULT_SLICE) -> DataFrame:
     """
     classes = [c for c in HTTP_CLASSES if c in df.columns]
     packets = complete_flows(df).select(*FLOW_KEY, *PACKET_ORDER, "frame_len", *classes)
-    flows = flow_gaps(packets, width).groupBy(*FLOW_KEY).agg(
+    flows = _gap_us(packets, width).groupBy(*FLOW_KEY).agg(
         F.count("frame_len").alias("flow_pkt_count"),
         F.sum("frame_len").alias("flow_byte_count"),
         F.avg("frame_len").alias("flow_mean_pkt_size"),
         F.stddev_samp("frame_len").alias("flow_std_pkt_size"),
         F.min("timestamp").alias("flow_start_time"),
         F.max("timestamp").alias("flow_end_time"),
-        F.avg("inter_arrival_time").alias("flow_inter_arrival_time_mean"),
-        F.stddev_samp("inter_arrival_time").alias("flow_inter_arrival_time_stddev"),
-        F.max("inter_arrival_time").alias("flow_inter_arrival_time_max"),
+        (F.avg("__gap_us") / 1e6).alias("flow_inter_arrival_time_mean"),
+        (F.stddev_samp("__gap_us") / 1e6).alias("flow_inter_arrival_time_stddev"),
+        (F.max("__gap_us") / 1e6).alias("flow_inter_arrival_time_max"),
         *[F.sum(c).alias(f"{c}_sum") for c in classes],
     )
     return flows.withColumn(
