@@ -129,26 +129,31 @@ def range_window(
     )
 
 
+def attach_by_slot(df: DataFrame, features: DataFrame, keys: Sequence[str], slot: Column) -> DataFrame:
+    """Left join of per-key ``features`` onto rows, shuffled on ``(key, slot)``; NULL keys match nothing.
+
+    The features are first joined to the distinct ``(key, slot)`` pairs, so a hot key is spread over as many
+    tasks as it has slots.
+    """
+    left = df.withColumn(_SLICE, F.coalesce(slot, F.lit(-1)))
+    slots = left.select(*keys, _SLICE).where(_present(keys)).distinct()
+    return (
+        left.join(slots.join(features, list(keys)), [*keys, _SLICE], "left")
+        .select(*df.columns, *[c for c in features.columns if c not in keys])
+    )
+
+
 def merge_back(
     df: DataFrame, features: DataFrame, keys: Sequence[str],
     width: str | int | None = DEFAULT_SLICE, ts: str = "timestamp",
 ) -> DataFrame:
-    """Left join of per-key ``features`` onto rows; NULL keys match nothing.
+    """Attach per-key features to rows, with the time slice as the slot.
 
-    The features are first attached to the distinct ``(key, slice)`` pairs, so the row side is
-    shuffled on ``(key, slice)`` and a hot key is spread over as many tasks as it has slices.
     ``width=None`` joins on the keys alone: for keys that already hold a narrow time window.
     """
     if width is None:
         return df.join(features, list(keys), "left")
-    left = sliced(df, width, ts)
-    slots = left.select(*keys, _SLICE).where(_present(keys)).distinct()
-    spread = slots.join(features, list(keys)).withColumn(_SLICE, F.coalesce(_SLICE, F.lit(-1)))
-    return (
-        left.withColumn(_SLICE, F.coalesce(_SLICE, F.lit(-1)))
-        .join(spread, [*keys, _SLICE], "left")
-        .select(*df.columns, *[c for c in features.columns if c not in keys])
-    )
+    return attach_by_slot(df, features, keys, floor_us(F.unix_micros(ts), width))
 
 
 def gap_sessions(
