@@ -12,6 +12,7 @@ from packetloom.operators import flow, host, profile, scalar, sequence
 from packetloom.operators.clean import fill_zero
 from packetloom.operators.compare import label_by_threshold
 from packetloom.schema import MODEL_FEATURES
+from packetloom.session import settled
 
 _BAND = (0.7, 0.5, 0.6)
 
@@ -46,7 +47,7 @@ def _(spark, sf):
 def training_rows(spark, sf):
     df = scalar.packet_features(packets(spark, sf))
     df = host.with_host_features(flow.with_flow_features(df, SLICE), WINDOW, SLICE)
-    return fill_zero(df.select("frame_no", "src_ip", *MODEL_FEATURES))
+    return settled(fill_zero(df.select("frame_no", "src_ip", *MODEL_FEATURES)))
 
 
 def _forest(rows, **options):

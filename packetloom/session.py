@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app_name: str = "packetloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -41,3 +41,11 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, for one written table or one stream checkpoint."""
     return f"{shared_dir(spark).rstrip('/')}/packetloom/{uuid.uuid4().hex}/{name}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The rows written once to the shared folder, so later passes read them instead of working them out again."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
