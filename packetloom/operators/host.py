@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from packetloom.functions.entropy import count_entropy
 from packetloom.functions.timing import floor_time, seconds_between, width_us
@@ -14,9 +14,6 @@ from packetloom.operators.slices import DEFAULT_SLICE, forward_fill, merge_back,
 REQUIRED = ["timestamp", "src_ip", "dst_ip", "frame_len"]
 DEFAULT_WINDOW = "1 second"
 
-# A source has one row per window, so a slice of this many windows is a small group.
-_WINDOWS_PER_SLICE = 3_600
-
 
 def _windowed(df: DataFrame, ip: str, window: str) -> DataFrame:
     return (
@@ -57,18 +54,17 @@ def src_host_windows(df: DataFrame, window: str = DEFAULT_WINDOW, rsd: float | N
             packets, keys, "dst_port", "src_host_dst_port_entropy_win", "src_host_distinct_dst_ports_win"
         )
         hosts = hosts.join(ports, keys)
-    return _frequency_change(hosts, window)
+    return _frequency_change(hosts)
+
 
+def _frequency_change(hosts: DataFrame) -> DataFrame:
+    """Change in distinct peers against the source's previous observed window; 0 for the first.
 
-def _frequency_change(hosts: DataFrame, window: str) -> DataFrame:
-    """Change in distinct peers against the source's previous observed window; 0 for the first."""
+    A source has one row per window here, so even the busiest one is a small group.
+    """
     peers = F.col("src_host_distinct_dst_ips_win")
-    prev = previous_value(
-        hosts, ["src_ip"], peers, "__prev", width_us(window) * _WINDOWS_PER_SLICE, "time_window", ["time_window"]
-    )
-    return prev.withColumn(
-        "src_host_session_freq_change_win", F.coalesce(peers - F.col("__prev"), F.lit(0))
-    ).drop("__prev")
+    before = F.lag(peers).over(Window.partitionBy("src_ip").orderBy("time_window"))
+    return hosts.withColumn("src_host_session_freq_change_win", F.coalesce(peers - before, F.lit(0)))
 
 
 def dst_host_windows(df: DataFrame, window: str = DEFAULT_WINDOW, rsd: float | None = None) -> DataFrame:
@@ -79,14 +75,15 @@ def dst_host_windows(df: DataFrame, window: str = DEFAULT_WINDOW, rsd: float | N
     )
 
 
-def _attach(df: DataFrame, hosts: DataFrame, ip: str, window: str, width: str | int) -> DataFrame:
+def _attach(df: DataFrame, hosts: DataFrame, ip: str, window: str, width: str | int, source: DataFrame) -> DataFrame:
     narrow = width_us(window) <= width_us(width)
-    marked = df.withColumn("time_window", floor_time(F.col("timestamp"), window))
-    return merge_back(marked, hosts, [ip, "time_window"], None if narrow else width).drop("time_window")
+    marked, again = (d.withColumn("time_window", floor_time(F.col("timestamp"), window)) for d in (df, source))
+    return merge_back(marked, hosts, [ip, "time_window"], None if narrow else width, source=again).drop("time_window")
 
 
 def with_host_features(
     df: DataFrame, window: str = DEFAULT_WINDOW, width: str | int = DEFAULT_SLICE, fill: str = "zero",
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Source and destination window features on every packet.
 
@@ -95,17 +92,18 @@ def with_host_features(
     """
     if not has_columns(df, REQUIRED, "with_host_features"):
         return df
-    src, dst = src_host_windows(df, window), dst_host_windows(df, window)
-    out = _attach(_attach(df, src, "src_ip", window, width), dst, "dst_ip", window, width)
+    source = df if source is None else source
+    src, dst = src_host_windows(source, window), dst_host_windows(source, window)
+    out = _attach(_attach(df, src, "src_ip", window, width, source), dst, "dst_ip", window, width, source)
     added = [c for c in out.columns if c not in df.columns]
     if fill == "forward":
         out = forward_fill(out, ["src_ip"], added, width)
     return out.na.fill(0, subset=added)
 
 
-def with_pair_gaps(df: DataFrame, width: str | int = DEFAULT_SLICE) -> DataFrame:
+def with_pair_gaps(df: DataFrame, width: str | int = DEFAULT_SLICE, source: DataFrame | None = None) -> DataFrame:
     """``inter_arrival_time``: seconds since the previous packet of the same (src, dst); NULL for the first."""
-    prev = previous_value(df, ["src_ip", "dst_ip"], F.col("timestamp"), "__prev", width)
+    prev = previous_value(df, ["src_ip", "dst_ip"], F.col("timestamp"), "__prev", width, source=source)
     return prev.withColumn("inter_arrival_time", seconds_between(F.col("timestamp"), F.col("__prev"))).drop("__prev")
 
 

@@ -48,7 +48,7 @@ def compare_with_history(
     session_id = ["client_ip", "timestamp", "frame_no"]
     out = previous_value(sessions, ["client_ip"], F.col("timestamp"), "__last", width)
     first_seen = sessions.groupBy("client_ip").agg(F.min("timestamp").alias("__first"))
-    out = merge_back(out, first_seen, ["client_ip"], width)
+    out = merge_back(out, first_seen, ["client_ip"], width, source=sessions)
     flags = {"uri": "is_new_uri_for_ip", "user_agent": "is_new_user_agent_for_ip"}
     for value, name in flags.items():
         out = out.join(_first_use(sessions, value, name), session_id, "left")

@@ -58,6 +58,7 @@ def handshake_rtt(
 
 def with_ack_rtt(
     df: DataFrame, timeout: str | int = "60 seconds", direction: str = "same", width: str | int = DEFAULT_SLICE,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """``rtt_ack_ms`` per packet: time to the last packet that acknowledges exactly its last byte.
 
@@ -65,19 +66,21 @@ def with_ack_rtt(
     packet, so rows never multiply.
     """
     tcp = F.col("protocol") == "TCP"
-    keyed = with_flow_key(df)
+    length = F.greatest(F.lit(1), F.coalesce(F.col("ip_len"), F.lit(0)) - 40)
+
+    def expecting(rows: DataFrame) -> DataFrame:
+        return with_flow_key(rows).withColumns({
+            "__key": F.when(tcp, F.col("flow_key")), "__expected": F.when(tcp, F.col("tcp_seq") + length),
+        })
+
+    source = df if source is None else source
     acks = (
-        keyed.where(tcp & (F.col("tcp_flags").bitwiseAND(ACK) != 0))
+        with_flow_key(source).where(tcp & (F.col("tcp_flags").bitwiseAND(ACK) != 0))
         .withColumn("__key", F.col("flow_key") if direction == "same" else reverse_flow_key())
         .groupBy("__key", F.col("tcp_ack").alias("__expected"))
         .agg(F.max("timestamp").alias("__acked"))
     )
-    length = F.greatest(F.lit(1), F.coalesce(F.col("ip_len"), F.lit(0)) - 40)
-    rows = keyed.withColumns({
-        "__key": F.when(tcp, F.col("flow_key")),
-        "__expected": F.when(tcp, F.col("tcp_seq") + length),
-    })
-    matched = merge_back(rows, acks, ["__key", "__expected"], width)
+    matched = merge_back(expecting(df), acks, ["__key", "__expected"], width, source=expecting(source))
     ms = (F.unix_micros("__acked") - F.unix_micros("timestamp")) / 1000.0
     return matched.withColumn("rtt_ack_ms", _within(ms, timeout)).drop("__key", "__expected", "__acked")
 
@@ -90,7 +93,7 @@ def mean_of_present(a: Column, b: Column) -> Column:
 def _samples(df: DataFrame, timeout, local_networks, direction, width) -> DataFrame:
     """Packets with ``rtt_ack_ms``, plus each flow's handshake time as ``rtt_ms``."""
     shakes = handshake_rtt(df, timeout, local_networks, width=width)
-    return merge_back(with_ack_rtt(df, timeout, direction, width), shakes, ["flow_key"], width)
+    return merge_back(with_ack_rtt(df, timeout, direction, width), shakes, ["flow_key"], width, source=with_flow_key(df))
 
 
 def rtt_table(
@@ -123,4 +126,4 @@ def with_rtt_features(
     narrow = ["timestamp", "frame_no", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "tcp_flags", "tcp_seq",
               "tcp_ack", "ip_len"]
     stats = rtt_table(df.select(*[c for c in narrow if c in df.columns]), timeout, local_networks, direction, width)
-    return merge_back(samples, stats, ["flow_key"], width)
+    return merge_back(samples, stats, ["flow_key"], width, source=with_flow_key(df))

@@ -4,6 +4,10 @@ A plain window over ``partitionBy(key)`` puts all rows of a key into one task. H
 epoch-aligned time slices. Windows run inside ``(key, slice)``; what must cross a slice edge travels as one
 small row per ``(key, slice)``. The same cut is used to attach per-key results to rows, so a join
 on a hot key is spread as well. Results do not depend on the slice width; only the size of the groups does.
+
+Steps that read their rows twice take a ``source``: a table with the same rows to read the second time. A chain of
+steps over one written table then grows by a few scans per step, where reading the chain itself twice
+at each step would double the plan every time.
 """
 
 from __future__ import annotations
@@ -34,13 +38,15 @@ def _present(keys: Sequence[str]) -> Column:
 def previous_value(
     df: DataFrame, keys: Sequence[str], value: Column, out: str,
     width: str | int = DEFAULT_SLICE, ts: str = "timestamp", order: Sequence[str] = PACKET_ORDER,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """``lag(value)`` over each key in time order. Rows with a NULL key or time get NULL."""
     s = sliced(df.withColumn("__value", value), width, ts)
+    again = s if source is None else sliced(source.withColumn("__value", value), width, ts)
     inside = Window.partitionBy(*keys, _SLICE).orderBy(*order)
     rows = s.withColumns({out: F.lag("__value").over(inside), "__rn": F.row_number().over(inside)})
     tails = (
-        s.where(_present([*keys, _SLICE])).groupBy(*keys, _SLICE)
+        again.where(_present([*keys, _SLICE])).groupBy(*keys, _SLICE)
         .agg(F.max_by("__value", F.struct(*order)).alias("__tail"))
         .withColumn("__carry", F.lag("__tail").over(Window.partitionBy(*keys).orderBy(_SLICE)))
         .drop("__tail")
@@ -129,14 +135,17 @@ def range_window(
     )
 
 
-def attach_by_slot(df: DataFrame, features: DataFrame, keys: Sequence[str], slot: Column) -> DataFrame:
+def attach_by_slot(
+    df: DataFrame, features: DataFrame, keys: Sequence[str], slot: Column, source: DataFrame | None = None,
+) -> DataFrame:
     """Left join of per-key ``features`` onto rows, shuffled on ``(key, slot)``; NULL keys match nothing.
 
     The features are first joined to the distinct ``(key, slot)`` pairs, so a hot key is spread over as many
     tasks as it has slots.
     """
     left = df.withColumn(_SLICE, F.coalesce(slot, F.lit(-1)))
-    slots = left.select(*keys, _SLICE).where(_present(keys)).distinct()
+    again = left if source is None else source.withColumn(_SLICE, F.coalesce(slot, F.lit(-1)))
+    slots = again.select(*keys, _SLICE).where(_present(keys)).distinct()
     return (
         left.join(slots.join(features, list(keys)), [*keys, _SLICE], "left")
         .select(*df.columns, *[c for c in features.columns if c not in keys])
@@ -145,7 +154,7 @@ def attach_by_slot(df: DataFrame, features: DataFrame, keys: Sequence[str], slot
 
 def merge_back(
     df: DataFrame, features: DataFrame, keys: Sequence[str],
-    width: str | int | None = DEFAULT_SLICE, ts: str = "timestamp",
+    width: str | int | None = DEFAULT_SLICE, ts: str = "timestamp", source: DataFrame | None = None,
 ) -> DataFrame:
     """Attach per-key features to rows, with the time slice as the slot.
 
@@ -153,7 +162,7 @@ def merge_back(
     """
     if width is None:
         return df.join(features, list(keys), "left")
-    return attach_by_slot(df, features, keys, floor_us(F.unix_micros(ts), width))
+    return attach_by_slot(df, features, keys, floor_us(F.unix_micros(ts), width), source)
 
 
 def gap_sessions(

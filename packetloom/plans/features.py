@@ -13,6 +13,7 @@ from packetloom.operators.scalar import calendar_features
 from packetloom.operators.slices import DEFAULT_SLICE, merge_back
 from packetloom.plans.registry import group_steps, scalar_steps
 from packetloom.schema import FLOW_KEY
+from packetloom.session import settled
 
 # Texts that only feed per-packet features; dropped before rows are shuffled.
 BULKY = ("payload", "http_cookie", "http_authorization", "http_referer")
@@ -35,6 +36,7 @@ class FeatureOptions:
 def build_features(df: DataFrame, options: FeatureOptions | None = None) -> DataFrame:
     """Every packet with its packet, flow, session, RTT, host and time features.
 
+    The per-packet features are written once as a narrow table; all groupings read only the columns they need from it.
     Flow, session and RTT statistics meet in the small flow table and reach the packets in one join on
     (5-tuple, slice). With sessions on, packets without a complete 5-tuple are dropped.
     """
@@ -45,32 +47,43 @@ def build_features(df: DataFrame, options: FeatureOptions | None = None) -> Data
         df = enrich.attach(df, enricher(enrich.unique_ips(df)), o.slice_width)
     for step in scalar_steps(o.steps):
         df = step(df)
+    if "temporal" in groups:
+        df = calendar_features(df)
     df = df.drop(*BULKY)
+    if groups:
+        df = _with_group_features(settled(df), groups, o)
+    if not o.quality_control:
+        return df
+    # The caps need their own pass over the finished rows, so those are written once as well.
+    return clean.clip_outliers(settled(clean.fill_zero(df)), o.clip_quantile)
+
+
+def _with_group_features(base: DataFrame, groups: set[str], o: FeatureOptions) -> DataFrame:
+    out = base
     if "host" in groups:
-        df = host.with_host_features(df, o.host_window, o.slice_width)
+        out = host.with_host_features(out, o.host_window, o.slice_width, source=base)
     if "session" in groups:
-        df = session.with_session_key(df, o.local_networks)
+        out, base = (session.with_session_key(d, o.local_networks) for d in (out, base))
     if groups & {"flow", "session", "rtt"}:
-        df = _with_flow_level(df, groups, o)
+        out = _with_flow_level(out, base, groups, o)
     if "temporal" in groups:
-        df = host.with_pair_gaps(df, o.slice_width)
-        df = calendar_features(host.trailing_counts(df, o.trailing, o.slice_width))
-    return clean.clean_features(df, o.clip_quantile) if o.quality_control else df
+        out = host.with_pair_gaps(out, o.slice_width, source=base)
+        out = host.trailing_counts(out, o.trailing, o.slice_width)
+    return out
 
 
-def _with_flow_level(df: DataFrame, groups: set[str], o: FeatureOptions) -> DataFrame:
-    rtt_inputs = [c for c in (*rtt.REQUIRED, "frame_no", "ip_len") if c in df.columns]
-    flows = flow.flow_table(df, o.slice_width)
-    if "rtt" in groups and set(rtt.REQUIRED) <= set(df.columns):
-        packets = df.select(*rtt_inputs)
-        stats = rtt.rtt_table(packets, o.rtt_timeout, o.local_networks, width=o.slice_width)
-        shakes = rtt.handshake_rtt(packets, o.rtt_timeout, o.local_networks)
+def _with_flow_level(df: DataFrame, base: DataFrame, groups: set[str], o: FeatureOptions) -> DataFrame:
+    flows = flow.flow_table(base, o.slice_width)
+    with_rtt = "rtt" in groups and set(rtt.REQUIRED) <= set(base.columns)
+    if with_rtt:
+        stats = rtt.rtt_table(base, o.rtt_timeout, o.local_networks, width=o.slice_width)
+        shakes = rtt.handshake_rtt(base, o.rtt_timeout, o.local_networks)
         flows = rtt.with_flow_key(flows).join(stats, "flow_key", "left").join(shakes, "flow_key", "left").drop("flow_key")
-        df = rtt.with_ack_rtt(df, o.rtt_timeout, width=o.slice_width)
+        df = rtt.with_ack_rtt(df, o.rtt_timeout, width=o.slice_width, source=base)
     if "session" in groups:
-        sessions = session.session_table(df, o.local_networks)
+        sessions = session.session_table(base, o.local_networks)
         flows = flows.withColumn("session_key", session_key()).join(sessions, "session_key").drop("session_key")
-    out = merge_back(df, flows, FLOW_KEY, o.slice_width)
-    if "rtt_ms" in out.columns:
+    out = merge_back(df, flows, FLOW_KEY, o.slice_width, source=base)
+    if with_rtt:
         out = out.withColumn("rtt_combined_ms", rtt.mean_of_present(F.col("rtt_ms"), F.col("rtt_ack_ms")))
     return out
