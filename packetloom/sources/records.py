@@ -72,10 +72,12 @@ def read_records(spark: SparkSession, paths: str | Sequence[str], fmt: str, on_m
         return canonical(known)
     if on_malformed == "raise":
         return canonical(known)
-    good = canonical(known.where(F.col(CORRUPT).isNull()))
+    # Always true, but it names every field: a row must not count as sound because a query left its bad field out.
+    whole = F.xxhash64(*PACKET_SCHEMA.fieldNames()) >= F.lit(-(2**63))
+    good = canonical(known.where(F.col(CORRUPT).isNull() & whole))
     if on_malformed == "skip":
         return good
-    bad = known.where(F.col(CORRUPT).isNotNull()).select("file_path", CORRUPT)
+    bad = known.where(F.col(CORRUPT).isNotNull() & whole).select("file_path", CORRUPT)
     return good.withColumn(CORRUPT, F.lit(None).cast("string")).unionByName(bad, allowMissingColumns=True)
 
 
