@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from packetloom.catalog.base import SLICE, STEPS, packets, query
 from packetloom.catalog.scalar import ip_number
-from packetloom.operators import detectors, enrich, profile, sequence
+from packetloom.operators import detectors, enrich, host, profile, sequence
 from packetloom.operators.slices import gap_sessions
 
 # A small network table: overlapping blocks, one wider than a /16 (fixed values).
@@ -222,14 +222,12 @@ def _(spark, sf):
 
 
 @query(
-    "session_gap_window", "src_ip:s packets first_time:t",
-    "SELECT src_ip, count(*) AS packets, min(timestamp) AS first_time FROM bursts GROUP BY src_ip, session_no", "packets bursts",
+    "session_gap_window", "src_ip:s burst_start:t burst_end:t packets bytes",
+    """SELECT src_ip, min(timestamp) AS burst_start, max(timestamp) + INTERVAL 6 HOUR AS burst_end, count(*) AS packets,
+       sum(frame_len) AS bytes FROM bursts GROUP BY src_ip, session_no""", "packets bursts",
 )
 def _(spark, sf):
-    # The declarative form; it sorts one key in one task, so bursts above is the form for hot sources.
-    return packets(spark, sf).groupBy("src_ip", F.session_window("timestamp", "6 hours").alias("w")).agg(
-        F.count(F.lit(1)).alias("packets"), F.min("timestamp").alias("first_time")
-    )
+    return host.activity_bursts(packets(spark, sf), "6 hours", width=SLICE)
 
 
 # ---- sequences ----

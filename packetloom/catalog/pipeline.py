@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from packetloom.catalog.base import RTT_TIMEOUT, SLICE, STEPS, WINDOW, packets, query, table
+from packetloom.catalog.clients import client_sessions
 from packetloom.catalog.flows import FLOW_STEPS, RTT_STEPS
 from packetloom.plans import detect, features
 from packetloom.session import settled
@@ -67,3 +68,13 @@ def _(spark, sf):
         F.col("event_type").alias("uri"), F.col("props").alias("user_agent"), F.col("user_id").alias("tcp_seq"),
     )
     return canonical(raw)
+
+
+@query(
+    "model_hold_out", "rows distinct_rows",
+    "SELECT count(*) AS rows, count(*) AS distinct_rows FROM csessions", "packets csessions",
+)
+def _(spark, sf):
+    train, test = detect.hold_out(client_sessions(spark, sf), 0.3)
+    both = train.select("client_ip", "frame_no").unionByName(test.select("client_ip", "frame_no"))
+    return both.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("client_ip", "frame_no").alias("distinct_rows"))

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from packetloom.functions.entropy import count_entropy
 from packetloom.functions.timing import floor_time, seconds_between, width_us
 from packetloom.operators.guard import has_columns
-from packetloom.operators.slices import DEFAULT_SLICE, forward_fill, merge_back, previous_value, range_window
+from packetloom.operators.slices import (
+    DEFAULT_SLICE, forward_fill, gap_sessions, merge_back, previous_value, range_window,
+)
 
 REQUIRED = ["timestamp", "src_ip", "dst_ip", "frame_len"]
 DEFAULT_WINDOW = "1 second"
@@ -127,6 +129,15 @@ def sliding_src_windows(df: DataFrame, window: str, slide: str) -> DataFrame:
     )
 
 
+def activity_bursts(df: DataFrame, gap: str, key: str = "src_ip", width: str | int = DEFAULT_SLICE) -> DataFrame:
+    """What ``F.session_window(timestamp, gap)`` gives per source, without sorting a source in one task."""
+    numbered = gap_sessions(df, [key], gap, "__burst", width)
+    return numbered.groupBy(key, "__burst").agg(
+        F.min("timestamp").alias("burst_start"), F.max("timestamp").alias("__last"),
+        F.count("frame_len").alias("packets"), F.sum("frame_len").alias("bytes"),
+    ).select(key, "burst_start", F.timestamp_micros(F.unix_micros("__last") + width_us(gap)).alias("burst_end"), "packets", "bytes")
+
+
 def time_chunks(df: DataFrame, chunk: str = "300 seconds") -> DataFrame:
     """Rows and bytes per ingestion chunk."""
     return df.groupBy(F.window("timestamp", chunk).alias("w")).agg(

@@ -40,6 +40,15 @@ def session_vectors(features: DataFrame, run: str | None = None) -> DataFrame:
     ).select("client_ip", *(["run_start"] if run else []), "r.*", "total_bytes", "packets")
 
 
+def hold_out(vectors: DataFrame, share: float = 0.2, row_key: Sequence[str] = ("client_ip", "frame_no"), min_samples: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(training rows, test rows), split by a hash of the row, so a row always falls on the same side."""
+    n = vectors.count()
+    if n < min_samples:
+        raise ValueError(f"{n} rows, at least {min_samples} are needed to train")
+    held = F.pmod(F.xxhash64(*row_key), F.lit(10_000)) < int(share * 10_000)
+    return vectors.where(~held), vectors.where(held)
+
+
 def train(
     vectors: DataFrame, features: Sequence[str] = MODEL_FEATURES, contamination: float | str = "auto",
     length: int | None = None, encoding_dim: int = 32, row_key: Sequence[str] = ("client_ip", "frame_no"), **forest_options,

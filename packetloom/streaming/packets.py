@@ -42,6 +42,13 @@ def dst_host_stream(df: DataFrame, window: str = "1 second", rsd: float = 0.01)
     ).select("dst_ip", F.col("w.start").alias("time_window"), "dst_host_pkt_count_win", "dst_host_byte_count_win", "dst_host_distinct_src_ips_win")
 
 
+def burst_stream(df: DataFrame, gap: str = "10 minutes") -> DataFrame:
+    """Activity bursts per source on a watermarked stream; a burst is emitted once its gap has passed."""
+    return df.where(F.col("src_ip").isNotNull()).groupBy("src_ip", F.session_window("timestamp", gap).alias("w")).agg(
+        F.count("frame_len").alias("packets"), F.sum("frame_len").alias("bytes"),
+    ).select("src_ip", F.col("w.start").alias("burst_start"), F.col("w.end").alias("burst_end"), "packets", "bytes")
+
+
 def client_session_stream(df: DataFrame, run: str = "5 minutes") -> DataFrame:
     """One row per source and run, closed by the watermark: what the stateful steps read instead of packets."""
     head = F.struct("timestamp", "frame_no", F.col("http_request_uri").alias("uri"), F.col("http_user_agent").alias("user_agent"))

@@ -41,6 +41,16 @@ def test_registered_step(spark):
         registry.register("dns", lambda df: df)
 
 
+def test_hold_out(spark):
+    df = spark.range(5000).selectExpr("cast(id % 7 AS string) AS client_ip", "id AS frame_no")
+    train, test = detect.hold_out(df, 0.2)
+    again = detect.hold_out(df.repartition(9), 0.2)[1]
+    assert 800 < test.count() < 1200 and train.count() + test.count() == 5000
+    assert test.exceptAll(again).count() == 0
+    with pytest.raises(ValueError):
+        detect.hold_out(df, min_samples=10_000)
+
+
 def test_detection_and_report(spark, built, tmp_path):
     vectors = detect.session_vectors(built, "5 days").persist()
     models = detect.train(vectors, contamination=0.1, length=3, encoding_dim=6, trees=25)

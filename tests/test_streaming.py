@@ -74,6 +74,18 @@ def test_host_windows(spark, landing):
     _same(dst.where(closed), host.dst_host_windows(batch, "1 minute").select(*dst.columns).where(closed))
 
 
+def test_bursts(spark, landing):
+    tmp_path, batch = landing
+    thin = batch.where("frame_no % 40 < 20")
+    thin.coalesce(1).write.parquet(str(tmp_path / "thin"))
+    stream = packets.on_time(packets.packet_stream(spark, str(tmp_path / "thin")), "1 second")
+    got = _run(packets.burst_stream(stream, "1 minute"), tmp_path, "bursts")
+    expected = host.activity_bursts(thin, "1 minute")
+    closed = F.col("burst_end") < F.lit(T0 + timedelta(seconds=1500))
+    assert expected.where(closed).count() > 10
+    _same(got.where(closed), expected.where(closed))
+
+
 @pytest.fixture()
 def sessions(spark, landing):
     tmp_path, batch = landing
