@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from packetloom.functions.entropy import count_entropy
 from packetloom.functions.timing import floor_time, seconds_between, width_us
+from packetloom.operators import slices
 from packetloom.operators.guard import has_columns
 from packetloom.operators.slices import (
-    DEFAULT_SLICE, forward_fill, gap_sessions, merge_back, previous_value, range_window,
+    DEFAULT_SLICE, forward_fill, gap_sessions, merge_back, previous_value,
 )
 
 REQUIRED = ["timestamp", "src_ip", "dst_ip", "frame_len"]
@@ -113,10 +114,7 @@ def trailing_counts(
     df: DataFrame, windows: dict[str, str], width: str | int = DEFAULT_SLICE, key: str = "src_ip",
 ) -> DataFrame:
     """Packets of the same source in (t - w, t] for several widths; equal times count each other."""
-    out = df
-    for name, w in windows.items():
-        out = range_window(out, [key], {name: F.count("frame_len")}, 1 - width_us(w), 0, width)
-    return out
+    return slices.trailing_counts(df, [key], "frame_len", {name: width_us(w) for name, w in windows.items()}, width)
 
 
 def sliding_src_windows(df: DataFrame, window: str, slide: str) -> DataFrame:

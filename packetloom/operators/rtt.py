@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from packetloom.functions.net import LOCAL_NETWORKS, flow_key, in_networks, reverse_flow_key
 from packetloom.functions.timing import width_us
 from packetloom.operators.guard import has_columns
-from packetloom.operators.slices import DEFAULT_SLICE, merge_back, range_window
+from packetloom.operators.slices import DEFAULT_SLICE, merge_back, next_within
 
 SYN, ACK = 0x02, 0x10
 REQUIRED = ["timestamp", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "tcp_flags", "tcp_seq", "tcp_ack"]
@@ -44,11 +44,8 @@ def handshake_rtt(
             F.max(F.when(F.col("is_syn"), us)).alias("__syn"), F.max(F.when(~F.col("is_syn"), us)).alias("__reply")
         )
     elif match == "first_after":
-        reply = F.min(F.when(~F.col("is_syn"), us))
-        pairs = (
-            range_window(syn, ["flow_key"], {"__reply": reply}, 0, width_us(timeout), width)
-            .where("is_syn").withColumn("__syn", us)
-        )
+        answered = next_within(syn, ["flow_key"], ~F.col("is_syn"), width_us(timeout), "__reply", width)
+        pairs = answered.where("is_syn").withColumn("__syn", us)
     else:
         raise ValueError(f"unknown match: {match!r}")
     rtt = pairs.select("flow_key", _within((F.col("__reply") - F.col("__syn")) / 1000.0, timeout).alias("rtt_ms"))

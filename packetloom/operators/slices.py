@@ -109,29 +109,72 @@ def forward_fill(
     )
 
 
-def range_window(
-    df: DataFrame, keys: Sequence[str], aggregates: dict[str, Column], low_us: int, high_us: int,
+def trailing_counts(
+    df: DataFrame, keys: Sequence[str], column: str, spans_us: dict[str, int],
     width: str | int = DEFAULT_SLICE, ts: str = "timestamp",
 ) -> DataFrame:
-    """Aggregates over the rows of the same key within [time+low_us, time+high_us], low <= 0 <= high.
+    """For each span: non-NULL values of ``column`` in the same key within (time - span, time]; ties all count.
 
-    A row is copied to each slice whose rows can see it, then every slice is complete by itself and
-    no slice needs another. Ties in time all see each other. Rows with a NULL key or time get NULL.
+    A count is the difference of two running counts, at the row's time and one span earlier, so a dense span costs no
+    more than a thin one. Each row leaves a mark one span earlier, and a bare copy in every later slice
+    that looks back to it; all spans share one shuffle. Rows with a NULL key or time get NULL.
     """
-    step = max(width_us(width), high_us - low_us)
+    longest = max(spans_us.values())
+    step = max(width_us(width), longest)
+    home = floor_us(F.unix_micros(ts), step)
+    weight = F.col(column).isNotNull().cast("long")
+
+    def entry(kind: int, slot: Column, at: Column, w: Column | int) -> Column:
+        w = F.lit(w).cast("long") if isinstance(w, int) else w
+        return F.struct(F.lit(kind).alias("kind"), slot.alias(_SLICE), at.alias("at"), w.alias("w"))
+
+    own = entry(0, F.col("__home"), F.col("__us"), weight)
+    marks = [entry(i + 1, F.col("__home"), F.col("__us") - span, 0) for i, span in enumerate(spans_us.values())]
+    slots = F.sequence(F.col("__home"), floor_us(F.col("__us") + longest, step), F.lit(step))
+    copies = F.transform(F.filter(slots, lambda x: x > F.col("__home")), lambda x: entry(-1, x, F.col("__us"), weight))
+    entries = F.when(_present([*keys, "__us"]), F.concat(F.array(own, *marks), copies)).otherwise(F.array(own))
+    spread = df.withColumns({"__us": F.unix_micros(ts), "__home": home}).withColumn("__e", F.explode(entries))
+    is_row = F.col("__e.kind") == 0
+    bare = [F.col(c) if c in keys else F.when(is_row, F.col(c)).alias(c) for c in df.columns]
+    spread = spread.select(*bare, "__e.*", F.when(F.col("__e.kind") >= 0, F.col("__us")).alias("__t"))
+    running = Window.partitionBy(*keys, _SLICE).orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    same_time = Window.partitionBy(*keys, _SLICE, "__t")
+
+    def reached(kind: int) -> Column:
+        return F.max(F.when(F.col("kind") == kind, F.col("__n"))).over(same_time)
+
+    counts = {
+        name: F.when(_present([*keys, "__t"]), reached(0) - reached(i + 1)) for i, name in enumerate(spans_us)
+    }
+    return (
+        spread.withColumn("__n", F.sum("w").over(running)).withColumns(counts)
+        .where(F.col("kind") == 0).select(*df.columns, *spans_us)
+    )
+
+
+def next_within(
+    df: DataFrame, keys: Sequence[str], is_target: Column, span_us: int, out: str,
+    width: str | int = DEFAULT_SLICE, ts: str = "timestamp",
+) -> DataFrame:
+    """Time in microseconds of the first target row of the same key in [time, time + span], else NULL.
+
+    Targets are copied to the slices that look ahead to them; a running minimum from the end finds the nearest.
+    """
+    step = max(width_us(width), span_us)
     us = F.unix_micros(ts)
-    home = floor_us(us, step)
-    reach = F.sequence(floor_us(us - high_us, step), floor_us(us - low_us, step), F.lit(step))
+    reach = F.sequence(floor_us(us - span_us, step), F.col("__home"), F.lit(step))
     spread = (
-        df.withColumns({"__us": us, "__home": home})
-        .withColumn(_SLICE, F.explode(F.when(_present([*keys, "__us"]), reach).otherwise(F.array("__home"))))
+        df.withColumns({"__us": us, "__target": is_target})
+        .withColumn("__home", floor_us(F.col("__us"), step))
+        .withColumn(_SLICE, F.explode(F.when(F.col("__target") & F.col("__us").isNotNull(), reach).otherwise(F.array("__home"))))
     )
-    frame = Window.partitionBy(*keys, _SLICE).orderBy("__us").rangeBetween(low_us, high_us)
-    usable = _present([*keys, "__us"])
+    ahead = Window.partitionBy(*keys, _SLICE).orderBy(F.desc("__us")).rangeBetween(Window.unboundedPreceding, 0)
+    nearest = F.min(F.when(F.col("__target"), F.col("__us"))).over(ahead)
     return (
-        spread.withColumns({name: F.when(usable, agg.over(frame)) for name, agg in aggregates.items()})
+        spread.withColumn(out, nearest)
         .where(F.col(_SLICE).eqNullSafe(F.col("__home")))
-        .select(*df.columns, *aggregates)
+        .withColumn(out, F.when(_present(keys) & (F.col(out) - F.col("__us") <= span_us), F.col(out)))
+        .select(*df.columns, out)
     )
 
 

@@ -58,13 +58,24 @@ def test_forward_fill(rows, width):
 
 
 @pytest.mark.parametrize("width", ["1 second", "13 seconds", "1 day"])
-def test_range_window_back_and_forth(rows, width):
-    frame = Window.partitionBy("key").orderBy(F.unix_micros("timestamp"))
-    present = F.col("key").isNotNull()
-    expected = rows.withColumn("c", F.when(present, F.count("value").over(frame.rangeBetween(-2_999_999, 0))))
-    _same(slices.range_window(rows, ["key"], {"c": F.count("value")}, -2_999_999, 0, width), expected)
-    ahead = rows.withColumn("c", F.when(present, F.min("value").over(frame.rangeBetween(0, 4_000_000))))
-    _same(slices.range_window(rows, ["key"], {"c": F.min("value")}, 0, 4_000_000, width), ahead)
+def test_trailing_count(rows, width):
+    def count(span):
+        frame = Window.partitionBy("key").orderBy(F.unix_micros("timestamp")).rangeBetween(1 - span, 0)
+        return F.when(F.col("key").isNotNull(), F.count("value").over(frame))
+
+    spans = {"c": 3_000_000, "d": 500_000, "e": 11_000_000}
+    expected = rows.withColumns({name: count(span) for name, span in spans.items()})
+    _same(slices.trailing_counts(rows, ["key"], "value", spans, width), expected)
+
+
+@pytest.mark.parametrize("width", ["1 second", "13 seconds", "1 day"])
+def test_next_within(rows, width):
+    us = F.unix_micros("timestamp")
+    frame = Window.partitionBy("key").orderBy(us).rangeBetween(0, 4_000_000)
+    target = F.col("value") > 40
+    nearest = F.when(F.col("key").isNotNull(), F.min(F.when(target, us)).over(frame))
+    marked = rows.withColumn("hit", F.coalesce(target, F.lit(False)))
+    _same(slices.next_within(marked, ["key"], F.col("hit"), 4_000_000, "n", width), marked.withColumn("n", nearest))
 
 
 def test_merge_back_keeps_every_row(rows):
