@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from packetloom.operators.clean import align_features
 from packetloom.operators.compare import score_metrics
 from packetloom.operators.quantiles import exact_quantiles
+from packetloom.session import settled
 
 TREES, SAMPLES, SEED = 100, 256, 42
 # One task grows one tree from its sample, so the sample size is bounded.
@@ -190,7 +191,8 @@ def fit(
     params = {"n_estimators": trees, "max_samples": max_samples, "contamination": contamination, "random_state": seed}
     model = IsolationForest(features, nodes, size, -0.5, params)
     if contamination != "auto":
-        scores = df.select(model.score_column().alias("s"))
+        # Written once: the quantile may take several passes.
+        scores = settled(df.select(model.score_column().alias("s")))
         model.offset = exact_quantiles(scores, ["s"], [float(contamination)])["s"][0]
     return model
 
@@ -202,7 +204,7 @@ def _grow(df, features, row_key, n, trees, size, seed, rate) -> pd.DataFrame:
 
 
 def training_metrics(model: IsolationForest, df: DataFrame, contamination: float = 0.1) -> DataFrame:
-    scores = df.select(model.score_column().alias("score"))
+    scores = settled(df.select(model.score_column().alias("score")))
     return score_metrics(scores, contamination).withColumns({
         "n_features": F.lit(len(model.features)), "model_parameters": F.lit(json.dumps(model.params)),
     })
