@@ -64,6 +64,8 @@ FROM c
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # The given times carry no zone; they are read as UTC.
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

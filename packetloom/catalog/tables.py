@@ -14,8 +14,8 @@ from packetloom.operators import clean, compare, flow, host, profile, quality, r
 
 # Numbers with gaps, infinities and a constant.
 STEPS["numbers"] = """SELECT frame_no, frame_len, tcp_seq, tcp_flags AS tcp_flag_field, http_response_code AS code_count,
-    CASE WHEN frame_no % 50 = 0 THEN CAST('infinity' AS DOUBLE) ELSE frame_len * 1.5 END AS byte_rate,
-    CASE WHEN frame_no % 11 = 0 THEN NULL ELSE ip_len * 0.25 END AS pkts_per_sec, 7 AS constant_feat FROM packets"""
+    CASE WHEN frame_no % 50 = 0 THEN CAST('infinity' AS DOUBLE) ELSE CAST(frame_len AS DOUBLE) * 1.5 END AS byte_rate,
+    CASE WHEN frame_no % 11 = 0 THEN NULL ELSE CAST(ip_len AS DOUBLE) * 0.25 END AS pkts_per_sec, 7 AS constant_feat FROM packets"""
 _N = "packets numbers"
 _COLS = ["frame_no", "frame_len", "tcp_seq", "tcp_flag_field", "code_count", "byte_rate", "pkts_per_sec", "constant_feat"]
 _OUT = " ".join(c if c == "frame_no" else f"{c}:f" for c in _COLS)

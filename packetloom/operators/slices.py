@@ -183,9 +183,12 @@ def attach_by_slot(
 ) -> DataFrame:
     """Left join of per-key ``features`` onto rows, shuffled on ``(key, slot)``; NULL keys match nothing.
 
+    Only columns the rows do not have yet are added.
+
     The features are first joined to the distinct ``(key, slot)`` pairs, so a hot key is spread over as many
     tasks as it has slots.
     """
+    features = features.select(*keys, *[c for c in features.columns if c not in df.columns])
     left = df.withColumn(_SLICE, F.coalesce(slot, F.lit(-1)))
     again = left if source is None else source.withColumn(_SLICE, F.coalesce(slot, F.lit(-1)))
     slots = again.select(*keys, _SLICE).where(_present(keys)).distinct()
