@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packetloom.llm import sharding, tokencount
+from packetloom.llm import decontaminate, sharding, tokencount
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op2_prefix_filtered_decontamination": decontaminate.op2_prefix_filtered_decontamination,
     "op4_permutation_sharding": sharding.op4_permutation_sharding,
     "op5_rank_synchronous_tokens": tokencount.op5_rank_synchronous_tokens,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_prefix_filtered_decontamination": decontaminate.ORACLE,
     "op4_permutation_sharding": sharding.ORACLE,
 }
