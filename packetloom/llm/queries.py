@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packetloom.llm import decontaminate, sharding, tokencount
+from packetloom.llm import decontaminate, quality, sharding, tokencount
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op1_factorisation_machine_quality": quality.op1_factorisation_machine_quality,
     "op2_prefix_filtered_decontamination": decontaminate.op2_prefix_filtered_decontamination,
     "op4_permutation_sharding": sharding.op4_permutation_sharding,
     "op5_rank_synchronous_tokens": tokencount.op5_rank_synchronous_tokens,
