@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packetloom.llm import decontaminate, quality, sharding, tokencount, warc
+from packetloom.llm import decontaminate, minhash, quality, sharding, tokencount, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op7_sequential_bayesian_minhash": minhash.op7_sequential_bayesian_minhash,
     "op6_gzip_normaliser": warc.op6_gzip_normaliser,
     "op1_factorisation_machine_quality": quality.op1_factorisation_machine_quality,
     "op2_prefix_filtered_decontamination": decontaminate.op2_prefix_filtered_decontamination,
@@ -19,6 +20,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op7_sequential_bayesian_minhash": minhash.ORACLE,
     "op6_gzip_normaliser": warc.ORACLE,
     "op2_prefix_filtered_decontamination": decontaminate.ORACLE,
     "op4_permutation_sharding": sharding.ORACLE,
