@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packetloom.llm import decontaminate, minhash, quality, sharding, tokencount, warc
+from packetloom.llm import decontaminate, minhash, quality, sharding, suffixes, tokencount, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op3_prefix_free_parsing": suffixes.op3_prefix_free_parsing,
     "op7_sequential_bayesian_minhash": minhash.op7_sequential_bayesian_minhash,
     "op6_gzip_normaliser": warc.op6_gzip_normaliser,
     "op1_factorisation_machine_quality": quality.op1_factorisation_machine_quality,
