@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packetloom.llm import decontaminate, minhash, quality, sharding, suffixes, tokencount, warc
+from packetloom.llm import decontaminate, embeddings, mainhtml, minhash, quality, sharding, suffixes, tokencount, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op8_minimum_cut_html": mainhtml.op8_minimum_cut_html,
+    "op9_collision_counting": embeddings.op9_collision_counting,
     "op3_prefix_free_parsing": suffixes.op3_prefix_free_parsing,
     "op7_sequential_bayesian_minhash": minhash.op7_sequential_bayesian_minhash,
     "op6_gzip_normaliser": warc.op6_gzip_normaliser,
@@ -21,6 +23,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op9_collision_counting": embeddings.ORACLE,
     "op7_sequential_bayesian_minhash": minhash.ORACLE,
     "op6_gzip_normaliser": warc.ORACLE,
     "op2_prefix_filtered_decontamination": decontaminate.ORACLE,
