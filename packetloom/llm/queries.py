@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packetloom.llm import decontaminate, embeddings, mainhtml, minhash, quality, sharding, suffixes, tokencount, warc
+from packetloom.llm import decontaminate, embeddings, mainhtml, minhash, packing, quality, sharding, suffixes, tokencount, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op10_lexical_retrieval_packing": packing.op10_lexical_retrieval_packing,
     "op8_minimum_cut_html": mainhtml.op8_minimum_cut_html,
     "op9_collision_counting": embeddings.op9_collision_counting,
     "op3_prefix_free_parsing": suffixes.op3_prefix_free_parsing,
