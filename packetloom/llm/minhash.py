@@ -189,33 +189,72 @@ def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int
     return settled(met.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint"))
 
 
-def _between_components(members: DataFrame, sketches: DataFrame, similarity: int) -> DataFrame:
-    """Likely pairs of different components in the same bucket, each from the first bucket it shares. ``members``: bucket, pivot, key, component."""
+def _cross_pairs(table: pa.Table, bounds: np.ndarray, similarity: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (i, j) of a bucket with different components and plausible sketches, in the first bucket that the two share."""
     width = bands_for(similarity)
+    bucket, component, n, side, left, right = (table.column(c).to_numpy() for c in ("bucket", "component", "n", "side", "left", "right"))
+    sketch = fixed_width(table.column("sketch"), np.uint8, width * ROWS)
+    bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, width)
+    for i, j in pairs_within(bounds, limit=1 << 16):
+        keep = (component[i] != component[j]) & ((left[i] == right[i]) | (side[i] != side[j]))
+        keep &= np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * similarity
+        i, j = i[keep], j[keep]
+        alive = plausible(sketch[i], sketch[j], similarity)
+        i, j = i[alive], j[alive]
+        first = bands[i, (bands[i] == bands[j]).argmax(1)] == bucket[i]
+        yield i[first], j[first]
+
+
+_CHUNK_KEYS = ["bucket", "left", "right"]
+
+
+def _mixed_members(members: DataFrame, sketches: DataFrame, similarity: int) -> DataFrame:
+    """Members of buckets of several components that have a plausible partner in another one. ``members``: bucket, pivot, key, component."""
     mixed = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("_n"))
     mixed = mixed.where("low <> high AND _n > 2").select("bucket")
-    rows = members.where("key <> pivot").join(mixed, "bucket", "left_semi").select("bucket", "key", "component")
-    # A bucket without its pivot may be of one component now; the comparison drops those pairs.
-    rows = rows.join(sketches.select("key", "n", "sketch", "bands"), "key")
-    chunks = together(paired_chunks(rows, ["bucket"], "key"), ["bucket", "left", "right"])
+    # Pairs with the pivot are known already.
+    rows = members.where("key <> pivot").join(mixed, "bucket", "left_semi").select("bucket", "key", "component").join(sketches, "key")
+    chunks = together(paired_chunks(rows, ["bucket"], "key"), _CHUNK_KEYS)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in whole_groups(batches, _CHUNK_KEYS, 4096):
+            wanted = np.zeros(table.num_rows, bool)
+            for i, j in _cross_pairs(table, bounds, similarity):
+                wanted[i] = wanted[j] = True
+            at = pa.array(np.flatnonzero(wanted))
+            yield pa.RecordBatch.from_arrays([table.column(c).combine_chunks().take(at) for c in ("bucket", "key", "component")], ["bucket", "key", "component"])
+
+    return chunks.mapInArrow(search, "bucket bigint, key bigint, component bigint").distinct()
+
+
+def _cross_links(mixed: DataFrame, sketches: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Links (a, b) between components, verified on full sets where the members meet; one per pair of components and chunk."""
+    rows = mixed.join(sketches, "key").join(sets, "key")
+    # Full sets are wide, so their chunks are small.
+    chunks = together(paired_chunks(rows, ["bucket"], "key", 256), _CHUNK_KEYS)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, bounds in whole_groups(batches, ["bucket", "left", "right"], 4096):
-            bucket, key, component, n, side, left, right = (
-                table.column(c).to_numpy() for c in ("bucket", "key", "component", "n", "side", "left", "right")
-            )
-            sketch = fixed_width(table.column("sketch"), np.uint8, width * ROWS)
-            bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, width)
-            for i, j in pairs_within(bounds, limit=1 << 17):
-                keep = (component[i] != component[j]) & ((left[i] == right[i]) | (side[i] != side[j]))
-                keep &= np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * similarity
-                i, j = i[keep], j[keep]
-                alive = plausible(sketch[i], sketch[j], similarity)
-                i, j = i[alive], j[alive]
-                same = bands[i] == bands[j]
-                first = bands[i, same.argmax(1)] == bucket[i]
-                i, j = i[first], j[first]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(key[i], key[j])), pa.array(np.maximum(key[i], key[j]))], ["a", "b"])
+        for table, bounds in whole_groups(batches, _CHUNK_KEYS, 256):
+            key, component = table.column("key").to_numpy(), table.column("component").to_numpy()
+            parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles").combine_chunks()]
+            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+            names, number = np.unique(np.concatenate(parts), return_inverse=True)
+            ends = np.cumsum(sizes)
+            mine = np.zeros(len(names), np.int64)
+            linked: dict[tuple[int, int], tuple[int, int]] = {}
+            for left, right in _cross_pairs(table, bounds, similarity):
+                for i in np.unique(left).tolist():
+                    js = right[left == i]
+                    mine[number[ends[i] - sizes[i] : ends[i]]] = 1
+                    for j in js.tolist():
+                        pair = (min(component[i], component[j]), max(component[i], component[j]))
+                        if pair not in linked:
+                            shared = int(mine[number[ends[j] - sizes[j] : ends[j]]].sum())
+                            if 100 * shared >= similarity * (sizes[i] + sizes[j] - shared):
+                                linked[pair] = (key[i], key[j])
+                    mine[number[ends[i] - sizes[i] : ends[i]]] = 0
+            pairs = np.array(list(linked.values()), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs.min(1)), pa.array(pairs.max(1))], ["a", "b"])
 
     return chunks.mapInArrow(search, "a bigint, b bigint").distinct()
 
@@ -240,9 +279,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     links = _verified(_likely(stars, leaders, similarity), docs, key, text, words, similarity)
     found = settled(connected_components(links))
     placed = members.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    rest = settled(_between_components(placed, leaders, similarity))
-    if not rest.isEmpty():
-        more = _verified(rest, docs, key, text, words, similarity)
+    mixed = settled(_mixed_members(placed, leaders, similarity))
+    if not mixed.isEmpty():
+        sets_of = settled(_full_sets(docs, key, text, words, settled(mixed.select("key").distinct())))
+        more = settled(_cross_links(mixed, leaders, sets_of, similarity))
         found = settled(connected_components(links.union(more)))
     class_of = sets.join(found.withColumnRenamed("node", "leader"), "leader", "left").select("f1", "f2", "n", F.coalesce("component", "leader").alias("component"))
     out = signed.select("key", "n", "f1", "f2").join(class_of, ["f1", "f2", "n"], "left")

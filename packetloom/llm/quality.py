@@ -27,8 +27,10 @@ from packetloom.session import settled
 SAMPLE = 6_000
 BUCKETS = 1 << 14
 RANK = 8
-EPOCHS = 12
 BATCH = 128
+#: Passes over the sample, and steps at least: a small sample is passed more often.
+EPOCHS = 12
+STEPS = 560
 RATE = 0.05
 PENALTY = 1e-5
 #: Scores from here on predict label 1.
@@ -170,7 +172,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], values: np.ndarray, labels:
     x = machine.dense(values)
     dense_ids = np.arange(BUCKETS, BUCKETS + wide)
     seen_w, seen_v, seen_b = np.full(BUCKETS + wide, 1e-4), np.full((BUCKETS + wide, RANK), 1e-4), 1e-4
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(labels)))):
         order = rng.permutation(len(labels))
         for i in range(0, len(order), BATCH):
             batch = order[i : i + BATCH]
