@@ -50,7 +50,8 @@ def record_kinds(pages: DataFrame, key: str, payload: str, least_bytes: int = LE
     )
     large = rows.where((F.col("payload_bytes") >= least_bytes) & F.col(f"`{key}`").isNotNull())
     first = large.groupBy("payload_digest").agg(F.min(F.col(f"`{key}`")).alias("_first"), F.count("*").alias("_copies")).where("_copies > 1")
-    joined = rows.join(first.select("payload_digest", "_first"), "payload_digest", "left")
+    # Written, so that Spark knows its size: only a small one is broadcast, and then no payload is shuffled.
+    joined = rows.join(settled(first.select("payload_digest", "_first")), "payload_digest", "left")
     revisit = (F.col("payload_bytes") >= least_bytes) & (F.col(f"`{key}`") != F.col("_first"))
     revisit = F.coalesce(revisit, F.lit(False))
     return joined.select(
