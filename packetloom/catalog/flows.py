@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from packetloom.catalog.base import RTT_TIMEOUT, SLICE, STEPS, WINDOW, packets, query
 from packetloom.catalog.scalar import entropy_of
-from packetloom.operators import flow, host, rtt, scalar, session
+from packetloom.operators import flow, host, report, rtt, scalar, session
 from packetloom.operators.slices import forward_fill
 
 _KEY = "src_ip, dst_ip, src_port, dst_port, protocol"
@@ -55,11 +55,7 @@ def _flows(spark, sf):
     FLOW_STEPS,
 )
 def _(spark, sf):
-    return (
-        flow.with_flow_features(packets(spark, sf), SLICE).groupBy("src_ip")
-        .agg(F.count(F.lit(1)).alias("packets"), F.avg("flow_duration_seconds").alias("mean_flow_duration"))
-        .orderBy(F.desc("packets"), "src_ip").limit(5)
-    )
+    return report.busiest_sources(packets(spark, sf))
 
 
 @query("flow_gaps", _PACKET + " inter_arrival_time:f", "SELECT *, gap AS inter_arrival_time FROM gaps", "packets classed keyed gaps")
@@ -158,6 +154,19 @@ def _(spark, sf):
     return host.src_host_windows(packets(spark, sf), WINDOW, rsd=0.02)
 
 
+@query(
+    "host_distinct_peers_sketch_error", "src_ip:s time_window:t exact close",
+    """SELECT src_ip, date_trunc('hour', timestamp) AS time_window, count(DISTINCT dst_ip) AS exact, 1 AS close FROM packets GROUP BY ALL""",
+)
+def _(spark, sf):
+    # The sketch of each window beside the exact count: within three times its stated deviation.
+    rows = packets(spark, sf)
+    sketch = host.src_host_windows(rows, WINDOW, rsd=0.02).select("src_ip", "time_window", "src_host_distinct_dst_ips_win")
+    exact = host.src_host_windows(rows, WINDOW).select("src_ip", "time_window", F.col("src_host_distinct_dst_ips_win").alias("exact"))
+    error = F.abs(F.col("src_host_distinct_dst_ips_win") - F.col("exact"))
+    return exact.join(sketch, ["src_ip", "time_window"], "left").withColumn("close", (error <= 3 * 0.02 * F.col("exact")).cast("int"))
+
+
 _HOST_MERGE = "SELECT p.frame_no, s.*, d.* FROM named p JOIN src_hosts s USING (src_ip, time_window) JOIN dst_hosts d USING (dst_ip, time_window)"
 
 

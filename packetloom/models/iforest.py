@@ -37,13 +37,12 @@ def draw_samples(
     df: DataFrame, features: Sequence[str], row_key: Sequence[str], n: int, trees: int, size: int, seed: int,
     tree_rate: float | None = None,
 ) -> DataFrame:
-    """``tree, draw, x``: for every tree the ``size`` rows with the smallest hash of (row, tree).
+    """``tree, r, x``: for every tree the ``size`` rows with the smallest hash of (row, tree), whatever the size of the table.
 
-    A first hash keeps a pool of about twice what all trees need, a second one few candidates per
-    tree, so neither the explode nor the ranking grows with the table.
+    A threshold on that hash keeps about four times what a tree needs, so neither the explode nor the ranking grows with the
+    table. It does not change which rows are the smallest; ``fit`` lifts it should a tree get too few.
     """
-    pool_rate = min(1.0, 2.0 * trees * size / n)
-    rate = min(1.0, 4.0 * size / (n * pool_rate)) if tree_rate is None else tree_rate
+    rate = min(1.0, 4.0 * size / n) if tree_rate is None else tree_rate
 
     def share(hash_value: Column, p: float) -> Column:
         return F.lit(True) if p >= 1.0 else hash_value < F.lit(int(-(2**63) + p * 2**64))
@@ -51,12 +50,10 @@ def draw_samples(
     def draw(tree: Column) -> Column:
         return F.xxhash64(*row_key, tree, F.lit(seed))
 
-    pool = df.select(*row_key, F.array(*[F.col(c).cast("double") for c in features]).alias("x")).where(
-        share(F.xxhash64(*row_key, F.lit(seed)), pool_rate)
-    )
-    candidates = pool.withColumn(
-        "tree", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: share(draw(t), rate)))
-    ).withColumn("draw", draw(F.col("tree")))
+    rows = df.select(*row_key, F.array(*[F.col(c).cast("double") for c in features]).alias("x"))
+    # One plain hash per tree stays in generated code.
+    chosen = F.array_compact(F.array(*[F.when(share(draw(F.lit(t)), rate), F.lit(t)) for t in range(trees)]))
+    candidates = rows.withColumn("tree", F.explode(chosen)).withColumn("draw", draw(F.col("tree")))
     rank = F.row_number().over(Window.partitionBy("tree").orderBy("draw", *row_key))
     return candidates.withColumn("r", rank).where(F.col("r") <= size).select("tree", "r", "x")
 

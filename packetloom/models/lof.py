@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from packetloom.operators.slices import attach_by_slot
+from packetloom.session import settled
 
 NEIGHBORS, LIMIT = 20, 1.5
 PIVOTS = 64
@@ -35,11 +36,17 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _rough_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Good enough to choose candidates by; digits are lost where vectors are long."""
     square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
     return np.sqrt(np.maximum(square, 0.0))
 
 
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """From differences, so that no digit is lost far from 0."""
+    return np.concatenate([np.sqrt(((a[i : i + 256, None, :] - b[None]) ** 2).sum(2)) for i in range(0, len(a), 256)] or [np.zeros((0, len(b)))])
+
+
 def _to_cells(points: DataFrame, pivots: np.ndarray) -> DataFrame:
     """Add ``cell`` (nearest pivot) and ``r`` (distance to it)."""
 
@@ -56,7 +63,7 @@ def _to_cells(points: DataFrame, pivots: np.ndarray) -> DataFrame:
 
 def nearest(df: DataFrame, row_id: str, vector: str, k: int, pivots: int = PIVOTS, block: int = BLOCK) -> tuple[DataFrame, DataFrame, int]:
     """(points, neighbours, k): ``neighbours`` holds ``q, s, d, w`` with the weights of a query adding up to k."""
-    points = _points(df, row_id, vector).persist()
+    points = settled(_points(df, row_id, vector))
     totals = points.agg(F.sum("w").alias("n"), F.count(F.lit(1)).alias("m")).first()
     if not totals["n"] or totals["n"] < 2:
         raise ValueError("fewer than two rows")
@@ -64,7 +71,7 @@ def nearest(df: DataFrame, row_id: str, vector: str, k: int, pivots: int = PIVOT
     # At most ``pivots`` rows.
     chosen = points.orderBy(F.xxhash64("p"), "p").limit(min(pivots, totals["m"])).select("v").collect()
     centers = np.array([r["v"] for r in chosen], dtype=float)
-    cells = _to_cells(points, centers).persist()
+    cells = settled(_to_cells(points, centers))
     stats = {r["cell"]: r for r in cells.groupBy("cell").agg(F.max("r").alias("u"), F.count(F.lit(1)).alias("n")).collect()}
     radius = np.array([stats[i]["u"] if i in stats else -np.inf for i in range(len(centers))])
     sizes = np.array([stats[i]["n"] if i in stats else 0 for i in range(len(centers))])
@@ -106,7 +113,9 @@ def nearest(df: DataFrame, row_id: str, vector: str, k: int, pivots: int = PIVOT
             return pd.DataFrame({"q": [], "s": [], "d": [], "w": []}).astype({"q": "int64", "s": "int64", "d": float, "w": "int64"})
         x, y = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
         names, weights = right["p"].to_numpy(), right["w"].to_numpy()
-        near = _distances(x, y)
+        # Moved to where the points are, so that rough distances are good ones.
+        middle = y.mean(axis=0)
+        near = _rough_distances(x - middle, y - middle)
         take = min(k + 8, near.shape[1])
         idx = np.argpartition(near, take - 1, axis=1)[:, :take]
         exact = np.sqrt(((x[:, None, :] - y[idx]) ** 2).sum(axis=2))
@@ -147,7 +156,7 @@ def local_outlier_factor(
 ) -> DataFrame:
     """``id, lof, label`` for every row: -1 where the factor exceeds ``limit``."""
     points, neighbours, k = nearest(df, row_id, vector, k, pivots, block)
-    neighbours = neighbours.persist()
+    neighbours = settled(neighbours)
     slot = F.pmod(F.xxhash64("q"), F.lit(_SLOTS))
     distance = neighbours.groupBy("q").agg(F.max("d").alias("kd")).withColumnRenamed("q", "s")
     reach = attach_by_slot(neighbours, distance, ["s"], slot).withColumn("reach", F.greatest("kd", "d"))

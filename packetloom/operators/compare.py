@@ -19,8 +19,8 @@ def label_by_threshold(column: str, threshold: float) -> Column:
 
 def score_metrics(scores: DataFrame, contamination: float = 0.1, column: str = "score") -> DataFrame:
     """One row: threshold, anomalies and the distribution of training scores."""
-    threshold = score_threshold(scores, contamination, column)
-    quartiles = exact_quantiles(scores, [column], [0.25, 0.5, 0.75])[column]
+    probs, methods = [contamination, 0.25, 0.5, 0.75], ["lower", *["linear"] * 3]
+    threshold, *quartiles = exact_quantiles(scores, [column], probs, methods)[column]
     hits = F.count_if(F.col(column) <= F.lit(threshold))
     return scores.agg(
         F.count(F.lit(1)).alias("n_samples"), F.lit(contamination).alias("contamination"), F.lit(threshold).alias("threshold"),

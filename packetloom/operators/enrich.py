@@ -45,7 +45,7 @@ def locate(ips: DataFrame, networks: DataFrame, attributes: Sequence[str] = GEO_
     inside = (F.col("a.__cell") == F.col("b.__cell")) & F.col("__n").between(F.col("start"), F.col("end"))
     best = (
         numbered.alias("a").join(cells.alias("b"), inside, "left")
-        .groupBy("ip").agg(F.min_by(F.struct("start", *attributes), F.col("end") - F.col("start")).alias("best"))
+        .groupBy("ip").agg(F.min(F.when(F.col("start").isNotNull(), F.struct((F.col("end") - F.col("start")).alias("__size"), "start", *attributes))).alias("best"))
     )
     return best.select("ip", F.when(F.col("best.start").isNotNull(), 1).otherwise(0).alias("found"),
                        *[F.col(f"best.{a}").alias(a) for a in attributes])

@@ -5,12 +5,15 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Up to this many rows an exact percentile aggregate is small enough for one task.
-SMALL = 1_000_000
+from packetloom.session import settled
 
-_BINS = 4_096
+# Cells per range and pass.
+CELLS = 4_096
+
+# column, lowest and highest value, values in the range
+_Range = tuple[str, float, float, int]
 
 
 def _ranks(n: int, q: float, method: str) -> tuple[int, int, float]:
@@ -23,78 +26,87 @@ def _ranks(n: int, q: float, method: str) -> tuple[int, int, float]:
     return low, high, max(at - low, 0.0)
 
 
+def _between(low: float, high: float, weight: float) -> float:
+    if low == high or weight <= 0.0 or math.isinf(low):
+        return low
+    return low + (high - low) * weight
+
+
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], method: str = "linear", small: int = SMALL,
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], method: str | Sequence[str] = "linear", small: int = CELLS,
 ) -> dict[str, list[float | None]]:
-    """Quantiles per column, NULL and NaN left out; None for an empty column.
+    """Quantiles per column, NULL and NaN left out; None for an empty column. ``method`` may name one way per quantile.
 
-    Few rows: one exact aggregate. Many rows: each needed rank is narrowed down with histograms of at most
-    ``_BINS`` bins per pass, so every pass is a partial aggregation and returns a bounded number of rows.
+    There is one way for tables of any size. The columns are written once. Each wanted rank lies in a range of values; a pass cuts
+    every range into at most ``small`` cells (or, when it holds no more values than that, into its distinct values), and the cell of a
+    rank is the next range. Cells are counted by partial aggregation and ranked on the executors; a pass returns one row per wanted
+    rank. Infinite values are counted apart and take part like any others.
     """
-    values = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns])
-    counts = values.agg(*[F.count(c).alias(c) for c in columns]).first().asDict()
-    if max(counts.values(), default=0) <= small and method == "linear":
-        row = values.agg(*[F.percentile(c, list(probs)).alias(c) for c in columns]).first()
-        return {c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in columns}
-    wanted = {c: [_ranks(counts[c], q, method) for q in probs] if counts[c] else [] for c in columns}
-    targets = [(c, rank) for c in columns for rank in sorted({r for low, high, _ in wanted[c] for r in (low, high)})]
-    found = _values_at(values, targets, small)
-    out: dict[str, list[float | None]] = {}
-    for c in columns:
-        out[c] = [
-            found[c, low] + (found[c, high] - found[c, low]) * weight for low, high, weight in wanted[c]
-        ] or [None] * len(probs)
-    return out
-
-
-def _values_at(values: DataFrame, targets: list[tuple[str, int]], small: int) -> dict[tuple[str, int], float]:
-    """The value at each (column, 0-based rank)."""
-    columns = sorted({c for c, _ in targets})
     if not columns:
         return {}
-    bounds = values.agg(*[f(c).alias(f"{n}_{c}") for c in columns for f, n in ((F.min, "lo"), (F.max, "hi"))]).first()
-    # target -> [low, high, rank inside the range]
-    open_ranges = {t: (bounds[f"lo_{t[0]}"], bounds[f"hi_{t[0]}"], t[1]) for t in targets}
-    done: dict[tuple[str, int], float] = {}
-    while open_ranges:
-        for t, (low, high, _) in list(open_ranges.items()):
-            if not low < high:
-                done[t] = low
-                del open_ranges[t]
-        if not open_ranges:
-            break
-        order = list(open_ranges)
-        cells = []
-        for i, t in enumerate(order):
-            low, high, _ = open_ranges[t]
-            step = (high - low) / _BINS
-            c = F.col(t[0])
-            cell = F.least(F.floor((c - low) / step), F.lit(_BINS - 1)) if step > 0 and math.isfinite(step) else F.lit(0)
-            cells.append(F.when(c.between(low, high), F.struct(F.lit(i).alias("t"), cell.cast("long").alias("b"), c.alias("v"))))
-        hist = (
-            values.select(F.explode(F.array_compact(F.array(*cells))).alias("e"))
-            .groupBy("e.t", "e.b").agg(F.count(F.lit(1)).alias("n"), F.min("e.v").alias("lo"), F.max("e.v").alias("hi"))
-            .collect()
-        )
-        for i, t in enumerate(order):
-            rank = open_ranges[t][2]
-            for r in sorted((r for r in hist if r["t"] == i), key=lambda r: r["b"]):
-                if rank < r["n"]:
-                    break
-                rank -= r["n"]
-            if r["n"] <= small:
-                done[t] = _pick(values, t[0], r["lo"], r["hi"], rank)
-                del open_ranges[t]
-            elif (r["lo"], r["hi"]) == open_ranges[t][:2]:
-                raise ValueError(f"cannot narrow the values of {t[0]} any further")
+    methods = [method] * len(probs) if isinstance(method, str) else list(method)
+    values = settled(df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns]))
+    inf = F.lit(float("inf"))
+    parts: list[Column] = []
+    for i, c in enumerate(columns):
+        finite = F.when(F.abs(c) < inf, F.col(c))
+        parts += [
+            F.count(c).alias(f"n{i}"), F.count_if(F.col(c) == -inf).alias(f"below{i}"), F.count_if(F.col(c) == inf).alias(f"above{i}"),
+            F.min(finite).alias(f"low{i}"), F.max(finite).alias(f"high{i}"),
+        ]
+    first = values.agg(*parts).first()
+    wanted: dict[str, list[tuple[int, int, float]]] = {}
+    found: dict[tuple[str, int], float] = {}
+    ranges: dict[_Range, list[tuple[int, int]]] = {}
+    for i, c in enumerate(columns):
+        n, below, above = first[f"n{i}"], first[f"below{i}"], first[f"above{i}"]
+        wanted[c] = [_ranks(n, q, m) for q, m in zip(probs, methods, strict=True)] if n else []
+        for rank in sorted({r for low, high, _ in wanted[c] for r in (low, high)}):
+            if rank < below:
+                found[c, rank] = -math.inf
+            elif rank >= n - above:
+                found[c, rank] = math.inf
             else:
-                open_ranges[t] = (r["lo"], r["hi"], rank)
-    return done
+                ranges.setdefault((c, first[f"low{i}"], first[f"high{i}"], n - below - above), []).append((rank, rank - below))
+    _narrow(values, ranges, found, small)
+    return {c: [_between(found[c, low], found[c, high], w) for low, high, w in wanted[c]] or [None] * len(probs) for c in columns}
 
 
-def _pick(values: DataFrame, column: str, low: float, high: float, rank: int) -> float:
-    """The value at a rank inside a range that holds few rows."""
-    if low == high:
-        return low
-    inside = values.where(F.col(column).between(low, high)).select(column)
-    return inside.agg(F.get(F.array_sort(F.collect_list(column)), F.lit(rank)).alias("v")).first()["v"]
+def _cell(c: Column, low: float, high: float, n: int, small: int) -> Column:
+    if n <= small:
+        return c
+    step = (high / 2 - low / 2) / small
+    if step == 0.0:
+        return F.when(c > low, 1.0).otherwise(0.0)
+    return F.least(F.floor((c / 2 - low / 2) / step), F.lit(small - 1)).cast("double")
+
+
+def _narrow(values: DataFrame, ranges: dict[_Range, list[tuple[int, int]]], found: dict[tuple[str, int], float], small: int) -> None:
+    """Adds the value at each rank to ``found``; ``ranges`` maps a range to (rank in the column, rank in the range)."""
+    while True:
+        for (c, low, high, n) in [r for r in ranges if not r[1] < r[2]]:
+            found.update({(c, rank): low for rank, _ in ranges.pop((c, low, high, n))})
+        if not ranges:
+            return
+        order = list(ranges)
+        cells = [
+            F.when(F.col(c).between(low, high), F.struct(F.lit(i).alias("t"), _cell(F.col(c), low, high, n, small).alias("b"), F.col(c).alias("v")))
+            for i, (c, low, high, n) in enumerate(order)
+        ]
+        counted = (
+            values.select(F.explode(F.array_compact(F.array(*cells))).alias("e"))
+            .groupBy("e.t", "e.b").agg(F.count(F.lit(1)).alias("n"), F.min("e.v").alias("low"), F.max("e.v").alias("high"))
+        )
+        # At most ``small`` rows per range from here on.
+        upto = F.sum("n").over(Window.partitionBy("t").orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
+        inside = F.get(F.array(*[F.array(*[F.lit(k) for _, k in ranges[r]]) for r in order]), F.col("t"))
+        hits = counted.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("n")).withColumn(
+            "ranks", F.filter(inside, lambda k: (k >= F.col("before")) & (k < F.col("upto")))
+        )
+        rows = hits.where(F.size("ranks") > 0).select("t", "low", "high", "n", "before", "ranks").collect()
+        after: dict[_Range, list[tuple[int, int]]] = {}
+        for row in rows:
+            place = order[row["t"]]
+            names = {k: rank for rank, k in ranges[place]}
+            after[place[0], row["low"], row["high"], row["n"]] = [(names[k], k - row["before"]) for k in row["ranks"]]
+        ranges = after

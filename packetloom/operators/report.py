@@ -6,6 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from packetloom.functions.timing import seconds_between
+from packetloom.schema import FLOW_KEY
+
 SHORT_FLOW, FAST_BYTES, MANY_PACKETS = 1e-6, 1e9, 100
 DISPLAY_ROWS = 100
 TEXT_LIMIT = 100
@@ -92,6 +95,23 @@ def top_hosts(df: DataFrame, side: str, n: int = 5) -> DataFrame:
     return host_activity(df, side).orderBy(F.desc("activity"), "ip").limit(n)
 
 
+def busiest_sources(df: DataFrame, n: int = 5) -> DataFrame:
+    """The sources with the most packets, and the mean duration of the flows of their packets.
+
+    Packets of one flow share its duration, so the mean over packets is one over flows, weighted by their packets: no packet is
+    joined. Packets with an incomplete flow key count, but have no duration.
+    """
+    complete = F.lit(True)
+    for c in FLOW_KEY:
+        complete = complete & F.col(c).isNotNull()
+    flows = df.where(F.col("src_ip").isNotNull()).groupBy(*FLOW_KEY).agg(
+        F.count(F.lit(1)).alias("packets"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last")
+    )
+    duration = F.when(complete, seconds_between(F.col("last"), F.col("first")))
+    weighted = F.try_divide(F.sum(duration * F.col("packets")), F.sum(F.when(duration.isNotNull(), F.col("packets"))))
+    return flows.groupBy("src_ip").agg(F.sum("packets").alias("packets"), weighted.alias("mean_flow_duration")).orderBy(F.desc("packets"), "src_ip").limit(n)
+
+
 def bidirectional_hosts(df: DataFrame) -> DataFrame:
     """Addresses seen on both sides, with their total activity."""
     src, dst = host_activity(df, "src"), host_activity(df, "dst").withColumnRenamed("activity", "__in")
@@ -150,7 +170,8 @@ def top_edges(df: DataFrame, n: int = 10) -> DataFrame:
 
 
 def anomalies_to_show(results: DataFrame, n: int = DISPLAY_ROWS) -> DataFrame:
-    return results.where(F.col("anomaly") == -1).orderBy(F.desc("score"), "client_ip").limit(n)
+    ties = [c for c in ("client_ip", "timestamp", "frame_no") if c in results.columns]
+    return results.where(F.col("anomaly") == -1).orderBy(F.desc("score"), *ties).limit(n)
 
 
 def anomaly_details(anomalies: DataFrame, totals: DataFrame, values: DataFrame, limit: int = TEXT_LIMIT) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from packetloom.functions.timing import floor_time
 from packetloom.models import iforest, seqpca, triage
 from packetloom.operators import profile, report, sequence
-from packetloom.operators.clean import align_features, impute_tcp_or_median
+from packetloom.operators.clean import align_features, finite, impute_tcp_or_median
 from packetloom.schema import MODEL_FEATURES, PACKET_ORDER
 from packetloom.session import settled
 
@@ -49,12 +49,19 @@ def hold_out(vectors: DataFrame, share: float = 0.2, row_key: Sequence[str] = ("
     return vectors.where(~held), vectors.where(held)
 
 
+def training_rows(vectors: DataFrame, features: Sequence[str], row_key: Sequence[str] = ("client_ip", "frame_no")) -> DataFrame:
+    """What a forest is fitted on: the key and all features as numbers, absent and infinite ones missing, missing ones imputed."""
+    columns = [finite(vectors, f).cast("double").alias(f) if f in vectors.columns else F.lit(None).cast("double").alias(f) for f in features]
+    numbers = impute_tcp_or_median(vectors.select(F.struct(*row_key).alias("__key"), *columns))
+    return numbers.select("__key.*", *features)
+
+
 def train(
     vectors: DataFrame, features: Sequence[str] = MODEL_FEATURES, contamination: float | str = "auto",
     length: int | None = None, encoding_dim: int = 32, row_key: Sequence[str] = ("client_ip", "frame_no"), **forest_options,
 ) -> Models:
     """Fit the forest, and the sequence model when a sequence length is given."""
-    clean = settled(impute_tcp_or_median(align_features(vectors, features).select(*row_key, *[F.col(f).alias(f) for f in features])))
+    clean = settled(training_rows(vectors, features, row_key))
     forest = iforest.fit(clean, features, row_key, contamination=contamination, **forest_options)
     if length is None:
         return Models(forest)
@@ -74,8 +81,8 @@ def load_or_train(spark: SparkSession, path: str, vectors: DataFrame, **options)
     return forest
 
 
-def detect(vectors: DataFrame, models: Models, mode: str = "collaborative", length: int = sequence.LENGTH, **thresholds) -> DataFrame:
-    """Scores, verdict, severity and ``anomaly`` (-1 or 1) per session."""
+def detect(vectors: DataFrame, models: Models, mode: str = "collaborative", length: int | None = None, **thresholds) -> DataFrame:
+    """Scores, verdict, severity and ``anomaly`` (-1 or 1) per session. Sequences are as long as the model's; another ``length`` is an error."""
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}; one of {MODES}")
     compared = profile.compare_with_history(vectors)
@@ -85,6 +92,9 @@ def detect(vectors: DataFrame, models: Models, mode: str = "collaborative", leng
         return triage.with_severity(judged).withColumn("anomaly", F.when(F.col("decision") < 0, -1).otherwise(1))
     if models.sequences is None:
         raise ValueError(f"mode {mode!r} needs a sequence model")
+    if length not in (None, models.sequences.length):
+        raise ValueError(f"the sequence model takes sequences of {models.sequences.length}, not {length}")
+    length = models.sequences.length
     features = models.forest.features
     ready = sequence.behaviour_sequences(align_features(scored, features), "client_ip", features, length, profile.SESSION_SLICE)
     sequences = models.sequences

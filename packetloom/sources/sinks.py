@@ -22,16 +22,18 @@ def write_report(tables: Mapping[str, DataFrame], path: str) -> None:
         table.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-def report_page(tables: Mapping[str, DataFrame], title: str = "Network Traffic Analysis Report") -> str:
-    """A plain HTML page; only the first rows of each small table come to the driver."""
+def report_page(tables: Mapping[str, DataFrame], title: str = "Traffic report") -> str:
+    """A plain HTML page. Of a table with more than PAGE_ROWS rows it shows that many and says of how many."""
     parts = [f"<html><head><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>"]
     for name, table in tables.items():
-        rows = table.limit(PAGE_ROWS).collect()
+        rows = table.limit(PAGE_ROWS + 1).collect()
+        note = f"<p>The first {PAGE_ROWS} of {table.count()} rows.</p>" if len(rows) > PAGE_ROWS else ""
+        rows = rows[:PAGE_ROWS]
         parts.append(f"<h2>{html.escape(name.replace('_', ' '))}</h2>")
         if not rows:
             parts.append("<p>Nothing to report.</p>")
             continue
         cells = lambda values, tag: "".join(f"<{tag}>{html.escape(str(v))}</{tag}>" for v in values)
         body = "".join(f"<tr>{cells(r, 'td')}</tr>" for r in rows)
-        parts.append(f"<table><tr>{cells(table.columns, 'th')}</tr>{body}</table>")
+        parts.append(f"{note}<table><tr>{cells(table.columns, 'th')}</tr>{body}</table>")
     return "".join(parts) + "</body></html>"

@@ -56,11 +56,12 @@ class ProfileProcessor(StatefulProcessor):
                 "is_new_uri_for_ip": self._is_new("uri", uri, us),
                 "is_new_user_agent_for_ip": self._is_new("user_agent", agent, us),
                 "is_first_session_for_ip": int(sessions == 0),
-                "days_since_first_seen": 0.0 if first is None else (us - first) / 1e6 / _DAY,
-                "days_since_last_seen": 0.0 if last is None else (us - last) / 1e6 / _DAY,
+                # A session that arrives after later ones is no time after them.
+                "days_since_first_seen": 0.0 if first is None else max(us - first, 0) / 1e6 / _DAY,
+                "days_since_last_seen": 0.0 if last is None else max(us - last, 0) / 1e6 / _DAY,
             }
             sessions, total = sessions + 1, total + int(row.total_bytes)
-            first, last = us if first is None else first, us
+            first, last = us if first is None else min(first, us), us if last is None else max(last, us)
             history = (history + [json.dumps({"us": us, "uri": uri, "user_agent": agent, "total_bytes": int(row.total_bytes)})])[-HISTORY:]
             out.append({
                 "client_ip": key[0], "timestamp": row.timestamp, "frame_no": row.frame_no, "uri": uri, "user_agent": agent,
@@ -93,13 +94,16 @@ class SequenceProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         last = [list(v[0]) for v in self.last.get()] if self.last.exists() else []
-        out = []
-        for _, row in _in_order(rows).iterrows():
-            last = (last + [[0.0 if pd.isna(row[c]) else float(row[c]) for c in self.columns]])[-self.length :]
-            out.append({"client_ip": key[0], "timestamp": row["timestamp"], "frame_no": row["frame_no"],
-                        "sequence": list(last), "is_ready": int(len(last) == self.length)})
-        self.last.put([(v,) for v in last])
-        yield pd.DataFrame(out)
+        ordered = _in_order(rows)
+        vectors = last + ordered[self.columns].astype(float).fillna(0.0).to_numpy().tolist()
+        before = len(last)
+        ends = range(before + 1, len(vectors) + 1)
+        sequences = [vectors[max(0, end - self.length) : end] for end in ends]
+        self.last.put([(v,) for v in vectors[-self.length :]])
+        yield pd.DataFrame({
+            "client_ip": key[0], "timestamp": ordered["timestamp"], "frame_no": ordered["frame_no"], "sequence": sequences,
+            "is_ready": [int(len(s) == self.length) for s in sequences],
+        })
 
     def close(self) -> None:
         pass
