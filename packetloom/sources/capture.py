@@ -11,6 +11,7 @@ import ipaddress
 import struct
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -19,7 +20,12 @@ from packetloom.schema import PACKET_SCHEMA
 from packetloom.sources.records import discover, union_records
 
 CHUNK = 64 * 1024 * 1024
-_CHUNKS = "path string, start long, stop long, first_frame long, order string, nanos boolean, link int"
+_CHUNKS = "path string, start long, stop long, first_frame long, order string, nanos boolean, link int, damaged boolean"
+
+# Captured bytes of one record at most, where the file does not allow more; how far apart the times of neighbouring records may be
+# when records are looked for behind damage.
+_LONGEST = 262_144
+_APART_SECONDS = 366 * 86_400
 _DECODED = T.StructType([*PACKET_SCHEMA.fields, T.StructField("malformed", T.BooleanType())])
 
 # File magic -> (byte order, nanosecond clock); link types with the size of their header (fixed values).
@@ -39,34 +45,76 @@ def _open(path: str):
     return system.open_input_file(inner)
 
 
+def _resume(f, at: int, size: int, order: str, nanos: bool, longest: int, second: int | None, block: int) -> int:
+    """The next place from ``at`` on where a record header makes sense and is followed by another one or by the end; else the end."""
+
+    def fits(pos: int) -> bool:
+        f.seek(pos)
+        head = f.read(16)
+        if len(head) < 16:
+            return not head
+        _, frac, caught, wire = struct.unpack(order + "IIII", head)
+        return caught <= longest and caught <= wire and frac < (10**9 if nanos else 10**6) and pos + 16 + caught <= size
+
+    while at + 16 <= size:
+        f.seek(at)
+        raw = f.read(min(block, size - at))
+        data = np.frombuffer(raw, np.uint8)
+        n = len(data) - 15
+        if n <= 0:
+            break
+        weights = np.array([1, 1 << 8, 1 << 16, 1 << 24] if order == "<" else [1 << 24, 1 << 16, 1 << 8, 1], np.int64)
+        sec, frac, caught, wire = (sum(data[k + i : k + i + n].astype(np.int64) * weights[i] for i in range(4)) for k in (0, 4, 8, 12))
+        good = (frac < (10**9 if nanos else 10**6)) & (caught <= longest) & (caught <= wire) & (wire > 0) & (at + np.arange(n) + 16 + caught <= size)
+        if second is not None:
+            good &= np.abs(sec - second) <= _APART_SECONDS
+        for i in np.flatnonzero(good).tolist():
+            if fits(at + i + 16 + int(caught[i])):
+                return at + i
+        at += n
+    return size
+
+
 def index_file(path: str, chunk: int = CHUNK, block: int = 4 * 1024 * 1024) -> Iterator[tuple]:
-    """(path, start, stop, first frame, byte order, nanos, link) per chunk; a cut-off last record ends the file."""
+    """(path, start, stop, first frame, byte order, nanos, link, damaged) per chunk.
+
+    Where a record header cannot be right, a chunk of its own marks the damage up to the next header that makes sense, and counts as
+    one frame; a cut-off last record is such a place too.
+    """
     with _open(path) as f:
         head = f.read(24)
         if len(head) < 24 or head[:4] not in _MAGIC:
             raise ValueError(f"{path} is not a pcap file")
         order, nanos = _MAGIC[head[:4]]
         link = struct.unpack(order + "I", head[20:24])[0] & 0x0FFFFFFF
-        size, at, frame = f.size(), 24, 1
+        longest = max(struct.unpack(order + "I", head[16:20])[0] & 0x7FFFFFFF, _LONGEST)
+        size, at, frame, second = f.size(), 24, 1, None
         start, first = at, frame
         base, data = at, b""
-        while at + 16 <= size:
+        while at < size:
             if at + 16 > base + len(data):
                 base = at
                 f.seek(base)
                 data = f.read(block)
-            length = struct.unpack_from(order + "I", data, at - base + 8)[0]
-            if at + 16 + length > size:
-                break
+            sec, length = struct.unpack_from(order + "I4xI", data, at - base) if at + 16 <= size else (0, size)
+            if length > longest or at + 16 + length > size:
+                if at > start:
+                    yield path, start, at, first, order, nanos, link, False
+                resumed = _resume(f, at + 1, size, order, nanos, longest, second, block)
+                yield path, at, resumed, frame, order, nanos, link, True
+                at, frame, data = resumed, frame + 1, b""
+                start, first = at, frame
+                continue
+            second = sec
             at += 16 + length
             frame += 1
             if at - start >= chunk:
-                yield path, start, at, first, order, nanos, link
+                yield path, start, at, first, order, nanos, link, False
                 start, first = at, frame
             if at >= base + len(data):
                 data = b""
         if at > start:
-            yield path, start, at, first, order, nanos, link
+            yield path, start, at, first, order, nanos, link, False
 
 
 def _records(chunk) -> Iterator[tuple[int, int, int, bytes]]:
@@ -174,6 +222,11 @@ def _decode(batches: Iterator[pd.DataFrame], on_malformed: str) -> Iterator[pd.D
     for batch in batches:
         for chunk in batch.itertuples():
             rows: list[dict] = []
+            if chunk.damaged:
+                if on_malformed == "raise":
+                    raise ValueError(f"{chunk.path}: no record header between bytes {chunk.start} and {chunk.stop}")
+                yield frame([{"file_path": chunk.path, "frame_no": chunk.first_frame, "malformed": True}])
+                continue
             for number, us, wire, data in _records(chunk):
                 row = {"file_path": chunk.path, "frame_no": number, "timestamp": pd.Timestamp(us, unit="us", tz="UTC"), "frame_len": wire, "malformed": False}
                 try:
@@ -196,7 +249,7 @@ def read_captures(
     """Every packet of the captures below ``paths`` in the fixed schema.
 
     Frames whose headers do not add up are dropped (``skip``), kept with ``malformed`` set (``mark``) or fail
-    the job (``raise``).
+    the job (``raise``). So is damage between records, which costs the records it touches, not those behind it.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     files = union_records([discover(spark, p, pattern) for p in paths])
@@ -204,8 +257,8 @@ def read_captures(
     if not total["files"]:
         empty = spark.createDataFrame([], _DECODED)
         return empty if on_malformed == "mark" else empty.drop("malformed")
-    tasks = min(total["bytes"] // chunk + total["files"], 100_000)
-    index = files.repartition(min(total["files"], 100_000)).mapInPandas(lambda it: _index(it, chunk), _CHUNKS)
+    tasks = total["bytes"] // chunk + total["files"]
+    index = files.repartition(total["files"]).mapInPandas(lambda it: _index(it, chunk), _CHUNKS)
     # A fixed number of partitions: the chunk list is tiny, its work is not.
     decoded = index.repartition(tasks).mapInPandas(lambda it: _decode(it, on_malformed), _DECODED)
     return decoded if on_malformed == "mark" else decoded.where(~F.col("malformed")).drop("malformed")

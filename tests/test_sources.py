@@ -102,6 +102,25 @@ def test_capture_in_many_chunks(spark, tmp_path):
     assert whole == {"long.pcap": (300, 1, 300, 300), "cut.pcap": (299, 1, 299, 299)}
 
 
+@pytest.mark.parametrize("chunk", [300, 5_000, 1 << 26])
+def test_damage_costs_only_the_records_it_touches(spark, tmp_path, chunk):
+    _pcap(tmp_path / "d.pcap", [FRAMES[i % 3] for i in range(120)])
+    data = bytearray((tmp_path / "d.pcap").read_bytes())
+    at, starts = 24, []
+    while at < len(data):
+        starts.append(at)
+        at += 16 + struct.unpack_from("<I", data, at + 8)[0]
+    for i in (5, 60, 90):
+        struct.pack_into("<I", data, starts[i] + 8, 0xFFFFFFF0)
+    (tmp_path / "d.pcap").write_bytes(data)
+    marked = capture.read_captures(spark, str(tmp_path), "mark", chunk=chunk).collect()
+    assert sorted(r["frame_no"] for r in marked) == list(range(1, 121))
+    assert sorted(r["frame_no"] for r in marked if r["malformed"]) == [6, 61, 91]
+    assert capture.read_captures(spark, str(tmp_path), chunk=chunk).count() == 117
+    with pytest.raises(Exception, match="no record header"):
+        capture.read_captures(spark, str(tmp_path), "raise", chunk=chunk).collect()
+
+
 def test_session_export(spark, tmp_path):
     (tmp_path / "e.csv").write_text("firstPacket,Src IP,dst.port,Weird#Name\n2024-01-01 00:00:01,10.0.0.1,80,x\nnot a time,10.0.0.2,81,y\n")
     rows = exports.read_session_export(spark, str(tmp_path / "e.csv")).collect()

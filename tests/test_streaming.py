@@ -126,3 +126,48 @@ def test_alerts(spark, sessions):
     expected = alerts.judged(s, model, 0.6, 0.5).where("result_type <> 'normal'").select(*got.columns)
     assert expected.count() > 0
     _same(got, expected)
+
+
+class _Value:
+    def __init__(self):
+        self.held = None
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        return self.held
+
+    def update(self, value):
+        self.held = value
+
+    put = update
+
+
+class _Map(dict):
+    def containsKey(self, key):
+        return key in self
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+
+class _Handle:
+    def getValueState(self, *_):
+        return _Value()
+
+    getListState = getValueState
+
+    def getMapState(self, *_):
+        return _Map()
+
+
+def test_a_late_session_keeps_first_and_last():
+    import pandas as pd
+
+    processor = state.ProfileProcessor()
+    processor.init(_Handle())
+    session = lambda day, n: pd.DataFrame({"timestamp": [pd.Timestamp(f"2024-01-{day:02d}")], "frame_no": [n], "uri": ["/a"], "user_agent": [None], "total_bytes": [1]})
+    rows = [next(processor.handleInputRows(("c",), iter([session(day, n)]), None)).iloc[0] for n, day in enumerate((10, 4, 12))]
+    assert [r["days_since_last_seen"] for r in rows] == [0.0, 0.0, 2.0]
+    assert [r["days_since_first_seen"] for r in rows] == [0.0, 0.0, 8.0]

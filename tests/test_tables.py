@@ -48,6 +48,14 @@ def test_narrowing_copes_with_copies(spark):
     assert exact_quantiles(df, ["x"], [0.25, 0.5], small=5)["x"] == [1.0, 1.0]
 
 
+def test_infinities_are_values_at_any_size(spark):
+    df = spark.range(51).select(F.when(F.col("id") == 50, float("inf")).otherwise(F.col("id") * 1.0).alias("x"), F.lit(float("-inf")).alias("y"))
+    for small in (2, 7, 10_000):
+        got = exact_quantiles(df, ["x", "y"], [0.0, 0.5, 1.0], small=small)
+        assert got == {"x": [0.0, 25.0, float("inf")], "y": [float("-inf")] * 3}
+    assert exact_quantiles(df, ["x"], [0.5, 0.5], method=["linear", "lower"])["x"] == [25.0, 25.0]
+
+
 def test_align_features_fails_on_request(dirty):
     with pytest.raises(ValueError):
         clean.align_features(dirty, ["nope"], on_missing="error")
