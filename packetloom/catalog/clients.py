@@ -50,6 +50,29 @@ def _(spark, sf):
     return enrich.locate(enrich.unique_ips(packets(spark, sf)), _networks(spark))
 
 
+# IPv6 networks of the same attributes; the third group of an address tells which of them hold it.
+_NETWORKS_V6 = [
+    ("2001:db8::/32", "Doc", "DC", "Wide", 1.0, 1.5, 64700, "Wide", 0, 65535), ("2001:db8:1::/48", "Doc", "DC", "One", 2.0, 2.5, 64701, "One", 1, 1),
+    ("2001:db8:2::/47", "Doc", "DC", "Pair", 3.0, 3.5, 64702, "Pair", 2, 3),
+]
+_V6_IP = "'2001:' || CASE frame_no % 7 WHEN 6 THEN 'db9' ELSE 'db8' END || ':' || cast(frame_no % 5 AS string) || '::' || cast(frame_no % 40 AS string)"
+STEPS["networks6"] = "SELECT * FROM (VALUES " + ", ".join(str(r) for r in _NETWORKS_V6) + (
+    ") AS t(network, country, country_iso, city, latitude, longitude, asn, asn_org, low, high)"
+)
+STEPS["ips6"] = f"SELECT DISTINCT {_V6_IP.replace('AS string', 'AS VARCHAR')} AS ip FROM packets"
+STEPS["located6"] = f"""SELECT ip, (low IS NOT NULL)::INT AS found, {', '.join(_GEO)} FROM (SELECT * FROM ips6 LEFT JOIN networks6
+    ON split_part(ip, ':', 2) = 'db8' AND CAST(split_part(ip, ':', 3) AS INT) BETWEEN low AND high)
+    QUALIFY row_number() OVER (PARTITION BY ip ORDER BY high - low) = 1"""
+
+
+@query("enrich_locate_both", f"ip:s found {_GEO_OUT}", "SELECT * FROM located UNION ALL SELECT * FROM located6", _GEO_STEPS + " networks6 ips6 located6")
+def _(spark, sf):
+    rows = packets(spark, sf)
+    kinds = "network string, country string, country_iso string, city string, latitude double, longitude double, asn long, asn_org string"
+    both = enrich.networks_from_cidr(spark.createDataFrame(_NETWORKS + [r[:8] for r in _NETWORKS_V6], kinds))
+    return enrich.locate(enrich.unique_ips(rows).union(rows.select(F.expr(_V6_IP).alias("ip")).distinct()), both)
+
+
 @query(
     "enrich_attach", "frame_no src_ip:s dst_ip:s src_country:s src_city:s src_asn dst_country:s dst_city:s dst_latitude:f dst_asn_org:s",
     """SELECT p.frame_no, p.src_ip, p.dst_ip, s.country AS src_country, s.city AS src_city, s.asn AS src_asn, d.country AS dst_country,

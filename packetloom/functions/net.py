@@ -91,6 +91,13 @@ def ipv4_to_long(ip: str) -> Column:
     return F.expr(_long_sql(ip))
 
 
+def address_bits(ip: str) -> Column:
+    """'4' or '6' and the bits of an address (a column name), so that a network is a prefix; anything else is NULL."""
+    v6 = _let(_hextets_sql(ip), "h", "concat('6', array_join(transform(h, g -> lpad(bin(g), 16, '0')), ''))")
+    v4 = _let(_long_sql(ip), "v", "concat('4', lpad(bin(v), 32, '0'))")
+    return F.expr(f"CASE WHEN instr({ip}, ':') > 0 THEN {v6} ELSE {v4} END")
+
+
 def in_networks(ip: str, networks: Sequence[str] = LOCAL_NETWORKS) -> Column:
     """True when the IPv4 address lies in one of the CIDR blocks; never NULL."""
     return F.expr(f"coalesce({_let(_long_sql(ip), 'v', _blocks_sql('v', networks))}, false)")

@@ -7,7 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from packetloom.functions.net import ipv4_to_long
+from packetloom.functions.net import address_bits, ipv4_to_long
 from packetloom.operators.slices import DEFAULT_SLICE, merge_back
 
 GEO_COLUMNS = ("country", "country_iso", "city", "latitude", "longitude", "asn", "asn_org")
@@ -24,31 +24,32 @@ def unique_ips(df: DataFrame) -> DataFrame:
 
 
 def networks_from_cidr(df: DataFrame, column: str = "network") -> DataFrame:
-    """Add ``start`` and ``end`` (numbers) for an IPv4 CIDR column."""
+    """Add ``prefix`` (the network's bits) for an IPv4 or IPv6 CIDR column, and ``start`` and ``end`` (numbers) for IPv4."""
     parts = df.withColumn("__base", F.split_part(column, F.lit("/"), F.lit(1))).withColumn(
-        "__size", F.pow(F.lit(2.0), 32 - F.split_part(column, F.lit("/"), F.lit(2)).cast("int")).cast("long")
+        "__bits", F.split_part(column, F.lit("/"), F.lit(2)).cast("int")
     )
     start = ipv4_to_long("__base")
-    return parts.withColumn("start", start).withColumn("end", F.col("start") + F.col("__size") - 1).drop("__base", "__size")
+    size = F.pow(F.lit(2.0), 32 - F.col("__bits")).cast("long")
+    return parts.withColumns({
+        "start": start, "end": start + size - 1, "prefix": F.substring(address_bits("__base"), F.lit(1), F.col("__bits") + 1),
+    }).drop("__base", "__bits")
 
 
 def locate(ips: DataFrame, networks: DataFrame, attributes: Sequence[str] = GEO_COLUMNS) -> DataFrame:
-    """Attributes of the most specific network that holds each address; ``found`` is 0 when none does.
+    """Attributes of the most specific network (with a ``prefix``) that holds each address; ``found`` is 0 when none does.
 
-    Networks are cut at /16 borders, so the range test becomes an equi-join on the /16 plus a check. Addresses
-    are distinct, hence no /16 holds more than 65 536 of them.
+    An address is joined under its prefix of each length that a network has: at most 33 lengths for IPv4 and 129 for IPv6. Of
+    equal networks the one with the smallest attributes counts.
     """
-    cells = networks.withColumn(
-        "__cell", F.explode(F.sequence(F.shiftright("start", 16), F.shiftright("end", 16)))
-    ).select("start", "end", "__cell", *attributes)
-    numbered = ips.select("ip").withColumn("__n", ipv4_to_long("ip")).withColumn("__cell", F.shiftright("__n", 16))
-    inside = (F.col("a.__cell") == F.col("b.__cell")) & F.col("__n").between(F.col("start"), F.col("end"))
-    best = (
-        numbered.alias("a").join(cells.alias("b"), inside, "left")
-        .groupBy("ip").agg(F.min(F.when(F.col("start").isNotNull(), F.struct((F.col("end") - F.col("start")).alias("__size"), "start", *attributes))).alias("best"))
-    )
-    return best.select("ip", F.when(F.col("best.start").isNotNull(), 1).otherwise(0).alias("found"),
-                       *[F.col(f"best.{a}").alias(a) for a in attributes])
+    nets = networks.where(F.col("prefix").isNotNull()).select("prefix", *attributes)
+    lengths = sorted(r["n"] for r in nets.select(F.length("prefix").alias("n")).distinct().collect())
+    named = ips.select("ip").withColumn("__bits", address_bits("ip"))
+    fitting = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("__bits"))
+    prefixes = F.transform(fitting, lambda n: F.substring(F.col("__bits"), F.lit(1), n))
+    keyed = named.select("ip", F.explode_outer(prefixes).alias("prefix"))
+    best = F.min(F.when(F.col("__net").isNotNull(), F.struct((-F.length("prefix")).alias("__length"), *attributes)))
+    out = keyed.join(nets.withColumn("__net", F.lit(1)), "prefix", "left").groupBy("ip").agg(best.alias("best"))
+    return out.select("ip", F.when(F.col("best").isNotNull(), 1).otherwise(0).alias("found"), *[F.col(f"best.{a}").alias(a) for a in attributes])
 
 
 def attach(df: DataFrame, dim: DataFrame, width: str | int = DEFAULT_SLICE, ts: str = "timestamp") -> DataFrame:

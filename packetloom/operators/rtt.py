@@ -87,6 +87,13 @@ def mean_of_present(a: Column, b: Column) -> Column:
     return F.coalesce((a + b) / 2, a, b)
 
 
+def rtt_stats_of(acked: DataFrame, shakes: DataFrame, width: str | int = DEFAULT_SLICE) -> DataFrame:
+    """RTT statistics per ``flow_key`` from packets that have their ``rtt_ack_ms`` and the handshakes of their flows."""
+    narrow = with_flow_key(acked).select("timestamp", "frame_no", "flow_key", "rtt_ack_ms")
+    samples = merge_back(narrow, shakes, ["flow_key"], width, source=narrow)
+    return _stats(samples.withColumn("rtt_combined_ms", mean_of_present(F.col("rtt_ms"), F.col("rtt_ack_ms"))))
+
+
 def _samples(df: DataFrame, timeout, local_networks, direction, width) -> DataFrame:
     """Packets with ``rtt_ack_ms``, plus each flow's handshake time as ``rtt_ms``."""
     shakes = handshake_rtt(df, timeout, local_networks, width=width)

@@ -59,6 +59,9 @@ def build_features(df: DataFrame, options: FeatureOptions | None = None) -> Data
 
 
 def _with_group_features(base: DataFrame, groups: set[str], o: FeatureOptions) -> DataFrame:
+    if "rtt" in groups and set(rtt.REQUIRED) <= set(base.columns):
+        # Acknowledgements are matched once; everything after reads the written column.
+        base = settled(rtt.with_ack_rtt(base, o.rtt_timeout, width=o.slice_width))
     out = base
     if "host" in groups:
         out = host.with_host_features(out, o.host_window, o.slice_width, source=base)
@@ -74,12 +77,12 @@ def _with_group_features(base: DataFrame, groups: set[str], o: FeatureOptions) -
 
 def _with_flow_level(df: DataFrame, base: DataFrame, groups: set[str], o: FeatureOptions) -> DataFrame:
     flows = flow.flow_table(base, o.slice_width)
-    with_rtt = "rtt" in groups and set(rtt.REQUIRED) <= set(base.columns)
+    with_rtt = "rtt" in groups and "rtt_ack_ms" in base.columns
     if with_rtt:
-        stats = rtt.rtt_table(base, o.rtt_timeout, o.local_networks, width=o.slice_width)
-        shakes = rtt.handshake_rtt(base, o.rtt_timeout, o.local_networks)
+        # At most one row per flow.
+        shakes = settled(rtt.handshake_rtt(base, o.rtt_timeout, o.local_networks))
+        stats = rtt.rtt_stats_of(base, shakes, o.slice_width)
         flows = rtt.with_flow_key(flows).join(stats, "flow_key", "left").join(shakes, "flow_key", "left").drop("flow_key")
-        df = rtt.with_ack_rtt(df, o.rtt_timeout, width=o.slice_width, source=base)
     if "session" in groups:
         sessions = session.session_table(base, o.local_networks)
         flows = flows.withColumn("session_key", session_key()).join(sessions, "session_key").drop("session_key")
