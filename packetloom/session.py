@@ -42,11 +42,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, for one written table or one stream checkpoint."""
-    return f"{shared_dir(spark).rstrip('/')}/packetloom/{uuid.uuid4().hex}/{name}"
+    return f"{_run_dir(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def _run_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/packetloom/{spark.sparkContext.applicationId}"
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Removes all that this application has written below the shared folder. Tables read from there are gone with it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_run_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """The rows written once to the shared folder, so later passes read only the columns they need from there."""
+    """The rows written once to the shared folder, so later passes read only the columns they need from there.
+
+    The table stays until ``remove_scratch`` is called.
+    """
     path = scratch_path(df.sparkSession, "settled")
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -5,14 +5,20 @@ from __future__ import annotations
 import html
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F, types as T
 
 # Rows of a table that may reach the page; the table itself is written whole.
 PAGE_ROWS = 1_000
 
 
+def iso_times(df: DataFrame) -> DataFrame:
+    """Timestamps as ISO 8601 text with microseconds and offset, as exports want them; other columns stay."""
+    times = [f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampType)]
+    return df.withColumns({c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx") for c in times})
+
+
 def write_training_set(df: DataFrame, path: str, fmt: str = "csv") -> None:
-    writer = df.write.mode("overwrite").format(fmt)
+    writer = (iso_times(df) if fmt == "csv" else df).write.mode("overwrite").format(fmt)
     (writer.option("header", "true") if fmt == "csv" else writer).save(path)
 
 

@@ -161,3 +161,25 @@ def test_report_files(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "r" / "protocols")).count() == 1
     page = sinks.report_page(tables)
     assert "&lt;TCP&gt;" in page and "Nothing to report." in page
+
+
+def test_times_as_iso_text(spark):
+    df = spark.sql("SELECT timestamp'2024-01-02 03:04:05.678901 UTC' AS t, 1 AS n")
+    assert sinks.iso_times(df).first()[:] == ("2024-01-02T03:04:05.678901+00:00", 1)
+
+
+def test_a_page_says_what_it_leaves_out(spark):
+    page = sinks.report_page({"long_table": spark.range(sinks.PAGE_ROWS + 5), "short": spark.range(2), "none": spark.range(0)})
+    assert f"The first {sinks.PAGE_ROWS} of {sinks.PAGE_ROWS + 5} rows." in page and page.count("The first") == 1 and "Nothing to report." in page
+
+
+def test_scratch_is_removed(spark):
+    from packetloom import session
+
+    path = session.scratch_path(spark, "x")
+    spark.range(3).write.parquet(path)
+    other = spark.newSession()
+    assert other.read.parquet(path).count() == 3
+    session.remove_scratch(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        other.read.parquet(path)
