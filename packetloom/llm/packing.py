@@ -11,7 +11,6 @@
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
 
@@ -22,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from packetloom.llm import textbytes
+from packetloom.llm import textbytes, tokencount
 from packetloom.session import settled
 
 SEQUENCE = 4096
@@ -46,31 +45,44 @@ def _ranks(seed: int, size: int = 1 << 16) -> np.ndarray:
     return _MIXED[seed]
 
 
-def _load(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    if tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16:
-        raise ValueError("token ids must fit 16 bits")
-    return tokenizer
-
-
-def encode_texts(texts: list[str | None], tokenizer, memory: dict[str, bytes]) -> list[bytes]:
-    """Ids (little-endian, 16 bits) of each whole text. The vocabulary drops white space, so no token crosses a blank."""
-    split = [(text or "").replace("\n", " ").split(" ") for text in texts]
-    new = set().union(*split).difference(memory)
-    if len(memory) + len(new) > REMEMBERED:
-        memory.clear()
-        new = set().union(*split)
-    words = list(new)
-    for i in range(0, len(words), 20_000):
-        part = words[i : i + 20_000]
-        for word, encoding in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            memory[word] = np.array(encoding.ids, "<u2").tobytes()
-    return [b"".join(map(memory.__getitem__, words)) for words in split]
+class Encoder:
+    """Ids of blank-separated stretches, as the library gives them. New stretches are cut into the vocabulary's pre-tokens, and those not
+    seen before are merged together; stretches with special tokens are left to the library."""
+
+    def __init__(self, path: str):
+        self.rules = tokencount.loaded(path)
+        self.library = self.rules.library
+        if self.library.get_vocab_size(with_added_tokens=True) > 1 << 16:
+            raise ValueError("token ids must fit 16 bits")
+        self.pieces: dict[str, bytes] = {}
+        self.memory: dict[str, bytes] = {}
+
+    def _learn(self, tokens: list[str]) -> None:
+        ids, sizes = self.rules.merged([t.encode("utf-8") for t in tokens])
+        data = ids.astype("<u2").tobytes()
+        stops = np.cumsum(2 * sizes)
+        for token, begin, stop in zip(tokens, (stops - 2 * sizes).tolist(), stops.tolist(), strict=True):
+            self.pieces[token] = data[begin:stop]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids (little-endian, 16 bits) of each whole text. The vocabulary drops white space, so no token crosses a blank."""
+        split = [(text or "").replace("\n", " ").split(" ") for text in texts]
+        new = set().union(*split).difference(self.memory)
+        if len(self.memory) + len(new) > REMEMBERED:
+            self.memory.clear()
+            self.pieces.clear()
+            new = set().union(*split)
+        found: dict[str, list[str]] = {}
+        for stretch in new:
+            if "<|" in stretch:
+                self.memory[stretch] = np.array(self.library.encode(stretch, add_special_tokens=False).ids, "<u2").tobytes()
+            else:
+                found[stretch] = self.rules.pre_tokens(stretch)
+        self._learn(list({t for tokens in found.values() for t in tokens}.difference(self.pieces)))
+        pieces = self.pieces
+        for stretch, tokens in found.items():
+            self.memory[stretch] = pieces[tokens[0]] if len(tokens) == 1 else b"".join([pieces[t] for t in tokens])
+        return [b"".join(map(self.memory.__getitem__, words)) for words in split]
 
 
 def token_ids(docs: DataFrame, carry: list[str], key: str, text: str, vocabulary: str, end: int) -> DataFrame:
@@ -82,11 +94,11 @@ def token_ids(docs: DataFrame, carry: list[str], key: str, text: str, vocabulary
     closing = np.array([end], "<u2").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, memory = _load(path), {}
+        encoder = Encoder(path)
         for batch in batches:
             for row, _, offsets in textbytes.slices(batch.column(2)):
                 n = len(offsets) - 1
-                ids = [x + closing for x in encode_texts(batch.column(2).slice(row, n).to_pylist(), tokenizer, memory)]
+                ids = [x + closing for x in encoder.encode(batch.column(2).slice(row, n).to_pylist())]
                 sizes = np.fromiter(map(len, ids), np.int64, n) // 2
                 flat = np.frombuffer(b"".join(ids), "<u2")
                 at = np.cumsum(sizes) - sizes
@@ -286,3 +298,4 @@ def op10_lexical_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFram
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return pack(docs, ["doc_id"]).select("doc.doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+

@@ -10,7 +10,6 @@ never counts.
 from __future__ import annotations
 
 import json
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +18,7 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
+from tokenizers import Tokenizer
 
 from packetloom.llm import textbytes
 
@@ -28,6 +28,10 @@ LIMIT = 2048
 REMEMBERED = 400_000
 
 
+#: Anything but printable ASCII, Latin letters and common punctuation: these need no normalisation but lower case.
+_RARE = regex.compile("[^\\t\\n\\r\\x20-\\x7e\\xa1-\\u02ff\\u2010-\\u2027\\u2030-\\u205e\\u20ac]")
+
+
 def byte_symbols() -> list[str]:
     """The printable stand-in of each byte in byte-level vocabularies."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -40,7 +44,8 @@ class Merges:
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
+            text = file.read()
+        spec = json.loads(text)
         model = spec["model"]
         vocab = model["vocab"]
         self.size = np.int64(max(vocab.values()) + 1)
@@ -60,13 +65,14 @@ class Merges:
         self.first = self.rank_of(np.repeat(self.inner[every], 512), np.tile(second, 256)).reshape(256, 512)
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"])
+        self.library = Tokenizer.from_str(text)
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]))
 
-    def counts(self, sequences: list[bytes]) -> np.ndarray:
-        """The number of symbols that survive in each (non-empty) sequence of bytes."""
+    def merged(self, sequences: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, numbers of ids) that survive in each (non-empty) sequence of bytes, one sequence after another."""
         n = len(sequences)
         if not n:
-            return np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         lengths = np.fromiter(map(len, sequences), np.int64, n)
         data = np.frombuffer(b"".join(sequences), np.uint8)
         ids = self.inner[data]
@@ -81,15 +87,18 @@ class Merges:
         rank[pair] = self.first[data[pair], data[pair + 1] + 256 * (~inside[pair + 1]).astype(np.int64)]
         starts = last + 1 - lengths
         out = np.zeros(n, np.int64)
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
         while True:
             lowest = np.minimum.reduceat(rank, starts)
             # Sequences without a mergeable pair are done: count them and go on with the others.
             sizes = np.diff(starts, append=len(ids))
             done = lowest == self.none
             out[owner[starts[done]]] = sizes[done]
-            if done.all():
-                return out
             keep = np.repeat(~done, sizes)
+            kept.append((owner[~keep], ids[~keep]))
+            if done.all():
+                order = np.argsort(np.concatenate([o for o, _ in kept]), kind="stable")
+                return np.concatenate([i for _, i in kept])[order], out
             ids, owner, rank, inside = ids[keep], owner[keep], rank[keep], inside[keep]
             sizes, lowest = sizes[~done], lowest[~done]
             at = np.flatnonzero(rank == np.repeat(lowest, sizes))
@@ -125,9 +134,13 @@ class Merges:
 
     def pre_tokens(self, stretch: str) -> list[str]:
         """The pre-tokens of a stretch of text without special tokens."""
-        # Lower case is taken character by character: the library has no final form of sigma.
-        plain = stretch.lower() if stretch.isascii() else unicodedata.normalize("NFC", stretch).replace("Σ", "σ").lower()
-        return [plain] if plain.isascii() and plain.isalpha() else self.pattern.findall(plain)
+        if stretch.isascii() and stretch.isalpha():
+            return [stretch.lower()]
+        if _RARE.search(stretch):
+            # Character tables differ between versions of Unicode; the library's own decide beyond the common characters.
+            plain = self.library.normalizer.normalize_str(stretch)
+            return [plain[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(plain)]
+        return self.pattern.findall(stretch.lower())
 
     def stretch_counts(self, stretches: list[str]) -> list[int]:
         """The number of tokens of each stretch. A special token's string counts as one token, as the library does by default."""
@@ -144,7 +157,7 @@ class Merges:
             for token in found:
                 numbers.append(index.setdefault(token, len(index)))
                 owner.append(i)
-        counts = self.counts([t.encode("utf-8") for t in index])
+        _, counts = self.merged([t.encode("utf-8") for t in index])
         total = np.bincount(owner, counts[numbers], len(stretches)) if numbers else np.zeros(len(stretches))
         return (specials + total.astype(np.int64)).tolist()
 
