@@ -24,6 +24,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_prefix_free_parsing": suffixes.ORACLE,
     "op9_collision_counting": embeddings.ORACLE,
     "op7_sequential_bayesian_minhash": minhash.ORACLE,
     "op6_gzip_normaliser": warc.ORACLE,

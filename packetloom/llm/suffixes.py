@@ -280,3 +280,21 @@ def op3_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return remove_repeats(docs, ["doc_id"]).select("doc.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+#: The same in DuckDB over hexadecimal text: every string of SPAN bytes by its digest, their merged places, the rest put together.
+ORACLE = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+blocks AS (SELECT doc_id, n, s, substr(h, 2 * s + 1, {4 * SPAN}) AS part FROM (SELECT doc_id, n, h, unnest(range(0, n - {SPAN - 1}, {SPAN})) AS s FROM d)),
+w AS (SELECT doc_id, s + o AS i, md5(substr(part, 2 * o + 1, {2 * SPAN})) AS k
+  FROM (SELECT doc_id, s, part, unnest(range(0, least({SPAN}, n - {SPAN - 1} - s))) AS o FROM blocks)),
+repeated AS (SELECT doc_id, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+fresh AS (SELECT doc_id, i, coalesce(i > lag(i) OVER p + {SPAN}, true)::INT AS f FROM repeated WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + {SPAN} AS b FROM (SELECT *, sum(f) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM fresh) GROUP BY doc_id, g),
+parts AS (SELECT doc_id, a, b, coalesce(lag(b) OVER p, 0) AS before FROM spans WINDOW p AS (PARTITION BY doc_id ORDER BY a)),
+cut AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last,
+  string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM parts JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
