@@ -164,6 +164,7 @@ def find_contamination(
     under one key; repeated items count once per key; an empty table of either kind gives no hits. Other columns are not read.
     """
     spark = docs.sparkSession
+    textbytes.bounded_batches(spark)
     docs = docs.select(
         F.monotonically_increasing_id().alias("row_id"), F.col(f"`{text}`").alias("body"), F.struct(*[F.col(f"`{c}`") for c in carry]).alias("doc")
     )

@@ -279,6 +279,7 @@ def with_main_text(pages: DataFrame, source: str = "html", keep: list[str] | Non
     Null, empty and text-free pages give an empty text. Pages are read whole; truncated markup is read as far as it goes. Rows are
     independent, so repeated rows get equal texts; an empty table stays empty; input columns named like a result are replaced.
     """
+    textbytes.bounded_batches(pages.sparkSession)
     carried = [c for c in (pages.columns if keep is None else keep) if c not in (text, length)]
     rows = pages.select(F.col(f"`{source}`").cast("string").alias("_html"), F.struct(*[F.col(f"`{c}`") for c in carried]).alias("_row"))
 

@@ -267,6 +267,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     kept. Rows that share a key are one node of the graph. Texts of fewer words than a shingle are one shingle. An
     empty table stays empty; other columns are not read.
     """
+    textbytes.bounded_batches(docs.sparkSession)
     signed = settled(signatures(docs, key, text, words, similarity))
     named = signed.where("n > 0 AND key IS NOT NULL")
     sets = settled(named.groupBy("f1", "f2", "n").agg(F.min("key").alias("leader")))

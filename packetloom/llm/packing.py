@@ -242,6 +242,7 @@ def pack(
     Sequences hold ``sequence`` ids; those at the end of a shard are powers of two. ``ids`` (little-endian, 32 bits) is null unless
     ``with_ids``. Repeated rows are packed one by one; ties of the lexical order fall to the key; an empty table stays empty.
     """
+    textbytes.bounded_batches(docs.sparkSession)
     rows = settled(token_ids(docs, carry, key, text, vocabulary, end))
     total = rows.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-total // SHARD_TOKENS))

@@ -220,6 +220,7 @@ def fit(
     """A machine fitted on at most ``sample`` labelled rows that are not held out. Rows without a key or label are not used; a key
     labelled twice counts twice."""
     spark = docs.sparkSession
+    textbytes.bounded_batches(spark)
     usable = labels.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{label}`").cast("int").alias("_label")).where(
         F.col("_key").isNotNull() & F.col("_label").isin(0, 1) & ~held_out(F.col("_key"))
     )
@@ -271,6 +272,7 @@ def with_score(docs: DataFrame, machine: Machine, text: str = "text", metadata:
     Rows are independent, so repeated rows get equal scores; an empty table stays empty; an input column named like the
     score is replaced.
     """
+    textbytes.bounded_batches(docs.sparkSession)
     carried = [c for c in (docs.columns if keep is None else keep) if c != score]
     source = docs.select(F.col(f"`{text}`").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in carried]).alias("_row"), *_numbers(list(metadata)))
     shared = docs.sparkSession.sparkContext.broadcast(machine)

@@ -208,6 +208,7 @@ def remove_repeats(docs: DataFrame, carry: list[str], key: str = "doc_id", text:
     bytes. Null and empty texts have no bytes. Rows are told apart by their integer key (null included) and a hash of the text; rows
     equal in both repeat each other and lose the same bytes, as do copies under other keys. An empty table stays empty.
     """
+    textbytes.bounded_batches(docs.sparkSession)
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     number = F.col(f"`{key}`").cast("bigint")
     source = docs.select(

@@ -6,11 +6,13 @@ classes used here never split a character: bytes from 0x80 up are always word by
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 SLICE_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -28,6 +30,26 @@ ALPHANUMERIC = np.zeros(256, bool)
 ALPHANUMERIC[48:58] = ALPHANUMERIC[97:123] = ALPHANUMERIC[128:] = True
 
 
+#: Bytes that a task sends to its Python worker at a time, but for a single longer row.
+BATCH_BYTES = 4 << 20
+_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lets the session send small batches to Python: the default is 64 MB, held several times by each task of an executor."""
+    if spark.conf.get(_SETTING) != f"{BATCH_BYTES}b":
+        spark.conf.set(_SETTING, f"{BATCH_BYTES}b")
+
+
+def _give_back() -> None:
+    """Returns freed memory to the machine, as several workers share an executor's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        return
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit numbers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -52,6 +74,8 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np
         stop = min(stop, n)
         yield row, data[at[row] : at[stop]], at[row : stop + 1] - at[row]
         row = stop
+    del column, at, data
+    _give_back()
 
 
 def word_bounds(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

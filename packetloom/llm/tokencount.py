@@ -191,6 +191,7 @@ def with_token_counts(
     Null and empty texts have 0 bytes and 0 tokens. Rows are independent: repeated rows and ties change nothing, an empty table stays
     empty, and columns of the input named like a result are replaced. Texts are counted whole, in slices of bounded size.
     """
+    textbytes.bounded_batches(df.sparkSession)
     path = public_tokenizers.path(vocabulary)
     made = ("n_bytes", "n_tokens", "over_limit")
     carried = [c for c in (df.columns if keep is None else keep) if c not in made]
