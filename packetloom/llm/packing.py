@@ -1,18 +1,21 @@
-"""Packing of documents into sequences by lexical retrieval.
+"""Packing of documents into sequences by lexical retrieval over the whole table.
 
 1. One pass turns each whole text into token ids. Equal blank-separated stretches are encoded once per worker's memory.
-2. Documents are dealt to shards by ranges of a lexical order (two min-hashes of their token ids, then their key), so that documents
-   that share rare tokens meet and a group of copies is cut like anything else.
-3. In a shard, blocks of bounded size get an inverted BM25 index. A seed document opens a sequence; its strongest terms retrieve unused
-   neighbours, best first, which fill the window while they fit; the last gap is filled by cutting the best neighbour that is left, or
-   the next unused document, whose rest opens the next sequence. So sequences are full but for the end of a shard, where what
-   is left is cut at powers of two, which need no padding.
+2. The number of documents that hold each token id, and the mean length, are counted over the whole table; all BM25 weights use them.
+3. As many documents as sequences are needed become seeds, by a hash of their key. Every other document looks up all its terms among all
+   seeds of the table and goes to the one that scores best. Blocks of documents meet blocks of seeds, each pair once, so the
+   work grows with documents times seeds; blocks bound memory only, not what is found.
+4. Documents are ordered by seed (seeds by two min-hashes of their token ids, then their key), the seed first, then by the score that the
+   seed's terms give them, and dealt to shards by ranges of that order. A seed opens a sequence; its documents fill the window, best
+   first, while they fit; the last gap is filled by cutting the best that is left, or the next document in order, whose rest opens the
+   next sequence. So sequences are full but for the end of a shard, where what is left is cut at powers of two, which need no padding.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +30,13 @@ from packetloom.session import settled
 SEQUENCE = 4096
 VOCABULARY = "word_bpe_49k.json"
 END = 2
-#: Tokens of a shard and of an indexed block, about; a single longer document makes them longer.
+#: Tokens of a shard, of documents that are packed at a time, and of documents or seeds that are scored at a time, about; a single longer
+#: document makes them longer.
 SHARD_TOKENS = 1 << 23
 BLOCK_TOKENS = 1 << 20
-#: Terms of a seed that are looked up.
-TERMS = 24
+SCORED_TOKENS = 1 << 22
+#: So many of the most frequent terms are multiplied as a matrix, the others looked up one by one. Either way gives the same scores.
+COMMON = 2048
 _K1, _B = 1.2, 0.75
 #: Distinct stretches a worker remembers.
 REMEMBERED = 300_000
@@ -112,40 +117,218 @@ def token_ids(docs: DataFrame, carry: list[str], key: str, text: str, vocabulary
     return source.mapInArrow(encode, schema)
 
 
+class Corpus(NamedTuple):
+    """Documents, their mean length, and how many of them hold each token id."""
+
+    documents: int
+    mean: float
+    held: np.ndarray
+
+
+def terms_of(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, count) of the distinct terms of each document, in order."""
+    owner = np.repeat(np.arange(len(ids)), np.fromiter(map(len, ids), np.int64, len(ids)))
+    key, count = np.unique(owner << 16 | np.concatenate(ids).astype(np.int64), return_counts=True)
+    return key >> 16, key & 0xFFFF, count
+
+
+def weighted(ids: list[np.ndarray], corpus: Corpus) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, BM25 weight) of the distinct terms of each document, in order."""
+    doc, term, count = terms_of(ids)
+    held = corpus.held[term]
+    idf = np.log1p((corpus.documents - held + 0.5) / (held + 0.5))
+    norm = _K1 * (1 - _B + _B * np.fromiter(map(len, ids), np.int64, len(ids)) / corpus.mean)
+    return doc, term, idf * count * (_K1 + 1) / (count + norm[doc])
+
+
 class Index:
-    """Inverted BM25 index of the documents of one block."""
+    """BM25 index of some documents for one query at a time, weighted by their own statistics unless those of a corpus are given."""
 
-    def __init__(self, ids: list[np.ndarray]):
+    def __init__(self, ids: list[np.ndarray], corpus: Corpus | None = None):
         self.size = len(ids)
-        lengths = np.fromiter(map(len, ids), np.int64, self.size)
-        owner = np.repeat(np.arange(self.size), lengths)
-        key = np.concatenate(ids).astype(np.int64) * self.size + owner
-        key, count = np.unique(key, return_counts=True)
-        self.doc = (key % self.size).astype(np.int64)
-        term = key // self.size
-        self.first = np.searchsorted(term, np.arange((1 << 16) + 1))
-        held = np.diff(self.first)
-        idf = np.log1p((self.size - held + 0.5) / (held + 0.5))
-        norm = _K1 * (1 - _B + _B * lengths / lengths.mean())
-        self.weight = idf[term] * count * (_K1 + 1) / (count + norm[self.doc])
-        # The strongest terms of each document that another document holds too.
-        order = np.lexsort((term, -self.weight, self.doc))
-        order = order[held[term[order]] > 1]
-        by_doc = self.doc[order]
-        self.begin = np.searchsorted(by_doc, np.arange(self.size + 1))
-        self.terms = term[order]
+        corpus = corpus or Corpus(self.size, sum(map(len, ids)) / self.size, np.bincount(terms_of(ids)[1], minlength=1 << 16))
+        self.doc, self.term, self.weight = weighted(ids, corpus)
+
+    def scores(self, terms: np.ndarray) -> np.ndarray:
+        """The score of each document for all of the terms."""
+        return np.bincount(self.doc, self.weight * np.isin(self.term, terms), self.size)
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents with a positive score for the seed's strongest terms, best first, ties by place."""
-        terms = self.terms[self.begin[seed] : min(self.begin[seed + 1], self.begin[seed] + TERMS)]
-        if not len(terms):
-            return terms
-        spans = [slice(self.first[t], self.first[t + 1]) for t in terms]
-        scores = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.size)
+        """Unused documents with a positive score for all terms of the seed, best first, ties by place."""
+        scores = self.scores(self.term[self.doc == seed])
         found = np.flatnonzero((scores > 0) & unused)
         return found[np.lexsort((found, -scores[found]))]
 
 
+def counted(rows: DataFrame) -> Corpus:
+    """The statistics of all rows (n, ids), with one row per distinct token id brought to the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            for _, ids in _portions(batch, 0):
+                held += np.bincount(terms_of(ids)[1], minlength=1 << 16)
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], ["term", "held"])
+
+    size = rows.agg(F.count("*").alias("documents"), F.avg("n").alias("mean")).first()
+    held = np.zeros(1 << 16, np.int64)
+    for row in rows.select("ids").mapInArrow(count, "term bigint, held bigint").groupBy("term").agg(F.sum("held").alias("held")).collect():
+        held[row.term] = row.held
+    return Corpus(size.documents, size.mean, held)
+
+
+def _portions(batch: pa.RecordBatch, column: int, tokens: int = 1 << 18) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(first row, ids of some rows) with about so many tokens at a time."""
+    held, size, first = [], 0, 0
+    for i in range(batch.num_rows):
+        held.append(np.frombuffer(batch.column(column)[i].as_buffer(), "<u2"))
+        size += len(held[-1])
+        if size >= tokens or i + 1 == batch.num_rows:
+            yield first, held
+            held, size, first = [], 0, i + 1
+
+
+def _blocks(rows: DataFrame, names: list[str], corpus, prefix: str) -> DataFrame:
+    """Rows (names, ids) in blocks: a matrix of the integer columns ``names``, and sizes, terms and weights of the documents, as bytes."""
+
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        tokens = 0
+
+        def made() -> pa.RecordBatch:
+            parts = [b"".join(np.ascontiguousarray(h[k]).tobytes() for h in held) for k in range(4)]
+            return pa.RecordBatch.from_arrays([pa.array([p], pa.binary()) for p in parts], [f"{prefix}_{c}" for c in ("names", "sizes", "terms", "weights")])
+
+        for batch in batches:
+            matrix = np.stack([batch.column(k).to_numpy() for k in range(len(names))], 1)
+            for first, ids in _portions(batch, len(names)):
+                doc, term, weight = weighted(ids, corpus.value)
+                held.append((matrix[first : first + len(ids)], np.bincount(doc, minlength=len(ids)), term.astype("<u2"), weight.astype(np.float32)))
+                tokens += sum(map(len, ids))
+                if tokens >= SCORED_TOKENS:
+                    yield made()
+                    held, tokens = [], 0
+        if held:
+            yield made()
+
+    schema = ", ".join(f"{prefix}_{c} binary" for c in ("names", "sizes", "terms", "weights"))
+    return rows.select(*names, "ids").mapInArrow(block, schema)
+
+
+class _Block:
+    """Documents of one block as a matrix of common terms and a list of the others."""
+
+    def __init__(self, batch: pa.RecordBatch, row: int, column: int, names: int):
+        read = lambda k, kind: np.frombuffer(batch.column(column + k)[row].as_buffer(), kind)
+        self.names = read(0, np.int64).reshape(-1, names)
+        sizes = read(1, np.int64)
+        self.ends = np.concatenate([[0], np.cumsum(sizes)])
+        self.doc = np.repeat(np.arange(len(sizes)), sizes)
+        self.term, self.weight = read(2, "<u2"), read(3, np.float32)
+
+    def dense(self, column: np.ndarray, start: int, stop: int, weights: bool) -> np.ndarray:
+        """Documents by common terms: their weights, or 1 where they hold the term."""
+        part = slice(self.ends[start], self.ends[stop])
+        at = column[self.term[part]]
+        out = np.zeros((stop - start, int(column.max()) + 1), np.float32)
+        out[self.doc[part][at >= 0] - start, at[at >= 0]] = self.weight[part][at >= 0] if weights else 1
+        return out
+
+
+class _Seeds(_Block):
+    """A block of seeds (lex1, lex2, key) with postings of the terms that are not common."""
+
+    def __init__(self, batch: pa.RecordBatch, row: int, column: int, common: np.ndarray):
+        super().__init__(batch, row, column, 3)
+        self.common = common
+        self.matrix = self.dense(common, 0, len(self.names), True)
+        rare = np.flatnonzero(common[self.term] < 0)
+        rare = rare[np.argsort(self.term[rare], kind="stable")]
+        self.posted, self.posted_weight = self.doc[rare], self.weight[rare]
+        self.first = np.searchsorted(self.term[rare], np.arange((1 << 16) + 1))
+
+    def best(self, docs: _Block, start: int, stop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(seed, its score for all terms of the document, the document's score for all terms of the seed) of some documents (number, key)."""
+        n = len(self.names)
+        scores = docs.dense(self.common, start, stop, False) @ self.matrix.T
+        part = slice(docs.ends[start], docs.ends[stop])
+        term = docs.term[part].astype(np.int64)
+        some = self.first[term + 1] - self.first[term]
+        doc = np.repeat(docs.doc[part] - start, some)
+        at = np.arange(len(doc)) + np.repeat(self.first[term] - (np.cumsum(some) - some), some)
+        seed = self.posted[at]
+        scores += np.bincount(doc * n + seed, self.posted_weight[at], scores.size).reshape(scores.shape).astype(np.float32)
+        # A seed belongs to itself.
+        order = np.argsort(self.names[:, 2], kind="stable")
+        key = docs.names[start:stop, 1]
+        own = order[np.minimum(np.searchsorted(self.names[order, 2], key), n - 1)]
+        mine = np.flatnonzero(self.names[own, 2] == key)
+        scores[mine, own[mine]] = np.inf
+        found = scores.argmax(1)
+        close = ((self.matrix[found] > 0) * docs.dense(self.common, start, stop, True)).sum(1)
+        met = seed == found[doc]
+        close += np.bincount(doc[met], np.repeat(docs.weight[part], some)[met], stop - start).astype(np.float32)
+        close[mine] = np.inf
+        return found, scores[np.arange(stop - start), found], close
+
+
+_RETRIEVED = "number bigint, score float, lex1 bigint, lex2 bigint, seed bigint, close float"
+
+
+def retrieved(rows: DataFrame, sequence: int, corpus: Corpus) -> DataFrame:
+    """(number, lex1, lex2, seed, close) of every row (number, key, lex1, lex2, n, ids): the best seed of the whole table, and how close it is.
+
+    Scores are 32-bit floats; equal ones fall to the first seed in lexical order. Rows of one key are one seed at most.
+    """
+    spark = rows.sparkSession
+    chance = F.xxhash64("key", F.lit(1))
+    share = min(1.0, corpus.mean / sequence)
+    limit = max(int((2 * share - 1) * (1 << 63)) - (share == 1.0), rows.agg(F.min(chance)).first()[0])
+    seeds = rows.where(chance <= limit).dropDuplicates(["key"])
+    parts = max(1, round(corpus.documents * share * corpus.mean / (2 * SCORED_TOKENS)))
+    seeds = seeds.repartitionByRange(parts, "lex1", "lex2", "key").sortWithinPartitions("lex1", "lex2", "key")
+    sent = spark.sparkContext.broadcast(corpus)
+    common = np.full(1 << 16, -1, np.int64)
+    often = np.argsort(-corpus.held, kind="stable")[:COMMON]
+    common[often] = np.arange(len(often))
+    columns = spark.sparkContext.broadcast(common)
+    met = settled(_blocks(rows, ["number", "key"], sent, "doc")).crossJoin(settled(_blocks(seeds, ["lex1", "lex2", "key"], sent, "seed")))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = np.zeros(0, np.int64)
+        score = close = np.zeros(0, np.float32)
+        seed = np.zeros((0, 3), np.int64)
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(number), pa.array(score), *[pa.array(np.ascontiguousarray(seed[:, k])) for k in range(3)], pa.array(close)], ["number", "score", "lex1", "lex2", "seed", "close"]
+            )
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                docs, some = _Block(batch, row, 0, 2), _Seeds(batch, row, 4, columns.value)
+                if not len(number) or number[0] != docs.names[0, 0]:
+                    if len(number):
+                        yield made()
+                    number = np.ascontiguousarray(docs.names[:, 0])
+                    score, close, seed = np.full(len(number), -1, np.float32), np.zeros(len(number), np.float32), np.zeros((len(number), 3), np.int64)
+                for i in range(0, len(number), 256):
+                    j = min(i + 256, len(number))
+                    at, high, near = some.best(docs, i, j)
+                    place = some.names[at]
+                    # Seeds come in lexical order within a block, blocks in any order.
+                    ahead = (place[:, 0] < seed[i:j, 0]) | (place[:, 0] == seed[i:j, 0]) & ((place[:, 1] < seed[i:j, 1]) | (place[:, 1] == seed[i:j, 1]) & (place[:, 2] < seed[i:j, 2]))
+                    better = i + np.flatnonzero((high > score[i:j]) | (high == score[i:j]) & ahead)
+                    score[better], close[better], seed[better] = high[better - i], near[better - i], place[better - i]
+        if len(number):
+            yield made()
+
+    order = F.struct("score", *[F.bitwise_not(c).alias(c) for c in ("lex1", "lex2", "seed")], "close")
+    found = met.mapInArrow(search, _RETRIEVED).groupBy("number").agg(F.max(order).alias("best"))
+    return settled(found.select("number", *[F.bitwise_not(f"best.{c}").alias(c) for c in ("lex1", "lex2", "seed")], "best.close"))
+
+
 class Packer:
     """Fills one sequence after another; pieces are (document, start, length, sequence, offset)."""
 
@@ -170,46 +353,27 @@ class Packer:
             start, length = start + some, length - some
 
 
-def pack_block(packer: Packer, base: int, ids: list[np.ndarray]) -> None:
-    """Packs all documents of a block; the sequence that is open at its end stays open. Documents are numbered from ``base``."""
-    index = Index(ids)
+def pack_block(packer: Packer, base: int, ids: list[np.ndarray], seeds: np.ndarray) -> None:
+    """Packs all documents of a block; the sequence that is open at its end stays open. Documents are numbered from ``base`` and come in
+    order: those of a seed stand together, best first."""
     lengths = np.fromiter(map(len, ids), np.int64, len(ids))
     unused = np.ones(len(ids), bool)
-    at = 0
-    while True:
-        while at < len(ids) and not unused[at]:
-            at += 1
-        if at == len(ids):
-            return
-        seed, start = at, 0
-        unused[seed] = False
-        while True:
-            # The seed, or what the last cut has left of it, then its neighbours that fit.
-            packer.put_all(base + seed, start, int(lengths[seed]) - start)
+    fresh = np.flatnonzero(np.append(True, seeds[1:] != seeds[:-1]))
+    stops = np.repeat(np.append(fresh[1:], len(ids)), np.diff(np.append(fresh, len(ids))))
+    for at in range(len(ids)):
+        if not unused[at]:
+            continue
+        # The first that is left, cut where the sequence ends; its rest opens the next one, and then others of its seed that fit.
+        unused[at] = False
+        packer.put_all(base + at, 0, int(lengths[at]))
+        here = at + np.flatnonzero(unused[at : stops[at]])
+        here = here[lengths[here] <= packer.room]
+        for doc, length in zip(here.tolist(), lengths[here].tolist(), strict=True):
             if not packer.filled:
                 break
-            cut = -1
-            for doc in index.neighbours(seed, unused).tolist():
-                if lengths[doc] <= packer.room:
-                    unused[doc] = False
-                    packer.put(base + doc, 0, int(lengths[doc]))
-                    if not packer.filled:
-                        break
-                elif cut < 0:
-                    cut = doc
-            if not packer.filled:
-                break
-            if cut < 0:
-                left = np.flatnonzero(unused[at:])
-                if not len(left):
-                    return
-                cut = at + int(left[0])
-            unused[cut] = False
-            start = min(packer.room, int(lengths[cut]))
-            packer.put(base + cut, 0, start)
-            seed = cut
-            if start == lengths[cut] and not packer.filled:
-                break
+            if length <= packer.room:
+                unused[doc] = False
+                packer.put(base + doc, 0, length)
 
 
 def _cut_open_sequence(packer: Packer) -> list[tuple[int, int, int, int, int]]:
@@ -240,13 +404,19 @@ def pack(
 
     Each id of each document, its closing ``end`` included, lies in exactly one piece; null and empty texts have that id only.
     Sequences hold ``sequence`` ids; those at the end of a shard are powers of two. ``ids`` (little-endian, 32 bits) is null unless
-    ``with_ids``. Repeated rows are packed one by one; ties of the lexical order fall to the key; an empty table stays empty.
+    ``with_ids``. Repeated rows are packed one by one; ties of the order fall to the key; an empty table stays empty.
     """
     textbytes.bounded_batches(docs.sparkSession)
-    rows = settled(token_ids(docs, carry, key, text, vocabulary, end))
+    rows = settled(token_ids(docs, carry, key, text, vocabulary, end).withColumn("number", F.monotonically_increasing_id()))
     total = rows.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-total // SHARD_TOKENS))
-    dealt = rows.repartitionByRange(shards, "lex1", "lex2", "key").sortWithinPartitions("lex1", "lex2", "key")
+    if total:
+        found = retrieved(rows, sequence, counted(rows))
+        order = ["lex1", "lex2", "seed", F.col("close").desc(), "key", "number"]
+        placed = rows.select("doc", "key", "number", "ids").join(found, "number")
+        dealt = placed.repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    else:
+        dealt = rows.withColumn("seed", F.col("key"))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
@@ -259,7 +429,7 @@ def pack(
             nonlocal base, tokens, held, open_docs
             known = {**open_docs, **{base + i: h for i, h in enumerate(held)}}
             if held:
-                pack_block(packer, base, [h[1] for h in held])
+                pack_block(packer, base, [h[1] for h in held], np.array([h[2] for h in held], np.int64))
             base, tokens, held = base + len(held), 0, []
             if last:
                 done = _cut_open_sequence(packer)
@@ -284,7 +454,7 @@ def pack(
         for batch in batches:
             for i in range(batch.num_rows):
                 ids = np.frombuffer(batch.column(1)[i].as_buffer(), "<u2")
-                held.append((batch.column(0).slice(i, 1), ids))
+                held.append((batch.column(0).slice(i, 1), ids, batch.column(2)[i].as_py()))
                 tokens += len(ids)
                 if tokens >= BLOCK_TOKENS:
                     yield from flush(False)
@@ -292,7 +462,7 @@ def pack(
 
     longs = [StructField(c, LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
     schema = StructType([rows.schema["doc"], *longs, StructField("ids", BinaryType())])
-    return dealt.select("doc", "ids").mapInArrow(fill, schema)
+    return dealt.select("doc", "ids", "seed").mapInArrow(fill, schema)
 
 
 def op10_lexical_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

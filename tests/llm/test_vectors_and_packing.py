@@ -109,6 +109,51 @@ def test_neighbours_share_terms():
         assert (index.neighbours(seed, unused)[:4] // 6 == seed // 6).all()
 
 
+@pytest.mark.parametrize("common", [2048, 5])
+def test_seeds_are_searched_in_the_whole_table(spark, monkeypatch, common):
+    monkeypatch.setattr(packing, "SCORED_TOKENS", 20_000)
+    monkeypatch.setattr(packing, "COMMON", common)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    rows = packing.token_ids(docs, ["doc_id"], "doc_id", "text", packing.VOCABULARY, packing.END).orderBy("key").collect()
+    table = spark.createDataFrame([(i, r.key, r.lex1, r.lex2, r.n, r.ids) for i, r in enumerate(rows)], "number bigint, key bigint, lex1 bigint, lex2 bigint, n bigint, ids binary")
+    corpus = packing.counted(table)
+    ids = [np.frombuffer(r.ids, "<u2") for r in rows]
+    assert corpus.documents == len(rows) and abs(corpus.mean - np.mean([len(x) for x in ids])) < 1e-9
+    assert (corpus.held == np.bincount(np.concatenate([np.unique(x) for x in ids]), minlength=1 << 16)).all()
+    found = {r.number: r for r in packing.retrieved(table, 4096, corpus).collect()}
+    assert sorted(found) == list(range(len(rows)))
+    place = {r.key: i for i, r in enumerate(rows)}
+    seeds = sorted({place[r.seed] for r in found.values()})
+    assert len(seeds) > 10 and sum(map(len, ids)) > 5 * packing.SCORED_TOKENS
+    index = packing.Index(ids)
+    for i, r in found.items():
+        scores, mine = index.scores(np.unique(ids[i])), place[r.seed]
+        assert (r.lex1, r.lex2) == (rows[mine].lex1, rows[mine].lex2)
+        if i in seeds:
+            assert mine == i and r.close == np.inf
+        else:
+            assert scores[mine] >= scores[seeds].max() * (1 - 1e-5)
+            assert abs(index.scores(np.unique(ids[mine]))[i] - r.close) < 1e-3
+
+
+def test_relatives_far_apart_in_lexical_order_meet(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_TOKENS", 2_000)
+    rng = np.random.default_rng(5)
+    library = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    words = {w for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("text").collect() for w in (r.text or "").split() if w.isalpha()}
+    first = {w: packing._ranks(1)[library.encode(w, add_special_tokens=False).ids].min() for w in sorted(words)}
+    words = sorted(first, key=first.get)
+    # The words that come first in lexical order say nothing about the topic.
+    noise, others = words[: len(words) // 10], words[len(words) // 10 :]
+    topics = [rng.choice(others, 60, replace=False) for _ in range(20)]
+    docs = [(i, " ".join([*rng.choice(topics[i % 20], 200), *rng.choice(noise, 10)])) for i in range(400)]
+    by_sequence = collections.defaultdict(list)
+    for r in packing.pack(spark.createDataFrame(docs, "doc_id bigint, text string"), ["doc_id"], sequence=1024).collect():
+        by_sequence[r.sequence_id] += [r.doc.doc_id % 20] * r.length
+    # The share of a sequence that its main topic has.
+    assert sum(max(collections.Counter(x).values()) for x in by_sequence.values()) > 0.75 * sum(map(len, by_sequence.values()))
+
+
 def test_pipeline_on_awkward_rows(spark, tmp_path):
     given = spark.read.parquet(f"{SMALL}/documents.parquet")
     text = given.first().text
