@@ -178,6 +178,16 @@ def test_pipeline_on_awkward_rows(spark, tmp_path):
         assert stage(spark, given.limit(0), SMALL).collect() == []
 
 
+def test_near_copies_are_judged_by_text_where_doc_ids_repeat(spark):
+    rng = np.random.default_rng(6)
+    a, b, c, d = (" ".join(rng.choice([f"w{i}" for i in range(2000)], 200)) for _ in range(4))
+    rows = [(3, b), (5, a), (5, b + " more"), (7, c), (7, c + " more"), (8, d), (8, d), (None, d + " more"), (9, None), (9, "")]
+    got = corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), SMALL).collect()
+    got = [(r.doc_id, r.text or "") for r in got]
+    assert sorted(x for x in got if x[0] != 7) == [(3, b), (5, a), (8, d), (9, "")]
+    assert len([x for x in got if x[0] == 7]) == 1
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
