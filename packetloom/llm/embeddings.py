@@ -108,7 +108,7 @@ def _cells(leaders: DataFrame, plan: Plan, seed: int = 3) -> DataFrame:
                     p = (x @ drawn[size]).reshape(len(part), plan.lines, plan.signs + 1)
                     codes = ((p[:, :, 1:] > 0) * powers).sum(2)
                     spots = np.clip(np.rint(p[:, :, 0] * _STEPS), -127, 127).astype(np.int8)
-                    cell = mix(codes.astype(np.uint64) + (np.arange(plan.lines, dtype=np.uint64) << np.uint64(40)) + np.uint64(size << 52))
+                    cell = mix(mix(codes.astype(np.uint64) + (np.arange(plan.lines, dtype=np.uint64) << np.uint64(40))) + np.uint64(size))
                     packed_codes = [c.tobytes() for c in codes.astype(code_type)]
                     packed_spots = [s.tobytes() for s in spots]
                     which = pa.array(np.repeat(np.arange(len(part)), plan.lines))

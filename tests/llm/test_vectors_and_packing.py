@@ -188,6 +188,14 @@ def test_near_copies_are_judged_by_text_where_doc_ids_repeat(spark):
     assert len([x for x in got if x[0] == 7]) == 1
 
 
+def test_long_vectors_are_linked(spark):
+    x = np.random.default_rng(9).normal(size=(3, 5000))
+    x[2] = x[0] * 2
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {r.key: (r.n_links, r.component, r.kept) for r in embeddings.near_vectors(df).collect()}
+    assert got == {0: (1, 0, True), 1: (0, 1, True), 2: (1, 0, False)}
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
