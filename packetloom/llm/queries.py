@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packetloom.llm import decontaminate, embeddings, mainhtml, minhash, packing, quality, sharding, suffixes, tokencount, warc
+from packetloom.llm import decontaminate, divergence, embeddings, interactions, mainhtml, minhash, packing, quality, rules, sharding, suffixes, tokencount, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,9 @@ QUERIES: dict[str, Query] = {
     "op2_prefix_filtered_decontamination": decontaminate.op2_prefix_filtered_decontamination,
     "op4_permutation_sharding": sharding.op4_permutation_sharding,
     "op5_rank_synchronous_tokens": tokencount.op5_rank_synchronous_tokens,
+    "op11_filter_interactions": interactions.op11_filter_interactions,
+    "op12_learned_decision_list": rules.op12_learned_decision_list,
+    "op13_late_string_divergence": divergence.op13_late_string_divergence,
 }
 
 ORACLES: dict[str, str] = {
@@ -30,4 +33,6 @@ ORACLES: dict[str, str] = {
     "op6_gzip_normaliser": warc.ORACLE,
     "op2_prefix_filtered_decontamination": decontaminate.ORACLE,
     "op4_permutation_sharding": sharding.ORACLE,
+    "op11_filter_interactions": interactions.ORACLE,
+    "op13_late_string_divergence": divergence.ORACLE,
 }
