@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from packetloom.llm import textbytes
@@ -29,77 +30,93 @@ from packetloom.session import settled
 LEAST = 3
 TOP = 200
 #: (source, term) entries that a task holds before it writes them.
-HELD = 300_000
+HELD = 1_500_000
 #: Letters a-z (after lower-casing) and bytes from 0x80 up.
 _TERM = np.zeros(256, bool)
 _TERM[97:123] = _TERM[128:] = True
 
-_COUNTED = "lid bigint, gid bigint, digest bigint, n bigint, df bigint, term string"
+_COUNTED = "flush bigint, lid bigint, gid bigint, digest bigint, n bigint, df bigint, term string"
 
 
-def _terms(column: pa.Array, lids: np.ndarray, gids: np.ndarray) -> Iterator[pa.Table]:
-    """(lid, gid, term, n, df) of slices of a column of texts, by source and term within the slice."""
-    for row, data, offsets in textbytes.slices(column):
+class _Entries:
+    """Counts of terms by source, summed up over some slices of one task; strings are known by their place in a dictionary."""
+
+    def __init__(self) -> None:
+        self.names: list[pa.Array] = []
+        self.parts: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, data: np.ndarray, offsets: np.ndarray, lids: np.ndarray, gids: np.ndarray) -> None:
         low = textbytes.LOWER[data]
         starts, ends, first = textbytes.word_bounds(low, offsets, _TERM)
         if not len(starts):
-            continue
+            return
         # The bytes of the terms, one after another, are an Arrow column already.
-        flat = low[_TERM[low]]
-        at = np.concatenate([[0], np.cumsum(ends - starts)])
-        names = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(at.astype(np.int64)), pa.py_buffer(flat)).dictionary_encode()
-        code = names.indices.to_numpy().astype(np.int64)
+        at = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+        names = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(at), pa.py_buffer(low[_TERM[low]])).dictionary_encode()
         size = len(names.dictionary)
         text = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-        pair, n = np.unique(text * size + code, return_counts=True)
-        rows, code = row + pair // size, pair % size
-        places, place = np.unique(gids[rows], return_inverse=True)
-        key, inverse = np.unique(place * size + code, return_inverse=True)
-        some = np.zeros(len(places), np.int64)
-        some[place] = lids[rows]
-        yield pa.table({
-            "lid": some[key // size], "gid": places[key // size], "term": names.dictionary.take(pa.array(key % size)),
-            "n": np.bincount(inverse, n).astype(np.int64), "df": np.bincount(inverse).astype(np.int64),
-        })
-
-
-def _digests(terms: pa.ChunkedArray, bits: int) -> np.ndarray:
-    terms = terms.combine_chunks().cast(pa.large_binary())
+        pair, n = np.unique(text * size + names.indices.to_numpy(), return_counts=True)
+        text, code = pair // size, pair % size
+        self.names.append(names.dictionary)
+        self.parts.append(np.stack([lids[text], gids[text], code, n, np.ones(len(n), np.int64)]))
+        self.size += len(n)
+
+    def rows(self, flush: int, bits: int) -> Iterator[pa.RecordBatch]:
+        """(flush, lid, gid, digest, n, df, term) of each source and term; the string is there once per language, or always if its digest is
+        that of another one too."""
+        if not self.parts:
+            return
+        # Equal strings of several slices get one place.
+        whole = pa.chunked_array([pa.DictionaryArray.from_arrays(pa.array(np.arange(len(x))), x) for x in self.names]).unify_dictionaries()
+        names = whole.chunk(0).dictionary
+        codes = [chunk.indices.to_numpy().astype(np.int64)[part[2]] for chunk, part in zip(whole.chunks, self.parts, strict=True)]
+        lid, gid, _, n, df = np.concatenate(self.parts, 1)
+        groups, group = np.unique(gid, return_inverse=True)
+        of = np.zeros(len(groups), np.int64)
+        of[group] = lid
+        key, inverse = np.unique(np.concatenate(codes) * len(groups) + group, return_inverse=True)
+        code, group = key // len(groups), key % len(groups)
+        n, df = (np.bincount(inverse, x).astype(np.int64) for x in (n, df))
+        lid = of[group]
+        digests = _digests(names, bits)
+        _, place, seen = np.unique(digests, return_inverse=True, return_counts=True)
+        digest, shared = digests[code], (seen[place] > 1)[code]
+        # Rows come by term; the first of each language carries it.
+        order = np.lexsort((lid, code))
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (code[order][1:] != code[order][:-1]) | (lid[order][1:] != lid[order][:-1])
+        fresh |= shared[order]
+        for i in range(0, len(order), 1 << 15):
+            at = order[i : i + (1 << 15)]
+            term = names.take(pa.array(code[at], mask=~fresh[i : i + (1 << 15)])).cast(pa.string())
+            columns = [pa.array(x[at]) for x in (np.full(len(lid), flush), lid, groups[group], digest, n, df)]
+            yield pa.RecordBatch.from_arrays([*columns, term], ["flush", "lid", "gid", "digest", "n", "df", "term"])
+
+
+def _digests(terms: pa.Array, bits: int) -> np.ndarray:
+    terms = terms.cast(pa.large_binary())
     at = np.frombuffer(terms.buffers()[1], np.int64)[terms.offset : terms.offset + len(terms) + 1]
     found = textbytes.span_hashes(np.frombuffer(terms.buffers()[2], np.uint8), at[:-1], at[1:])
     return (found >> np.uint64(64 - bits)).view(np.int64)
 
 
-def counted_terms(docs: DataFrame, bits: int = 64) -> DataFrame:
-    """(lid, gid, digest, n, df, term) of ``docs`` (body, lid, gid): occurrences and documents, summed up within each task."""
+def counted_terms(docs: DataFrame, bits: int = 64, held: int = HELD) -> DataFrame:
+    """(flush, lid, gid, digest, n, df, term) of ``docs`` (body, lid, gid): occurrences and documents, summed up within each task, about
+    ``held`` entries at a time; ``term`` is null where another row with the same flush, lid and digest has the only string."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        size = 0
-
-        def summed() -> pa.Table:
-            table = pa.concat_tables(held).group_by(["lid", "gid", "term"], use_threads=False).aggregate([("n", "sum"), ("df", "sum")])
-            return table.rename_columns({"n_sum": "n", "df_sum": "df"}).select(["lid", "gid", "term", "n", "df"])
-
-        def made(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            for i in range(0, table.num_rows, 1 << 15):
-                part = table.slice(i, 1 << 15)
-                digest = pa.chunked_array([pa.array(_digests(part.column("term"), bits))])
-                columns = [part.column("lid"), part.column("gid"), digest, part.column("n"), part.column("df"), part.column("term").cast(pa.string())]
-                yield from pa.table(columns, names=["lid", "gid", "digest", "n", "df", "term"]).combine_chunks().to_batches()
-
+        flush = TaskContext.get().partitionId() << 32
+        entries = _Entries()
         for batch in batches:
-            for table in _terms(batch.column(0), *(batch.column(k).to_numpy() for k in (1, 2))):
-                held.append(table)
-                size += table.num_rows
-                if size > HELD:
-                    held = [summed()]
-                    size = held[0].num_rows
-                    if size > HELD // 2:
-                        yield from made(held[0])
-                        held, size = [], 0
-        if held:
-            yield from made(summed())
+            lids, gids = (batch.column(k).to_numpy() for k in (1, 2))
+            for row, data, offsets in textbytes.slices(batch.column(0)):
+                entries.add(data, offsets, lids[row:], gids[row:])
+                if entries.size > held:
+                    yield from entries.rows(flush, bits)
+                    flush += 1
+                    entries = _Entries()
+        yield from entries.rows(flush, bits)
 
     return docs.select("body", "lid", "gid").mapInArrow(count, _COUNTED)
 
@@ -115,34 +132,54 @@ def _groups(read: DataFrame) -> tuple[DataFrame, Column, Column]:
     raise RuntimeError("no seed keeps the sources apart")
 
 
+_KEPT = ["lid", "gid", "digest", "split", "n", "all_n", "leads"]
+
+
+def _enough(rows: DataFrame, term: list[str], least: int) -> DataFrame:
+    """Rows (term, gid, n, df) of terms in ``least`` documents or more, with the term's occurrences; one row of each leads it."""
+    same = Window.partitionBy(*term)
+    found = rows.withColumns({"all_n": F.sum("n").over(same), "all_df": F.sum("df").over(same), "leads": (F.col("gid") == F.min("gid").over(same)).cast("int")})
+    return found.where(F.col("all_df") >= least).drop("df", "all_df")
+
+
 def kept_terms(written: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """((lid, gid, digest, split, n) of kept terms, (lid, digest, lo) strings of those that share their digest with no other kept one).
+    """((lid, gid, digest, split, n, all_n, leads) of kept terms, (lid, digest, lo) strings of digests that have one only).
 
     ``split`` is null, or the term itself where its digest is shared.
     """
-    counts = settled(written.groupBy("lid", "gid", "digest").agg(F.sum("n").alias("n"), F.sum("df").alias("df")))
-    likely = settled(counts.groupBy("lid", "digest").agg(F.sum("df").alias("df")).where(F.col("df") >= least).select("lid", "digest"))
-    bits = written.sparkSession.sparkContext.broadcast(bitmap(likely.select(F.xxhash64("lid", "digest").alias("hash"))))
+    term = ["lid", "digest"]
+    # Tasks have summed up their terms, so no term has more rows than there are sources and tasks.
+    summed = written.select("lid", "gid", "digest", "n", "df").repartition(*term).groupBy("lid", "gid", "digest").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+    counts = settled(_enough(summed, term, least))
+    likely = counts.where("leads = 1").select(F.xxhash64(*term).alias("hash"))
+    bits = written.sparkSession.sparkContext.broadcast(bitmap(likely))
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             mine = np.flatnonzero(known(bits.value, batch.column(3).to_numpy().view(np.uint64)))
             yield batch.select([0, 1, 2]).take(pa.array(mine))
 
-    # The bitmap leaves most strings of rare terms unread by the shuffle; the join decides.
-    strings = written.select("lid", "digest", "term", F.xxhash64("lid", "digest").alias("hash")).mapInArrow(wanted, "lid bigint, digest bigint, term string")
-    bounds = strings.groupBy("lid", "digest").agg(F.min("term").alias("lo"), F.max("term").alias("hi"))
-    bounds = settled(bounds.join(likely, ["lid", "digest"], "left_semi"))
-    clash = bounds.where("lo <> hi").select("lid", "digest")
-    single = bounds.where("lo = hi").select("lid", "digest", "lo")
-    alone = counts.select("lid", "gid", "digest", F.lit(None).cast("string").alias("split"), "n").join(single.select("lid", "digest"), ["lid", "digest"], "left_semi")
+    # The bitmap keeps most strings of rare terms out of the shuffle; the few others do no harm.
+    strings = written.where("term IS NOT NULL").select(*term, "term", F.xxhash64(*term).alias("hash"))
+    strings = strings.mapInArrow(wanted, "lid bigint, digest bigint, term string")
+    bounds = settled(strings.groupBy(*term).agg(F.min("term").alias("lo"), F.max("term").alias("hi")))
+    clash = bounds.where("lo <> hi").select(*term)
+    single = bounds.where("lo = hi").select(*term, "lo")
+    alone = counts.withColumn("split", F.lit(None).cast("string")).select(*_KEPT)
     if clash.isEmpty():
-        return alone.select("lid", "gid", "digest", "split", "n"), single
-    again = written.join(clash, ["lid", "digest"], "left_semi").groupBy("lid", "gid", "digest", F.col("term").alias("split")).agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
-    again = settled(again)
-    enough = again.groupBy("lid", "split").agg(F.sum("df").alias("df")).where(F.col("df") >= least).select("lid", "split")
-    apart = again.join(enough, ["lid", "split"], "left_semi").select("lid", "gid", "digest", "split", "n")
-    return alone.select("lid", "gid", "digest", "split", "n").union(apart), single
+        return alone, single
+    return alone.join(clash, term, "left_anti").select(*_KEPT).union(_split(written, clash, least)), single
+
+
+def _split(written: DataFrame, clash: DataFrame, least: int) -> DataFrame:
+    """The kept terms among those that share their digest with another one, counted by their strings."""
+    place = ["flush", "lid", "digest"]
+    rows = written.join(clash, ["lid", "digest"], "left_semi")
+    with_string = rows.where("term IS NOT NULL").select(*place, "gid", "n", "df", "term")
+    others = rows.where("term IS NULL").select(*place, "gid", "n", "df").join(with_string.select(*place, "term"), place)
+    again = with_string.union(others.select(*place, "gid", "n", "df", "term"))
+    again = again.groupBy("lid", "gid", "digest", F.col("term").alias("split")).agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+    return _enough(again, ["lid", "split"], least).select(*_KEPT)
 
 
 def _share(count: Column | str, total: str, terms: str) -> Column:
@@ -173,22 +210,18 @@ def source_divergence(
     named, lid, gid = _groups(read)
     written = settled(counted_terms(read.select("body", lid.alias("lid"), gid.alias("gid")), bits))
     kept, single = kept_terms(written, least)
-    kept = settled(kept)
     term = ["lid", "digest", "split"]
 
-    over = settled(kept.groupBy(*term).agg(F.sum("n").alias("all")))
-    of_lang = over.groupBy("lid").agg(F.count("*").alias("v"), F.sum("all").alias("total"))
-    of_group = kept.groupBy("gid").agg(F.count("*").alias("terms"), F.sum("n").alias("size"))
-    groups = named.join(of_lang, "lid", "left").join(of_group, "gid", "left").fillna(0, ["v", "total", "terms", "size"])
+    of_group = settled(kept.groupBy("lid", "gid").agg(F.count("*").alias("terms"), F.sum("n").alias("size"), F.sum("leads").alias("leads")))
+    of_lang = of_group.groupBy("lid").agg(F.sum("leads").alias("v"), F.sum("size").alias("total"))
+    groups = named.join(of_lang, "lid", "left").join(of_group.drop("lid", "leads"), "gid", "left").fillna(0, ["v", "total", "terms", "size"])
     groups = settled(groups.withColumn("p0", _share(F.lit(0), "size", "v")))
 
-    shares = kept.join(groups.select("gid", "v", "size", "total", "p0"), "gid").withColumn("p", _share("n", "size", "v"))
-    shares = settled(shares.select(*term, "gid", "n", "p", "p0", "total", "v"))
+    shares = kept.join(groups.select("gid", "v", "size", "total", "p0"), "gid").withColumns({"p": _share("n", "size", "v"), "q": _share("all_n", "total", "v")})
+    shares = settled(shares.select(*term, "gid", "n", "p", "p0", "q"))
 
     # Terms: the first ranks and all that tie with the last of them, before any string is there.
-    ahead = shares.join(over.withColumnRenamed("split", "_split"), (shares["lid"] == over["lid"]) & (shares["digest"] == over["digest"]) & F.col("split").eqNullSafe(F.col("_split")))
-    ahead = ahead.select(shares["lid"], shares["digest"], "split", "gid", "p", _share("all", "total", "v").alias("q")).where("p > q")
-    ahead = ahead.withColumn("value", _excess("p", "q"))
+    ahead = shares.where("p > q").select("lid", "digest", "split", "gid", _excess("p", "q").alias("value"))
     ahead = ahead.withColumn("place", F.rank().over(Window.partitionBy("gid").orderBy(F.desc("value")))).where(F.col("place") <= top)
     texts = ahead.join(single, ["lid", "digest"], "left").select("gid", F.coalesce("split", "lo").alias("item"), "value")
     order = Window.partitionBy("gid").orderBy(F.desc("value"), "item")

@@ -209,8 +209,15 @@ def test_shares_are_exact_beyond_64_bits(spark):
     assert row.select(divergence._share("c", "total", "v").alias("p")).first().p == 1 + 10**9 * (10**15 + 1) // (3 * 10**15 + 7)
 
 
-def test_entries_are_summed_before_they_are_written(spark, monkeypatch):
-    monkeypatch.setattr(divergence, "HELD", 50)
+def test_entries_are_summed_before_they_are_written(spark):
     docs = spark.createDataFrame([(prose(40), 1, i % 2) for i in range(50)], "body string, lid bigint, gid bigint")
-    rows = divergence.counted_terms(docs).groupBy("gid", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"), F.countDistinct("digest").alias("d")).collect()
-    assert sum(r.n for r in rows) == 2000 and {r.d for r in rows} == {1}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rows = divergence.counted_terms(docs, held=50).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sum(r.n for r in rows) == 2000 and len({r.flush for r in rows}) > 10
+    # Within a flush, each digest has its string once, and one row for each source.
+    places = [(r.flush, r.lid, r.digest) for r in rows if r.term is not None]
+    assert len(places) == len(set(places)) and {(r.flush, r.lid, r.digest) for r in rows} == set(places)
+    assert len({(r.flush, r.gid, r.digest) for r in rows}) == len(rows)
