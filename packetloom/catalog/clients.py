@@ -239,7 +239,7 @@ STEPS["bursts"] = """SELECT *, sum(starts) OVER (PARTITION BY src_ip ORDER BY ti
     "packets bursts",
 )
 def _(spark, sf):
-    return gap_sessions(packets(spark, sf), ["src_ip"], "6 hours", width=SLICE).groupBy("src_ip", "session_no").agg(
+    return gap_sessions(packets(spark, sf), ["src_ip"], "6 hours").groupBy("src_ip", "session_no").agg(
         F.count(F.lit(1)).alias("packets"), F.min("timestamp").alias("first_time"), F.max("timestamp").alias("last_time")
     )
 
@@ -250,7 +250,7 @@ def _(spark, sf):
        sum(frame_len) AS bytes FROM bursts GROUP BY src_ip, session_no""", "packets bursts",
 )
 def _(spark, sf):
-    return host.activity_bursts(packets(spark, sf), "6 hours", width=SLICE)
+    return host.activity_bursts(packets(spark, sf), "6 hours")
 
 
 # ---- sequences ----
@@ -262,7 +262,7 @@ def _(spark, sf):
        FROM csessions WINDOW w AS (PARTITION BY client_ip ORDER BY timestamp, frame_no ROWS 4 PRECEDING)""", _C,
 )
 def _(spark, sf):
-    seq = sequence.behaviour_sequences(client_sessions(spark, sf), "client_ip", ["total_bytes", "packets"], 5, profile.SESSION_SLICE, chunk=8)
+    seq = sequence.behaviour_sequences(client_sessions(spark, sf), "client_ip", ["total_bytes", "packets"], 5, chunk=8)
     return seq.select(
         "client_ip", "frame_no", F.size("sequence").alias("steps"), "is_ready", F.col("sequence")[0][0].alias("first_bytes"),
         F.element_at("sequence", -1)[0].alias("last_bytes"),
@@ -278,7 +278,7 @@ def _(spark, sf):
        WHERE i BETWEEN window_id * stride AND window_id * stride + 49 AND window_id * stride + 50 <= n GROUP BY window_id""",
 )
 def _(spark, sf):
-    windows = sequence.training_windows(packets(spark, sf), ["frame_len", "ip_len"], 50, SLICE)
+    windows = sequence.training_windows(packets(spark, sf), ["frame_len", "ip_len"], 50)
     return windows.select(
         "window_id", F.size("sequence").alias("steps"), F.col("sequence")[0][0].alias("first_len"),
         F.element_at("sequence", -1)[0].alias("last_len"), F.aggregate("sequence", F.lit(0.0), lambda acc, v: acc + v[0]).alias("sum_len"),
@@ -300,7 +300,7 @@ def _(spark, sf):
        WHERE http_response_code IS NOT NULL AND uri IS NOT NULL GROUP BY ALL""",
 )
 def _(spark, sf):
-    return detectors.brute_force(packets(spark, sf), "1 day", SLICE)
+    return detectors.brute_force(packets(spark, sf), "1 day")
 
 
 @query(

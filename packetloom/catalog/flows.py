@@ -44,7 +44,7 @@ _KEYS = "src_ip:s dst_ip:s src_port dst_port protocol:s"
 
 
 def _flows(spark, sf):
-    return flow.flow_table(scalar.http_features(packets(spark, sf)), SLICE)
+    return flow.flow_table(scalar.http_features(packets(spark, sf)))
 
 
 @query(
@@ -60,7 +60,7 @@ def _(spark, sf):
 
 @query("flow_gaps", _PACKET + " inter_arrival_time:f", "SELECT *, gap AS inter_arrival_time FROM gaps", "packets classed keyed gaps")
 def _(spark, sf):
-    return flow.flow_gaps(packets(spark, sf), SLICE)
+    return flow.flow_gaps(packets(spark, sf))
 
 
 @query("flow_stats", _KEYS + " " + _FLOW_STATS, "SELECT * FROM flows", FLOW_STEPS)
@@ -91,7 +91,7 @@ def _(spark, sf):
     "SELECT * FROM flows WHERE flow_duration_seconds >= 86400 AND flow_pkt_count <= 4 AND flow_byte_count <= 1000", FLOW_STEPS,
 )
 def _(spark, sf):
-    return flow.slow_connections(flow.flow_table(packets(spark, sf), SLICE), 86_400, 4, 1_000)
+    return flow.slow_connections(flow.flow_table(packets(spark, sf)), 86_400, 4, 1_000)
 
 
 # ---- hosts ----
@@ -195,7 +195,7 @@ def _(spark, sf):
        FROM packets WINDOW w AS (PARTITION BY src_ip ORDER BY timestamp, frame_no ROWS UNBOUNDED PRECEDING)""",
 )
 def _(spark, sf):
-    return forward_fill(packets(spark, sf), ["src_ip"], ["http_response_code", "dns_qry_type"], SLICE)
+    return forward_fill(packets(spark, sf), ["src_ip"], ["http_response_code", "dns_qry_type"])
 
 
 @query(
@@ -204,7 +204,7 @@ def _(spark, sf):
        OVER (PARTITION BY src_ip, dst_ip ORDER BY timestamp, frame_no)) / 1e6 AS inter_arrival_time FROM packets""",
 )
 def _(spark, sf):
-    return host.with_pair_gaps(packets(spark, sf), SLICE)
+    return host.with_pair_gaps(packets(spark, sf))
 
 
 def _trailing(us: int) -> str:
@@ -221,7 +221,7 @@ def _trailing(us: int) -> str:
 )
 def _(spark, sf):
     widths = {"packets_in_1s_window": "1s", "packets_in_1h_window": "1h", "packets_in_12h_window": "12h"}
-    return host.trailing_counts(packets(spark, sf), widths, SLICE)
+    return host.trailing_counts(packets(spark, sf), widths)
 
 
 @query(
@@ -374,7 +374,7 @@ def _(spark, sf):
     "packets classed keyed",
 )
 def _(spark, sf):
-    return rtt.handshake_rtt(packets(spark, sf), "20 days", match="first_after", width=SLICE)
+    return rtt.handshake_rtt(packets(spark, sf), "20 days", match="first_after")
 
 
 @query("rtt_ack_latency", "frame_no flow_key:s rtt_ack_ms:f", "SELECT * FROM acked", "packets classed keyed acked")

@@ -24,7 +24,7 @@ STEPS["triaged"] = """SELECT *, CASE WHEN score >= 0.7 THEN 'isolation_forest_hi
 
 def _triaged(spark, sf):
     rows = scored(spark, sf)
-    ready = sequence.behaviour_sequences(rows, "client_ip", ["total_bytes"], 5, profile.SESSION_SLICE).drop("sequence", "seq_score")
+    ready = sequence.behaviour_sequences(rows, "client_ip", ["total_bytes"], 5).drop("sequence", "seq_score")
     return triage.collaborative(ready, lambda middle: middle.withColumn("seq_score", (F.col("total_bytes") % 97) / 97.0), *_BAND)
 
 
@@ -195,5 +195,5 @@ def _(spark, sf):
 
 @query("model_sequence_error", "client_ip:s frame_no is_ready seq_recon_mae:f")
 def _(spark, sf):
-    rows = sequence.behaviour_sequences(client_sessions(spark, sf), "client_ip", ["total_bytes", "packets"], 5, profile.SESSION_SLICE)
+    rows = sequence.behaviour_sequences(client_sessions(spark, sf), "client_ip", ["total_bytes", "packets"], 5)
     return seqpca.fit(rows, 5, 4).score(rows)

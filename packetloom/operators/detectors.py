@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from packetloom.functions.net import flow_key, reverse_flow_key
 from packetloom.functions.timing import floor_time
-from packetloom.operators.slices import DEFAULT_SLICE, forward_fill
+from packetloom.operators.slices import forward_fill
 
 
-def brute_force(df: DataFrame, window: str = "1 minute", width: str | int = DEFAULT_SLICE) -> DataFrame:
+def brute_force(df: DataFrame, window: str = "1 minute") -> DataFrame:
     """Client errors per (client, URI, window). A response belongs to the last request of its reversed flow."""
     request = F.col("http_request_uri").isNotNull()
     response = F.col("http_response_code").isNotNull()
@@ -21,7 +21,7 @@ def brute_force(df: DataFrame, window: str = "1 minute", width: str | int = DEFA
         F.when(request, F.col("src_ip")).otherwise(F.col("dst_ip")).alias("client_ip"),
         F.col("http_request_uri").alias("uri"),
     )
-    paired = forward_fill(talk, ["flow_key"], ["uri"], width).where(F.col("http_response_code").isNotNull() & F.col("uri").isNotNull())
+    paired = forward_fill(talk, ["flow_key"], ["uri"]).where(F.col("http_response_code").isNotNull() & F.col("uri").isNotNull())
     failed = F.col("http_response_code").between(400, 499)
     return paired.groupBy("client_ip", "uri", floor_time(F.col("timestamp"), window).alias("window_start")).agg(
         F.count(F.lit(1)).alias("responses"), F.count_if(failed).alias("client_errors")

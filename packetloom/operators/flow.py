@@ -19,25 +19,25 @@ def complete_flows(df: DataFrame) -> DataFrame:
     return df.na.drop(subset=list(FLOW_KEY))
 
 
-def _gap_us(df: DataFrame, width: str | int) -> DataFrame:
+def _gap_us(df: DataFrame) -> DataFrame:
     us = F.unix_micros("timestamp")
-    prev = previous_value(df, FLOW_KEY, us, "__prev", width)
+    prev = previous_value(df, FLOW_KEY, us, "__prev")
     return prev.withColumn("__gap_us", F.coalesce(us - F.col("__prev"), F.lit(0))).drop("__prev")
 
 
-def flow_gaps(df: DataFrame, width: str | int = DEFAULT_SLICE, out: str = "inter_arrival_time") -> DataFrame:
+def flow_gaps(df: DataFrame, out: str = "inter_arrival_time") -> DataFrame:
     """Seconds since the previous packet of the same flow; 0 for the first one."""
-    return _gap_us(df, width).withColumn(out, F.col("__gap_us") / 1e6).drop("__gap_us")
+    return _gap_us(df).withColumn(out, F.col("__gap_us") / 1e6).drop("__gap_us")
 
 
-def flow_table(df: DataFrame, width: str | int = DEFAULT_SLICE) -> DataFrame:
+def flow_table(df: DataFrame) -> DataFrame:
     """Counts, sizes, times, gaps and rates per 5-tuple.
 
     The group-by is on the bare 5-tuple: partial aggregation shrinks a hot flow to one row per task first.
     """
     classes = [c for c in HTTP_CLASSES if c in df.columns]
     packets = complete_flows(df).select(*FLOW_KEY, *PACKET_ORDER, "frame_len", *classes)
-    flows = _gap_us(packets, width).groupBy(*FLOW_KEY).agg(
+    flows = _gap_us(packets).groupBy(*FLOW_KEY).agg(
         F.count("frame_len").alias("flow_pkt_count"),
         F.sum("frame_len").alias("flow_byte_count"),
         F.avg("frame_len").alias("flow_mean_pkt_size"),
@@ -72,7 +72,7 @@ def with_flow_features(df: DataFrame, width: str | int = DEFAULT_SLICE, flows: D
     """Flow features on every packet of the flow. Does nothing when they are there already."""
     if "flow_pkt_count" in df.columns or not has_columns(df, REQUIRED, "with_flow_features"):
         return df
-    return merge_back(df, flow_table(df, width) if flows is None else flows, FLOW_KEY, width)
+    return merge_back(df, flow_table(df) if flows is None else flows, FLOW_KEY, width)
 
 
 def slow_connections(flows: DataFrame, min_seconds: float, max_packets: int, max_bytes: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from packetloom.functions.entropy import count_entropy
 from packetloom.functions.timing import floor_time, seconds_between, width_us
@@ -63,11 +63,11 @@ def src_host_windows(df: DataFrame, window: str = DEFAULT_WINDOW, rsd: float | N
 def _frequency_change(hosts: DataFrame) -> DataFrame:
     """Change in distinct peers against the source's previous observed window; 0 for the first.
 
-    A source has one row per window here, so even the busiest one is a small group.
+    A source that is seen in very many windows is cut like any other busy key.
     """
     peers = F.col("src_host_distinct_dst_ips_win")
-    before = F.lag(peers).over(Window.partitionBy("src_ip").orderBy("time_window"))
-    return hosts.withColumn("src_host_session_freq_change_win", F.coalesce(peers - before, F.lit(0)))
+    before = previous_value(hosts, ["src_ip"], peers, "__before", order=["time_window"])
+    return before.withColumn("src_host_session_freq_change_win", F.coalesce(peers - F.col("__before"), F.lit(0))).drop("__before")
 
 
 def dst_host_windows(df: DataFrame, window: str = DEFAULT_WINDOW, rsd: float | None = None) -> DataFrame:
@@ -100,21 +100,19 @@ def with_host_features(
     out = _attach(_attach(df, src, "src_ip", window, width, source), dst, "dst_ip", window, width, source)
     added = [c for c in out.columns if c not in df.columns]
     if fill == "forward":
-        out = forward_fill(out, ["src_ip"], added, width)
+        out = forward_fill(out, ["src_ip"], added)
     return out.na.fill(0, subset=added)
 
 
-def with_pair_gaps(df: DataFrame, width: str | int = DEFAULT_SLICE, source: DataFrame | None = None) -> DataFrame:
+def with_pair_gaps(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """``inter_arrival_time``: seconds since the previous packet of the same (src, dst); NULL for the first."""
-    prev = previous_value(df, ["src_ip", "dst_ip"], F.col("timestamp"), "__prev", width, source=source)
+    prev = previous_value(df, ["src_ip", "dst_ip"], F.col("timestamp"), "__prev", source=source)
     return prev.withColumn("inter_arrival_time", seconds_between(F.col("timestamp"), F.col("__prev"))).drop("__prev")
 
 
-def trailing_counts(
-    df: DataFrame, windows: dict[str, str], width: str | int = DEFAULT_SLICE, key: str = "src_ip",
-) -> DataFrame:
+def trailing_counts(df: DataFrame, windows: dict[str, str], key: str = "src_ip", source: DataFrame | None = None) -> DataFrame:
     """Packets of the same source in (t - w, t] for several widths; equal times count each other."""
-    return slices.trailing_counts(df, [key], "frame_len", {name: width_us(w) for name, w in windows.items()}, width)
+    return slices.trailing_counts(df, [key], "frame_len", {name: width_us(w) for name, w in windows.items()}, source=source)
 
 
 def sliding_src_windows(df: DataFrame, window: str, slide: str) -> DataFrame:
@@ -127,9 +125,9 @@ def sliding_src_windows(df: DataFrame, window: str, slide: str) -> DataFrame:
     )
 
 
-def activity_bursts(df: DataFrame, gap: str, key: str = "src_ip", width: str | int = DEFAULT_SLICE) -> DataFrame:
+def activity_bursts(df: DataFrame, gap: str, key: str = "src_ip") -> DataFrame:
     """What ``F.session_window(timestamp, gap)`` gives per source, without sorting a source in one task."""
-    numbered = gap_sessions(df, [key], gap, "__burst", width)
+    numbered = gap_sessions(df, [key], gap, "__burst").where(F.col("__burst").isNotNull())
     return numbered.groupBy(key, "__burst").agg(
         F.min("timestamp").alias("burst_start"), F.max("timestamp").alias("__last"),
         F.count("frame_len").alias("packets"), F.sum("frame_len").alias("bytes"),

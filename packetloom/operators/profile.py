@@ -46,7 +46,7 @@ def compare_with_history(
     they are 0 when there is no past. First uses are joined by session, so a busy client stays spread out.
     """
     session_id = ["client_ip", "timestamp", "frame_no"]
-    out = previous_value(sessions, ["client_ip"], F.col("timestamp"), "__last", width)
+    out = previous_value(sessions, ["client_ip"], F.col("timestamp"), "__last")
     first_seen = sessions.groupBy("client_ip").agg(F.min("timestamp").alias("__first"))
     out = merge_back(out, first_seen, ["client_ip"], width, source=sessions)
     flags = {"uri": "is_new_uri_for_ip", "user_agent": "is_new_user_agent_for_ip"}

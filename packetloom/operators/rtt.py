@@ -25,7 +25,7 @@ def _within(ms: Column, timeout: str | int) -> Column:
 
 def handshake_rtt(
     df: DataFrame, timeout: str | int = "60 seconds", local_networks: Sequence[str] = LOCAL_NETWORKS,
-    match: str = "last", width: str | int = DEFAULT_SLICE,
+    match: str = "last",
 ) -> DataFrame:
     """``flow_key, rtt_ms``: local SYN to remote SYN-flagged answer, keyed by the client's direction.
 
@@ -35,7 +35,7 @@ def handshake_rtt(
     local = in_networks("src_ip", local_networks)
     syn = (
         df.where((F.col("protocol") == "TCP") & (F.col("tcp_flags").bitwiseAND(SYN) != 0))
-        .select("timestamp", local.alias("is_syn"), F.when(local, flow_key()).otherwise(reverse_flow_key()).alias("flow_key"))
+        .select("timestamp", "frame_no", local.alias("is_syn"), F.when(local, flow_key()).otherwise(reverse_flow_key()).alias("flow_key"))
         .where(F.col("flow_key").isNotNull())
     )
     us = F.unix_micros("timestamp")
@@ -44,7 +44,7 @@ def handshake_rtt(
             F.max(F.when(F.col("is_syn"), us)).alias("__syn"), F.max(F.when(~F.col("is_syn"), us)).alias("__reply")
         )
     elif match == "first_after":
-        answered = next_within(syn, ["flow_key"], ~F.col("is_syn"), width_us(timeout), "__reply", width)
+        answered = next_within(syn, ["flow_key"], ~F.col("is_syn"), width_us(timeout), "__reply")
         pairs = answered.where("is_syn").withColumn("__syn", us)
     else:
         raise ValueError(f"unknown match: {match!r}")
@@ -96,7 +96,7 @@ def rtt_stats_of(acked: DataFrame, shakes: DataFrame, width: str | int = DEFAULT
 
 def _samples(df: DataFrame, timeout, local_networks, direction, width) -> DataFrame:
     """Packets with ``rtt_ack_ms``, plus each flow's handshake time as ``rtt_ms``."""
-    shakes = handshake_rtt(df, timeout, local_networks, width=width)
+    shakes = handshake_rtt(df, timeout, local_networks)
     return merge_back(with_ack_rtt(df, timeout, direction, width), shakes, ["flow_key"], width, source=with_flow_key(df))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from packetloom.operators.slices import DEFAULT_SLICE, running_total
+from packetloom.operators.slices import running_total
 
 LENGTH = 50
 MAX_WINDOWS = 30
@@ -20,22 +20,24 @@ def vector(columns: Sequence[str]) -> Column:
 
 
 def behaviour_sequences(
-    df: DataFrame, key: str, columns: Sequence[str], length: int = LENGTH, width: str | int = DEFAULT_SLICE,
-    ts: str = "timestamp", order: Sequence[str] = ("timestamp", "frame_no"), chunk: int = _CHUNK,
+    df: DataFrame, key: str, columns: Sequence[str], length: int = LENGTH,
+    order: Sequence[str] = ("timestamp", "frame_no"), chunk: int = _CHUNK,
 ) -> DataFrame:
-    """``sequence`` (up to ``length`` vectors, oldest first) and ``is_ready`` for every row.
+    """``sequence`` (up to ``length`` vectors, oldest first) and ``is_ready`` for every row; rows without a key or time have none.
 
     Rows are numbered per key, cut into chunks, and the last L-1 rows of a chunk are copied into the
     next one; a busy key is many small groups.
     """
     size = max(chunk, length)
-    numbered = running_total(df.withColumn("__vec", vector(columns)), [key], F.lit(1), "__rn", width, ts, order)
-    home = F.floor((F.col("__rn") - 1) / F.lit(size))
-    last = F.floor((F.col("__rn") + F.lit(length - 2)) / F.lit(size))
+    numbered = running_total(df.withColumn("__vec", vector(columns)), [key], F.lit(1), "__rn", order)
+    lost = F.col("__rn").isNull()
+    spot = -1 - F.pmod(F.xxhash64(*df.columns), F.lit(1 << 20))
+    home = F.when(lost, spot).otherwise(F.floor((F.col("__rn") - 1) / F.lit(size)))
+    last = F.when(lost, spot).otherwise(F.floor((F.col("__rn") + F.lit(length - 2)) / F.lit(size)))
     spread = numbered.withColumns({"__home": home, "__chunk": F.explode(F.sequence(home, last))})
     frame = Window.partitionBy(key, "__chunk").orderBy("__rn").rowsBetween(1 - length, 0)
     return (
-        spread.withColumn("sequence", F.collect_list("__vec").over(frame))
+        spread.withColumn("sequence", F.when(~lost, F.collect_list("__vec").over(frame)))
         .where(F.col("__chunk") == F.col("__home"))
         .withColumn("is_ready", F.when(F.size("sequence") == length, 1).otherwise(0))
         .select(*df.columns, "sequence", "is_ready")
@@ -43,17 +45,18 @@ def behaviour_sequences(
 
 
 def training_windows(
-    df: DataFrame, columns: Sequence[str], length: int = LENGTH, width: str | int = DEFAULT_SLICE,
-    ts: str = "timestamp", order: Sequence[str] = ("timestamp", "frame_no"),
+    df: DataFrame, columns: Sequence[str], length: int = LENGTH,
+    order: Sequence[str] = ("timestamp", "frame_no"),
 ) -> DataFrame:
     """``window_id, sequence``: evenly spaced slices of the time-ordered table, at most 30.
 
-    With fewer than ``length`` rows the table is repeated end to end to fill each window.
+    With fewer than ``length`` rows the table is repeated end to end to fill each window. Rows without a time come first.
     """
     n = df.count()
     if n == 0:
         return df.sparkSession.createDataFrame([], "window_id long, sequence array<array<double>>")
-    indexed = running_total(df.withColumn("__vec", vector(columns)), [], F.lit(1), "__rn", width, ts, order)
+    timed = df.withColumns({"__vec": vector(columns), "__time": F.coalesce(order[0], F.timestamp_micros(F.lit(-(1 << 60))))})
+    indexed = running_total(timed, [], F.lit(1), "__rn", ["__time", *order[1:]])
     indexed = indexed.select((F.col("__rn") - 1).alias("i"), F.col("__vec").alias("vec"))
     if n >= length:
         stride = max(1, n // 10)

@@ -65,7 +65,7 @@ def train(
     forest = iforest.fit(clean, features, row_key, contamination=contamination, **forest_options)
     if length is None:
         return Models(forest)
-    ready = sequence.behaviour_sequences(align_features(vectors, features), "client_ip", features, length, profile.SESSION_SLICE)
+    ready = sequence.behaviour_sequences(align_features(vectors, features), "client_ip", features, length)
     return Models(forest, seqpca.fit(settled(ready.select("sequence")), length, encoding_dim))
 
 
@@ -96,7 +96,7 @@ def detect(vectors: DataFrame, models: Models, mode: str = "collaborative", leng
         raise ValueError(f"the sequence model takes sequences of {models.sequences.length}, not {length}")
     length = models.sequences.length
     features = models.forest.features
-    ready = sequence.behaviour_sequences(align_features(scored, features), "client_ip", features, length, profile.SESSION_SLICE)
+    ready = sequence.behaviour_sequences(align_features(scored, features), "client_ip", features, length)
     sequences = models.sequences
     if mode == "lstm_autoencoder":
         limit = thresholds.get("sequence", triage.SEQUENCE_ANOMALY)

@@ -70,13 +70,13 @@ def _with_group_features(base: DataFrame, groups: set[str], o: FeatureOptions) -
     if groups & {"flow", "session", "rtt"}:
         out = _with_flow_level(out, base, groups, o)
     if "temporal" in groups:
-        out = host.with_pair_gaps(out, o.slice_width, source=base)
-        out = host.trailing_counts(out, o.trailing, o.slice_width)
+        out = host.with_pair_gaps(out, source=base)
+        out = host.trailing_counts(out, o.trailing, source=base)
     return out
 
 
 def _with_flow_level(df: DataFrame, base: DataFrame, groups: set[str], o: FeatureOptions) -> DataFrame:
-    flows = flow.flow_table(base, o.slice_width)
+    flows = flow.flow_table(base)
     with_rtt = "rtt" in groups and "rtt_ack_ms" in base.columns
     if with_rtt:
         # At most one row per flow.

@@ -41,7 +41,7 @@ def test_recent_sessions_keep_the_newest(spark):
 def test_sequences_across_chunks(spark, chunk):
     rows = [(k, T0 + timedelta(seconds=i), i, float(i)) for k in "ab" for i in range(11)]
     df = spark.createDataFrame(rows, "k string, timestamp timestamp, frame_no long, x double")
-    got = sequence.behaviour_sequences(df, "k", ["x"], 3, "5 seconds", chunk=chunk).collect()
+    got = sequence.behaviour_sequences(df, "k", ["x"], 3, chunk=chunk).collect()
     assert len(got) == 22
     for r in got:
         expected = [[float(i)] for i in range(max(0, r["frame_no"] - 2), r["frame_no"] + 1)]
@@ -57,7 +57,7 @@ def test_training_windows_of_a_short_table_repeat_it(spark):
 
 def test_training_windows_of_a_long_table(spark):
     df = spark.createDataFrame([(T0 + timedelta(seconds=i), i, float(i)) for i in range(40)], "timestamp timestamp, frame_no long, x double")
-    rows = {r["window_id"]: [v[0] for v in r["sequence"]] for r in sequence.training_windows(df, ["x"], 10, "7 seconds").collect()}
+    rows = {r["window_id"]: [v[0] for v in r["sequence"]] for r in sequence.training_windows(df, ["x"], 10).collect()}
     assert rows == {w: [float(w * 4 + j) for j in range(10)] for w in range(8)}
 
 

@@ -1,4 +1,4 @@
-"""Sliced operators give what one plain window per key gives, for any slice width."""
+"""Sliced operators give what one plain window per key gives, for slots of any size."""
 
 import numpy as np
 import pandas as pd
@@ -35,47 +35,54 @@ def by_key():
     return Window.partitionBy("key").orderBy("timestamp", "frame_no")
 
 
-@pytest.mark.parametrize("width", ["1 second", "7 seconds", "1 day"])
-def test_previous_value(rows, width):
-    expected = rows.withColumn("p", F.when(F.col("key").isNotNull(), F.lag("frame_no").over(by_key())))
-    _same(slices.previous_value(rows, ["key"], F.col("frame_no"), "p", width), expected)
+def keyed(value):
+    return F.when(F.col("key").isNotNull() & F.col("timestamp").isNotNull(), value)
 
 
-@pytest.mark.parametrize("width", ["1 second", "1 day"])
-def test_running_total(rows, width):
-    keyed = rows.where("key IS NOT NULL")
-    expected = keyed.withColumn("t", F.sum(F.lit(1)).over(by_key()))
-    _same(slices.running_total(rows, ["key"], F.lit(1), "t", width), expected)
+SIZES = [7, 60, 1 << 20]
+
+
+@pytest.mark.parametrize("size", SIZES)
+def test_previous_value(rows, size):
+    expected = rows.withColumn("p", keyed(F.lag("frame_no").over(by_key())))
+    _same(slices.previous_value(rows, ["key"], F.col("frame_no"), "p", size=size), expected)
+
+
+@pytest.mark.parametrize("size", SIZES)
+def test_running_total(rows, size):
+    expected = rows.withColumn("t", keyed(F.sum(F.lit(1)).over(by_key())))
+    _same(slices.running_total(rows, ["key"], F.lit(1), "t", size=size), expected)
     everything = rows.withColumn("t", F.row_number().over(Window.orderBy("timestamp", "frame_no")).cast("long"))
-    _same(slices.running_total(rows, [], F.lit(1), "t", width), everything)
+    _same(slices.running_total(rows, [], F.lit(1), "t", size=size), everything)
 
 
-@pytest.mark.parametrize("width", ["1 second", "1 day"])
-def test_forward_fill(rows, width):
-    expected = rows.withColumn("value", F.when(F.col("key").isNull(), F.col("value")).otherwise(
-        F.last("value", ignorenulls=True).over(by_key().rowsBetween(Window.unboundedPreceding, 0))))
-    _same(slices.forward_fill(rows, ["key"], ["value"], width), expected)
+@pytest.mark.parametrize("size", SIZES)
+def test_forward_fill(rows, size):
+    filled = F.last("value", ignorenulls=True).over(by_key().rowsBetween(Window.unboundedPreceding, 0))
+    expected = rows.withColumn("value", F.coalesce(keyed(filled), F.col("value")))
+    _same(slices.forward_fill(rows, ["key"], ["value"], size=size), expected)
 
 
-@pytest.mark.parametrize("width", ["1 second", "13 seconds", "1 day"])
-def test_trailing_count(rows, width):
+@pytest.mark.parametrize("size", SIZES)
+def test_trailing_count(rows, size):
     def count(span):
         frame = Window.partitionBy("key").orderBy(F.unix_micros("timestamp")).rangeBetween(1 - span, 0)
-        return F.when(F.col("key").isNotNull(), F.count("value").over(frame))
+        return keyed(F.count("value").over(frame))
 
-    spans = {"c": 3_000_000, "d": 500_000, "e": 11_000_000}
+    spans = {"c": 3_000_000, "d": 500_000, "e": 11_000_000, "f": 40 * 86_400_000_000}
     expected = rows.withColumns({name: count(span) for name, span in spans.items()})
-    _same(slices.trailing_counts(rows, ["key"], "value", spans, width), expected)
+    _same(slices.trailing_counts(rows, ["key"], "value", spans, size=size), expected)
 
 
-@pytest.mark.parametrize("width", ["1 second", "13 seconds", "1 day"])
-def test_next_within(rows, width):
+@pytest.mark.parametrize("size", SIZES)
+@pytest.mark.parametrize("span", [0, 4_000_000, 40 * 86_400_000_000])
+def test_next_within(rows, size, span):
     us = F.unix_micros("timestamp")
-    frame = Window.partitionBy("key").orderBy(us).rangeBetween(0, 4_000_000)
+    frame = Window.partitionBy("key").orderBy(us).rangeBetween(0, span)
     target = F.col("value") > 40
-    nearest = F.when(F.col("key").isNotNull(), F.min(F.when(target, us)).over(frame))
+    nearest = keyed(F.min(F.when(target, us)).over(frame))
     marked = rows.withColumn("hit", F.coalesce(target, F.lit(False)))
-    _same(slices.next_within(marked, ["key"], F.col("hit"), 4_000_000, "n", width), marked.withColumn("n", nearest))
+    _same(slices.next_within(marked, ["key"], F.col("hit"), span, "n", size=size), marked.withColumn("n", nearest))
 
 
 def test_merge_back_keeps_every_row(rows):
@@ -83,14 +90,45 @@ def test_merge_back_keeps_every_row(rows):
     _same(slices.merge_back(rows, totals, ["key"], "5 seconds"), rows.join(totals, "key", "left"))
 
 
-def test_hot_key_is_cut_into_small_groups(rows):
-    cut = slices.sliced(rows.where("key = 'hot'"), "1 second").groupBy("__slice").count()
-    assert cut.agg(F.max("count")).first()[0] < rows.where("key = 'hot'").count() / 20
+@pytest.fixture(scope="module")
+def crowded(spark):
+    """Nine tenths of the rows on one source; a third of all in one minute, a fifth in one instant, a tenth without a key."""
+    place = "CASE WHEN id % 3 = 0 THEN 86400000000 + id * 5000 WHEN id % 5 = 0 THEN 7200000000 ELSE id * 9000000 END"
+    key = "CASE WHEN id % 10 = 1 THEN NULL WHEN id % 20 = 2 THEN 'cold' ELSE 'hot' END"
+    return spark.range(12_000).selectExpr("id AS frame_no", f"{key} AS key", f"timestamp_micros({place}) AS timestamp", "CAST(id % 7 AS INT) AS value").persist()
+
+
+@pytest.mark.parametrize("size", [100, 1000])
+def test_no_group_is_larger_than_a_slot(crowded, size):
+    cut = slices.Cut(crowded, ["key"], size=size)
+    groups = cut.rows(crowded).groupBy("key", "__slice").count()
+    assert groups.agg(F.max("count")).first()[0] <= size
+    assert groups.where("key = 'hot'").count() < 8 * 12_000 / size
+    assert groups.where("key IS NULL").agg(F.max("count")).first()[0] < 10
+    # Within a key, slots follow the order of the rows.
+    bounds = cut.rows(crowded).where("key IS NOT NULL").groupBy("key", "__slice").agg(F.min(F.struct("timestamp", "frame_no")).alias("low"), F.max(F.struct("timestamp", "frame_no")).alias("high"))
+    after = F.lead("low").over(Window.partitionBy("key").orderBy("__slice"))
+    assert bounds.withColumn("after", after).where("after <= high").count() == 0
+
+
+def test_small_keys_are_not_cut(rows):
+    cut = slices.Cut(rows, ["key"])
+    assert cut.edges.count() == 0 and cut.rows(rows).where("key IS NOT NULL").select("__slice").distinct().collect() == [(0,)]
+
+
+def test_crowded_keys_give_the_same_at_any_size(crowded):
+    def numbers(size):
+        out = slices.previous_value(crowded, ["key"], F.col("frame_no"), "p", size=size)
+        out = slices.trailing_counts(out, ["key"], "value", {"minute": 60_000_000, "day": 86_400_000_000}, source=crowded, size=size)
+        return slices.gap_sessions(out, ["key"], "20 seconds", source=crowded, size=size)
+
+    _same(numbers(300), numbers(1 << 20))
 
 
-def test_gap_sessions(rows):
-    got = slices.gap_sessions(rows, ["key"], "2 seconds", width="3 seconds")
+@pytest.mark.parametrize("size", SIZES)
+def test_gap_sessions(rows, size):
+    got = slices.gap_sessions(rows, ["key"], "2 seconds", size=size)
     us = F.unix_micros("timestamp")
     starts = F.when(us - F.lag(us).over(by_key()) < 2_000_000, 0).otherwise(1)
-    expected = rows.where("key IS NOT NULL").withColumn("s", starts).withColumn("session_no", F.sum("s").over(by_key())).drop("s")
+    expected = rows.withColumn("s", starts).withColumn("session_no", keyed(F.sum("s").over(by_key()))).drop("s")
     _same(got, expected)
