@@ -1,8 +1,9 @@
 """Raw capture files (classic pcap): header fields of every packet.
 
-Records have no fixed size, so a first job walks the record headers of each file, and only those, and notes an
-offset about every ``CHUNK`` bytes. A second job decodes the chunks, whatever file they are in: one huge
-capture is read by many tasks, and no task holds a whole file.
+Records have no fixed size, so where one starts is only known from the one before. Still no task walks a whole file: each byte range looks
+for the first place where a record header makes sense, walks the headers from there and notes where its chain leaves the range. A range
+whose start is the end of the range before it was right; the few others are walked again from that end, until all agree. The pieces of
+all ranges are decoded by a second job, whatever file they are in, and frames are numbered by running sums over the ranges.
 """
 
 from __future__ import annotations
@@ -14,13 +15,13 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from packetloom.schema import PACKET_SCHEMA
+from packetloom.session import settled
 from packetloom.sources.records import discover, union_records
 
 CHUNK = 64 * 1024 * 1024
-_CHUNKS = "path string, start long, stop long, first_frame long, order string, nanos boolean, link int, damaged boolean"
 
 # Captured bytes of one record at most, where the file does not allow more; how far apart the times of neighbouring records may be
 # when records are looked for behind damage.
@@ -34,6 +35,8 @@ _MAGIC = {
     b"\x4d\x3c\xb2\xa1": ("<", True), b"\xa1\xb2\x3c\x4d": (">", True),
 }
 _ETHERNET, _RAW, _SLL, _NULL = 1, 101, 113, 0
+# IPv6 extension headers: hop-by-hop, routing, fragment, authentication, destination (fixed values).
+_EXTENSIONS = {0, 43, 44, 51, 60}
 _TRANSPORT = {1: "ICMP", 6: "TCP", 17: "UDP", 58: "ICMPV6"}
 
 
@@ -45,8 +48,10 @@ def _open(path: str):
     return system.open_input_file(inner)
 
 
-def _resume(f, at: int, size: int, order: str, nanos: bool, longest: int, second: int | None, block: int) -> int:
-    """The next place from ``at`` on where a record header makes sense and is followed by another one or by the end; else the end."""
+def _resume(f, at: int, size: int, order: str, nanos: bool, longest: int, second: int | None, block: int, stop: int | None = None) -> int:
+    """The next place from ``at`` on where a record header makes sense and is followed by another one or by the end; else the end. Places
+    from ``stop`` on are not looked at."""
+    stop = size if stop is None else stop
 
     def fits(pos: int) -> bool:
         f.seek(pos)
@@ -56,7 +61,7 @@ def _resume(f, at: int, size: int, order: str, nanos: bool, longest: int, second
         _, frac, caught, wire = struct.unpack(order + "IIII", head)
         return caught <= longest and caught <= wire and frac < (10**9 if nanos else 10**6) and pos + 16 + caught <= size
 
-    while at + 16 <= size:
+    while at + 16 <= size and at < stop:
         f.seek(at)
         raw = f.read(min(block, size - at))
         data = np.frombuffer(raw, np.uint8)
@@ -68,53 +73,111 @@ def _resume(f, at: int, size: int, order: str, nanos: bool, longest: int, second
         good = (frac < (10**9 if nanos else 10**6)) & (caught <= longest) & (caught <= wire) & (wire > 0) & (at + np.arange(n) + 16 + caught <= size)
         if second is not None:
             good &= np.abs(sec - second) <= _APART_SECONDS
-        for i in np.flatnonzero(good).tolist():
+        for i in np.flatnonzero(good[: max(stop - at, 0)]).tolist():
             if fits(at + i + 16 + int(caught[i])):
                 return at + i
         at += n
     return size
 
 
-def index_file(path: str, chunk: int = CHUNK, block: int = 4 * 1024 * 1024) -> Iterator[tuple]:
-    """(path, start, stop, first frame, byte order, nanos, link, damaged) per chunk.
+class _Head:
+    """What the head of a file says about its records."""
 
-    Where a record header cannot be right, a chunk of its own marks the damage up to the next header that makes sense, and counts as
-    one frame; a cut-off last record is such a place too.
-    """
-    with _open(path) as f:
+    def __init__(self, f, path: str):
         head = f.read(24)
         if len(head) < 24 or head[:4] not in _MAGIC:
             raise ValueError(f"{path} is not a pcap file")
-        order, nanos = _MAGIC[head[:4]]
-        link = struct.unpack(order + "I", head[20:24])[0] & 0x0FFFFFFF
-        longest = max(struct.unpack(order + "I", head[16:20])[0] & 0x7FFFFFFF, _LONGEST)
-        size, at, frame, second = f.size(), 24, 1, None
-        start, first = at, frame
-        base, data = at, b""
-        while at < size:
-            if at + 16 > base + len(data):
-                base = at
-                f.seek(base)
-                data = f.read(block)
-            sec, length = struct.unpack_from(order + "I4xI", data, at - base) if at + 16 <= size else (0, size)
-            if length > longest or at + 16 + length > size:
-                if at > start:
-                    yield path, start, at, first, order, nanos, link, False
-                resumed = _resume(f, at + 1, size, order, nanos, longest, second, block)
-                yield path, at, resumed, frame, order, nanos, link, True
-                at, frame, data = resumed, frame + 1, b""
-                start, first = at, frame
-                continue
-            second = sec
-            at += 16 + length
-            frame += 1
-            if at - start >= chunk:
-                yield path, start, at, first, order, nanos, link, False
-                start, first = at, frame
-            if at >= base + len(data):
-                data = b""
-        if at > start:
-            yield path, start, at, first, order, nanos, link, False
+        self.order, self.nanos = _MAGIC[head[:4]]
+        self.link = struct.unpack(self.order + "I", head[20:24])[0] & 0x0FFFFFFF
+        self.longest = max(struct.unpack(self.order + "I", head[16:20])[0] & 0x7FFFFFFF, _LONGEST)
+        self.size = f.size()
+        first = f.read(4)
+        self.second = struct.unpack(self.order + "I", first)[0] if len(first) == 4 else None
+
+
+def walk(f, head: _Head, start: int, high: int, second: int | None, block: int) -> tuple[list[tuple[int, int, int, bool]], int, int, int | None]:
+    """((start, stop, frames before it, damaged) of the pieces, end, frames, time of the last record) of the records that start in [start, high).
+
+    Where a record header cannot be right, a piece of its own marks the damage up to the next header that makes sense, and counts as
+    one frame; a cut-off last record is such a place too.
+    """
+    pieces: list[tuple[int, int, int, bool]] = []
+    size, at, frame = head.size, start, 0
+    high = min(high, size)
+    begin, first = at, frame
+    base, data = at, b""
+    while at < high:
+        if at < base or at + 16 > base + len(data):
+            base = at
+            f.seek(base)
+            data = f.read(block)
+        sec, length = struct.unpack_from(head.order + "I4xI", data, at - base) if at + 16 <= size else (0, size)
+        if length > head.longest or at + 16 + length > size:
+            if at > begin:
+                pieces.append((begin, at, first, False))
+            resumed = _resume(f, at + 1, size, head.order, head.nanos, head.longest, second, block)
+            pieces.append((at, resumed, frame, True))
+            at, frame, data = resumed, frame + 1, b""
+            begin, first = at, frame
+            continue
+        second = sec
+        at += 16 + length
+        frame += 1
+    if at > begin:
+        pieces.append((begin, at, first, False))
+    return pieces, at, frame, second
+
+
+_RANGE = (
+    "path string, low long, high long, begin long, `end` long, frames long, second long, order string, nanos boolean, link int, "
+    "pieces array<struct<start: long, stop: long, before: long, damaged: boolean>>"
+)
+
+
+def _walk_ranges(batches: Iterator[pd.DataFrame], block: int) -> Iterator[pd.DataFrame]:
+    """Ranges (path, low, high, begin, second) walked from ``begin``, or from the first plausible header if that is null."""
+    names = [c.split()[0].strip("`") for c in _RANGE.split(", ")][:11]
+    for batch in batches:
+        for r in batch.itertuples():
+            with _open(r.path) as f:
+                head = _Head(f, r.path)
+                begin, second = (None if pd.isna(x) else int(x) for x in (r.begin, r.second))
+                if begin is None and r.low == 0:
+                    begin = 24
+                elif begin is None:
+                    high = min(r.high, head.size)
+                    found = _resume(f, r.low, head.size, head.order, head.nanos, head.longest, head.second, block, stop=high)
+                    # None in the whole range: the range before decides.
+                    begin = found if found < high else None
+                pieces, end, frames, second = walk(f, head, begin, r.high, second, block) if begin is not None else ([], r.low, 0, None)
+            yield pd.DataFrame([(r.path, r.low, r.high, begin, end, frames, second, head.order, head.nanos, head.link, pieces)], columns=names)
+
+
+def index_captures(files: DataFrame, chunk: int = CHUNK, block: int = 4 * 1024 * 1024) -> DataFrame:
+    """(path, start, stop, first_frame, order, nanos, link, damaged) of all pieces of the files (path, length), about ``chunk`` bytes each."""
+    low = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length"), F.lit(1)) - 1, F.lit(chunk).cast("long"))).alias("low")
+    ranges = files.select("path", "length", low)
+    nothing = F.lit(None).cast("long")
+    ranges = ranges.select("path", "low", F.least(F.col("low") + chunk, "length").alias("high"), nothing.alias("begin"), nothing.alias("second"))
+    count = max(files.agg(F.sum(F.ceil(F.greatest(F.col("length"), F.lit(1)) / chunk))).first()[0] or 1, 1)
+    walked = settled(ranges.repartition(count).mapInPandas(lambda it: _walk_ranges(it, block), _RANGE))
+    of_file = Window.partitionBy("path").orderBy("low")
+    while True:
+        seen = walked.select("path", "low", "high", "begin", F.lag("end").over(of_file).alias("before"), F.lag("second").over(of_file).alias("second"))
+        wrong = settled(seen.where((F.col("low") > 0) & ~F.col("begin").eqNullSafe(F.col("before"))))
+        again = wrong.count()
+        if not again:
+            break
+        # Each round settles at least the first wrong range of every file; mostly a walk from the right place ends where the wrong one did.
+        repeat = wrong.select("path", "low", "high", F.col("before").alias("begin"), "second").repartition(again)
+        repeat = repeat.mapInPandas(lambda it: _walk_ranges(it, block), _RANGE)
+        walked = settled(walked.join(wrong.select("path", "low"), ["path", "low"], "left_anti").unionByName(repeat))
+    before = F.coalesce(F.sum("frames").over(of_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    pieces = walked.withColumn("before", before).select("*", F.explode("pieces").alias("p"))
+    return pieces.select(
+        "path", F.col("p.start").alias("start"), F.col("p.stop").alias("stop"), (F.col("before") + F.col("p.before") + 1).alias("first_frame"),
+        "order", "nanos", "link", F.col("p.damaged").alias("damaged"),
+    )
 
 
 def _records(chunk) -> Iterator[tuple[int, int, int, bytes]]:
@@ -176,6 +239,16 @@ def _tcp(body: bytes) -> dict:
     return row
 
 
+def _after_extensions(proto: int, body: bytes) -> tuple[int, bytes]:
+    """The transport protocol behind IPv6 extension headers, and its bytes; a later fragment has none."""
+    while proto in _EXTENSIONS:
+        if proto == 44 and struct.unpack_from(">H", body, 2)[0] & 0xFFF8:
+            return proto, b""
+        size = 8 if proto == 44 else (body[1] + 2) * 4 if proto == 51 else (body[1] + 1) * 8
+        proto, body = body[0], body[size:]
+    return proto, body
+
+
 def decode(data: bytes, link: int) -> dict:
     """Header fields of one frame. Application layers are left to the dissector."""
     kind, body = _network_layer(data, link)
@@ -187,7 +260,9 @@ def decode(data: bytes, link: int) -> dict:
                    src_ip=str(ipaddress.IPv4Address(body[12:16])), dst_ip=str(ipaddress.IPv4Address(body[16:20])))
         inner = body[head : total or None] if offset == 0 else b""
     elif kind == 0x86DD:
-        proto, inner = body[6], body[40 : 40 + struct.unpack_from(">H", body, 4)[0]]
+        size = struct.unpack_from(">H", body, 4)[0]
+        proto, inner = _after_extensions(body[6], body[40 : 40 + size])
+        row.update(ip_version=6, ip_len=40 + size, ip_ttl=body[7], src_ip=str(ipaddress.IPv6Address(body[8:24])), dst_ip=str(ipaddress.IPv6Address(body[24:40])))
     else:
         return row
     if proto not in _TRANSPORT or not inner:
@@ -206,13 +281,6 @@ def decode(data: bytes, link: int) -> dict:
     return row
 
 
-def _index(batches: Iterator[pd.DataFrame], chunk: int) -> Iterator[pd.DataFrame]:
-    names = [c.split()[0] for c in _CHUNKS.split(", ")]
-    for batch in batches:
-        for path in batch["path"]:
-            yield pd.DataFrame(list(index_file(path, chunk)), columns=names)
-
-
 def _decode(batches: Iterator[pd.DataFrame], on_malformed: str) -> Iterator[pd.DataFrame]:
     names = [f.name for f in _DECODED.fields]
 
@@ -253,12 +321,10 @@ def read_captures(
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     files = union_records([discover(spark, p, pattern) for p in paths])
-    total = files.agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes")).first()
-    if not total["files"]:
+    if files.isEmpty():
         empty = spark.createDataFrame([], _DECODED)
         return empty if on_malformed == "mark" else empty.drop("malformed")
-    tasks = total["bytes"] // chunk + total["files"]
-    index = files.repartition(total["files"]).mapInPandas(lambda it: _index(it, chunk), _CHUNKS)
-    # A fixed number of partitions: the chunk list is tiny, its work is not.
-    decoded = index.repartition(tasks).mapInPandas(lambda it: _decode(it, on_malformed), _DECODED)
+    index = settled(index_captures(files, chunk))
+    # A fixed number of partitions: the list of pieces is tiny, their work is not.
+    decoded = index.repartition(max(index.count(), 1)).mapInPandas(lambda it: _decode(it, on_malformed), _DECODED)
     return decoded if on_malformed == "mark" else decoded.where(~F.col("malformed")).drop("malformed")

@@ -87,7 +87,7 @@ def test_capture_fields(spark, tmp_path, order, nanos):
     assert (udp["protocol"], udp["dst_port"], udp["payload"], udp["src_ip"]) == ("UDP", 5353, "616263", "10.0.0.1")
     assert (icmp["icmp_type"], icmp["icmp_id"], icmp["icmp_seq"]) == (8, "5", "6")
     assert (arp["protocol"], arp["src_ip"], arp["src_port"]) == ("ARP", None, None)
-    assert (v6["protocol"], v6["src_ip"], v6["src_port"]) == ("UDP", None, 53)
+    assert (v6["protocol"], v6["src_ip"], v6["src_port"], v6["ip_version"]) == ("UDP", "::", 53, 6)
     assert capture.read_captures(spark, str(tmp_path)).count() == 5
 
 
@@ -95,13 +95,36 @@ def test_capture_in_many_chunks(spark, tmp_path):
     _pcap(tmp_path / "long.pcap", FRAMES[:3] * 100)
     _pcap(tmp_path / "empty.pcap", [])
     (tmp_path / "cut.pcap").write_bytes((tmp_path / "long.pcap").read_bytes()[:-5])
-    assert len(list(capture.index_file(str("file:" + str(tmp_path / "long.pcap")), chunk=500, block=128))) > 20
+    index = capture.index_captures(records.discover(spark, str(tmp_path / "long.pcap")), chunk=500, block=128).orderBy("start").collect()
+    assert len(index) > 20 and [r["start"] for r in index[1:]] == [r["stop"] for r in index[:-1]] and max(r["stop"] - r["start"] for r in index) < 700
     df = capture.read_captures(spark, str(tmp_path), chunk=700)
     whole = {r["file_path"].rsplit("/", 1)[-1]: (r["n"], r["lo"], r["hi"], r["d"]) for r in df.groupBy("file_path").agg(
         F.count(F.lit(1)).alias("n"), F.min("frame_no").alias("lo"), F.max("frame_no").alias("hi"), F.count_distinct("frame_no").alias("d")).collect()}
     assert whole == {"long.pcap": (300, 1, 300, 300), "cut.pcap": (299, 1, 299, 299)}
 
 
+def test_bytes_that_look_like_records_do_not_mislead(spark, tmp_path):
+    # Every payload is a chain of plausible headers, so most ranges start at a wrong place first.
+    fake = b"".join(struct.pack("<IIII", 1_700_000_000 + i, 5, 4, 4) + b"abcd" for i in range(200))
+    _pcap(tmp_path / "f.pcap", [_eth(0x0806, fake[: 20 * (i % 200 + 1)]) for i in range(150)])
+    index = capture.index_captures(records.discover(spark, str(tmp_path / "f.pcap")), chunk=3_000).orderBy("start").collect()
+    whole = capture.index_captures(records.discover(spark, str(tmp_path / "f.pcap")), chunk=1 << 26).collect()
+    assert len(whole) == 1 and (index[0]["start"], index[-1]["stop"]) == (whole[0]["start"], whole[0]["stop"]) and not any(r["damaged"] for r in index)
+    rows = capture.read_captures(spark, str(tmp_path), "mark", chunk=3_000).select("frame_no", "frame_len", F.unix_seconds("timestamp").alias("at")).collect()
+    assert sorted(tuple(r) for r in rows) == [(i + 1, 14 + 20 * (i % 200 + 1) + 4, 1_700_000_000 + i) for i in range(150)]
+
+
+def test_ipv6_behind_extension_headers(spark, tmp_path):
+    address = bytes.fromhex("20010db8000000000000000000000001")
+    routed = struct.pack(">BB6x", 44, 0) + struct.pack(">BBHI", 17, 0, 0, 9) + UDP
+    later = struct.pack(">BBHI", 17, 0, 8 << 3, 9) + b"rest"
+    head = lambda proto, body: struct.pack(">IHBB", 0x60000000, len(body), proto, 64) + address + b"\x00" * 15 + b"\x01" + body
+    _pcap(tmp_path / "six.pcap", [_eth(0x86DD, head(60, routed)), _eth(0x86DD, head(44, later)), _eth(0x86DD, head(60, b"\x11"))])
+    rows = capture.read_captures(spark, str(tmp_path), "mark").orderBy("frame_no").collect()
+    assert [(r["src_ip"], r["dst_ip"], r["protocol"], r["dst_port"], r["malformed"]) for r in rows] == [
+        ("2001:db8::1", "::1", "UDP", 5353, False), ("2001:db8::1", "::1", "IPV6", None, False), (None, None, None, None, True)]
+
+
 @pytest.mark.parametrize("chunk", [300, 5_000, 1 << 26])
 def test_damage_costs_only_the_records_it_touches(spark, tmp_path, chunk):
     _pcap(tmp_path / "d.pcap", [FRAMES[i % 3] for i in range(120)])
