@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from packetloom.catalog.base import RTT_TIMEOUT, SLICE, STEPS, WINDOW, packets, query
 from packetloom.catalog.scalar import entropy_of
 from packetloom.operators import flow, host, report, rtt, scalar, session
-from packetloom.operators.slices import forward_fill
+from packetloom.operators.slices import forward_fill, previous_value
 
 _KEY = "src_ip, dst_ip, src_port, dst_port, protocol"
 _PACKET = "frame_no src_ip:s dst_ip:s src_port dst_port protocol:s"
@@ -362,24 +362,35 @@ def _(spark, sf):
     return rtt.handshake_rtt(packets(spark, sf), RTT_TIMEOUT)
 
 
-@query(
-    "rtt_handshake_first_after", "flow_key:s rtt_ms:f",
-    """SELECT flow_key, min(d) / 1000.0 AS rtt_ms FROM (
+def _first_after(days: int) -> str:
+    return f"""SELECT flow_key, min(d) / 1000.0 AS rtt_ms FROM (
          SELECT s.flow_key, s.frame_no, min(epoch_us(a.timestamp) - epoch_us(s.timestamp)) AS d
          FROM keyed s JOIN keyed a ON s.flow_key = a.dst_ip || ':' || a.dst_port || '-' || a.src_ip || ':' || a.src_port
            AND s.protocol = 'TCP' AND a.protocol = 'TCP' AND s.tcp_flags & 2 <> 0 AND a.tcp_flags & 2 <> 0
            AND starts_with(s.src_ip, '172.19.') AND NOT starts_with(a.src_ip, '172.19.')
-           AND a.timestamp >= s.timestamp AND epoch_us(a.timestamp) - epoch_us(s.timestamp) < 20 * 86400000000
-         GROUP BY ALL) WHERE d > 0 GROUP BY flow_key""",
-    "packets classed keyed",
-)
+           AND a.timestamp >= s.timestamp AND epoch_us(a.timestamp) - epoch_us(s.timestamp) < {days} * 86400000000
+         GROUP BY ALL) WHERE d > 0 GROUP BY flow_key"""
+
+
+@query("rtt_handshake_first_after", "flow_key:s rtt_ms:f", _first_after(20), "packets classed keyed")
 def _(spark, sf):
     return rtt.handshake_rtt(packets(spark, sf), "20 days", match="first_after")
 
 
+@query("rtt_handshake_first_after_40_days", "flow_key:s rtt_ms:f", _first_after(40), "packets classed keyed")
+def _(spark, sf):
+    return rtt.handshake_rtt(packets(spark, sf), "40 days", match="first_after", size=100)
+
+
+@query("temporal_gaps_in_small_slots", "frame_no src_ip:s inter_arrival_time:f", "SELECT frame_no, src_ip, (epoch_us(timestamp) - lag(epoch_us(timestamp)) OVER (PARTITION BY src_ip ORDER BY timestamp, frame_no)) / 1e6 AS inter_arrival_time FROM packets")
+def _(spark, sf):
+    df = previous_value(packets(spark, sf), ["src_ip"], F.unix_micros("timestamp"), "before", size=100)
+    return df.withColumn("inter_arrival_time", (F.unix_micros("timestamp") - F.col("before")) / 1e6)
+
+
 @query("rtt_ack_latency", "frame_no flow_key:s rtt_ack_ms:f", "SELECT * FROM acked", "packets classed keyed acked")
 def _(spark, sf):
-    return rtt.with_ack_rtt(packets(spark, sf), RTT_TIMEOUT, width=SLICE)
+    return rtt.with_ack_rtt(packets(spark, sf), RTT_TIMEOUT)
 
 
 @query(
@@ -387,7 +398,7 @@ def _(spark, sf):
     _ack_step("dst_ip || ':' || dst_port || '-' || src_ip || ':' || src_port"), "packets classed keyed",
 )
 def _(spark, sf):
-    return rtt.with_ack_rtt(packets(spark, sf), RTT_TIMEOUT, "reverse", SLICE)
+    return rtt.with_ack_rtt(packets(spark, sf), RTT_TIMEOUT, "reverse")
 
 
 @query("rtt_stats", f"flow_key:s {_RTT}", "SELECT * FROM rtts", RTT_STEPS)

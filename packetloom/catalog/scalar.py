@@ -8,6 +8,8 @@ from packetloom.catalog.base import STEPS, packets, query, table
 from packetloom.functions import net
 from packetloom.functions.entropy import char_entropy
 from packetloom.operators import quality, scalar
+from packetloom.session import scratch_path
+from packetloom.sources import capture, pcap
 
 _IP_OK = (
     r"regexp_full_match({0}, '((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){{3}}"
@@ -58,6 +60,31 @@ def _(spark, sf):
     return packets(spark, sf)
 
 
+# Captures written from the packets and read back: by byte ranges, and through the data source.
+_CAPTURED = "timestamp:t src_ip:s dst_ip:s src_port dst_port protocol:s frame_len ip_len tcp_flags tcp_seq tcp_ack payload:s"
+_ON_THE_WIRE = """SELECT timestamp, src_ip, dst_ip, src_port, dst_port, CASE WHEN tcp_flags IS NULL THEN 'UDP' ELSE 'TCP' END AS protocol,
+  greatest(frame_len, CASE WHEN tcp_flags IS NULL THEN 58 ELSE 70 END) AS frame_len, CASE WHEN tcp_flags IS NULL THEN 44 ELSE 56 END AS ip_len,
+  tcp_flags, tcp_seq, tcp_ack, payload FROM packets"""
+
+
+def _captures(spark, sf) -> str:
+    path = scratch_path(spark, "captures")
+    pcap.write_captures(packets(spark, sf).coalesce(2), path)
+    return path
+
+
+@query("source_captures", _CAPTURED, _ON_THE_WIRE)
+def _(spark, sf):
+    return capture.read_captures(spark, _captures(spark, sf), chunk=1 << 17)
+
+
+@query("source_captures_format", _CAPTURED, _ON_THE_WIRE)
+def _(spark, sf):
+    path, index = _captures(spark, sf), scratch_path(spark, "index")
+    pcap.write_index(spark, path, index, chunk=1 << 17)
+    return spark.read.format(pcap.FORMAT).option("index", index).load(path)
+
+
 @query("filter_transport", _L1, "SELECT * FROM packets WHERE tcp_flags IS NOT NULL OR src_port IS NOT NULL")
 def _(spark, sf):
     return quality.transport_only(packets(spark, sf))

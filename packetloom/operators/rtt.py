@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from packetloom.functions.net import LOCAL_NETWORKS, flow_key, in_networks, reverse_flow_key
 from packetloom.functions.timing import width_us
 from packetloom.operators.guard import has_columns
-from packetloom.operators.slices import DEFAULT_SLICE, merge_back, next_within
+from packetloom.operators.slices import DEFAULT_SLICE, SLOT_ROWS, merge_back, next_within
 
 SYN, ACK = 0x02, 0x10
 REQUIRED = ["timestamp", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "tcp_flags", "tcp_seq", "tcp_ack"]
@@ -25,12 +25,12 @@ def _within(ms: Column, timeout: str | int) -> Column:
 
 def handshake_rtt(
     df: DataFrame, timeout: str | int = "60 seconds", local_networks: Sequence[str] = LOCAL_NETWORKS,
-    match: str = "last",
+    match: str = "last", size: int = SLOT_ROWS,
 ) -> DataFrame:
     """``flow_key, rtt_ms``: local SYN to remote SYN-flagged answer, keyed by the client's direction.
 
     ``match='last'`` pairs the last of each, in one aggregation: both directions share the client's key.
-    ``match='first_after'`` takes the first answer after each SYN and keeps the flow's smallest.
+    ``match='first_after'`` takes the first answer after each SYN and keeps the flow's smallest, with ``size`` rows in a slot of a busy flow.
     """
     local = in_networks("src_ip", local_networks)
     syn = (
@@ -44,7 +44,7 @@ def handshake_rtt(
             F.max(F.when(F.col("is_syn"), us)).alias("__syn"), F.max(F.when(~F.col("is_syn"), us)).alias("__reply")
         )
     elif match == "first_after":
-        answered = next_within(syn, ["flow_key"], ~F.col("is_syn"), width_us(timeout), "__reply")
+        answered = next_within(syn, ["flow_key"], ~F.col("is_syn"), width_us(timeout), "__reply", size=size)
         pairs = answered.where("is_syn").withColumn("__syn", us)
     else:
         raise ValueError(f"unknown match: {match!r}")
@@ -54,8 +54,7 @@ def handshake_rtt(
 
 
 def with_ack_rtt(
-    df: DataFrame, timeout: str | int = "60 seconds", direction: str = "same", width: str | int = DEFAULT_SLICE,
-    source: DataFrame | None = None,
+    df: DataFrame, timeout: str | int = "60 seconds", direction: str = "same", source: DataFrame | None = None,
 ) -> DataFrame:
     """``rtt_ack_ms`` per packet: time to the last packet that acknowledges exactly its last byte.
 
@@ -77,9 +76,11 @@ def with_ack_rtt(
         .groupBy("__key", F.col("tcp_ack").alias("__expected"))
         .agg(F.max("timestamp").alias("__acked"))
     )
-    matched = merge_back(expecting(df), acks, ["__key", "__expected"], width, source=expecting(source))
+    # A key and a number hold few packets. Rows without them match nothing, so they are spread by their time.
+    salt = F.when(F.col("__key").isNull() | F.col("__expected").isNull(), F.unix_micros("timestamp")).otherwise(F.lit(0))
+    matched = expecting(df).withColumn("__salt", salt).join(acks.withColumn("__salt", F.lit(0).cast("long")), ["__key", "__expected", "__salt"], "left")
     ms = (F.unix_micros("__acked") - F.unix_micros("timestamp")) / 1000.0
-    return matched.withColumn("rtt_ack_ms", _within(ms, timeout)).drop("__key", "__expected", "__acked")
+    return matched.withColumn("rtt_ack_ms", _within(ms, timeout)).select(*with_flow_key(df).columns, "rtt_ack_ms")
 
 
 def mean_of_present(a: Column, b: Column) -> Column:
@@ -97,7 +98,7 @@ def rtt_stats_of(acked: DataFrame, shakes: DataFrame, width: str | int = DEFAULT
 def _samples(df: DataFrame, timeout, local_networks, direction, width) -> DataFrame:
     """Packets with ``rtt_ack_ms``, plus each flow's handshake time as ``rtt_ms``."""
     shakes = handshake_rtt(df, timeout, local_networks)
-    return merge_back(with_ack_rtt(df, timeout, direction, width), shakes, ["flow_key"], width, source=with_flow_key(df))
+    return merge_back(with_ack_rtt(df, timeout, direction), shakes, ["flow_key"], width, source=with_flow_key(df))
 
 
 def rtt_table(

@@ -61,7 +61,7 @@ def build_features(df: DataFrame, options: FeatureOptions | None = None) -> Data
 def _with_group_features(base: DataFrame, groups: set[str], o: FeatureOptions) -> DataFrame:
     if "rtt" in groups and set(rtt.REQUIRED) <= set(base.columns):
         # Acknowledgements are matched once; everything after reads the written column.
-        base = settled(rtt.with_ack_rtt(base, o.rtt_timeout, width=o.slice_width))
+        base = settled(rtt.with_ack_rtt(base, o.rtt_timeout))
     out = base
     if "host" in groups:
         out = host.with_host_features(out, o.host_window, o.slice_width, source=base)

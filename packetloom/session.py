@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,9 +43,37 @@ def shared_dir(spark: SparkSession) -> str:
     return fallback
 
 
+#: Names of the scopes that are open, outermost first.
+_SCOPES: ContextVar[tuple[str, ...]] = ContextVar("scopes", default=())
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, for one written table or one stream checkpoint."""
-    return f"{_run_dir(spark)}/{uuid.uuid4().hex}/{name}"
+    """A fresh path below the shared folder and the innermost open scope, for one written table or one stream checkpoint."""
+    return "/".join([_run_dir(spark), *_SCOPES.get(), uuid.uuid4().hex, name])
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """All that is written to the shared folder inside is removed at the end, but for what the yielded function is given to keep.
+
+    Nothing made inside may be used afterwards unless it was kept: kept rows are written to the scope around, and read from there.
+    """
+    outer = _SCOPES.get()
+    inner = (*outer, f"scope-{uuid.uuid4().hex}")
+
+    def keep(df: DataFrame) -> DataFrame:
+        token = _SCOPES.set(outer)
+        try:
+            return settled(df)
+        finally:
+            _SCOPES.reset(token)
+
+    token = _SCOPES.set(inner)
+    try:
+        yield keep
+    finally:
+        _SCOPES.reset(token)
+        _remove(spark, "/".join([_run_dir(spark), *inner]))
 
 
 def _run_dir(spark: SparkSession) -> str:
@@ -51,14 +82,18 @@ def _run_dir(spark: SparkSession) -> str:
 
 def remove_scratch(spark: SparkSession) -> None:
     """Removes all that this application has written below the shared folder. Tables read from there are gone with it."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_run_dir(spark))
+    _remove(spark, _run_dir(spark))
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settled(df: DataFrame) -> DataFrame:
     """The rows written once to the shared folder, so later passes read only the columns they need from there.
 
-    The table stays until ``remove_scratch`` is called.
+    The table stays until the scope that it was written in ends, or until ``remove_scratch`` is called.
     """
     path = scratch_path(df.sparkSession, "settled")
     df.write.parquet(path)

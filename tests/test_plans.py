@@ -64,3 +64,27 @@ def test_detection_and_report(spark, built, tmp_path):
     assert len(forest.nodes) == len(again.nodes)
     with pytest.raises(ValueError):
         detect.detect(vectors, models, "magic")
+
+
+def test_a_scope_keeps_only_what_it_is_told(spark, tmp_path):
+    import os
+
+    from packetloom import session
+
+    def tables():
+        return {os.path.join(at, f) for at, _, files in os.walk(session._run_dir(spark)) for f in files if f.endswith(".parquet")}
+
+    before = tables()
+    with session.scratch_scope(spark) as keep:
+        inner = session.settled(spark.range(5))
+        with session.scratch_scope(spark) as keep_again:
+            middle = keep_again(inner.selectExpr("id * 2 AS id"))
+        assert middle.count() == 5 and len(tables() - before) > 1
+        kept = keep(middle.where("id > 2"))
+    assert sorted(r.id for r in kept.collect()) == [4, 6, 8]
+    mine = {os.path.dirname(f.removeprefix("file://")) for f in kept.inputFiles()}
+    assert {os.path.dirname(f) for f in tables() - before} == mine
+    with pytest.raises(ValueError), session.scratch_scope(spark):
+        session.settled(spark.range(3))
+        raise ValueError
+    assert {os.path.dirname(f) for f in tables() - before} == mine
