@@ -34,14 +34,16 @@ from packetloom.session import settled
 SPAN = 200
 #: Phrases of a context that are sorted in one task; beyond, their suffixes are dealt out.
 LARGE = 4096
+#: Bytes of text that are parsed at a time. A byte costs some hundred bytes of memory meanwhile.
+PARSED_BYTES = 1 << 18
 #: Phrases a worker remembers to have sent the bytes of. Forgetting costs bytes, not results.
 _SENT = 200_000
 
 
 def _parsed(column: pa.Array, span: int) -> Iterator[tuple]:
     """(texts, bytes, first, last, context, phrase) of every piece; ``texts`` and ``starts`` say where each phrase stands."""
-    for row, data, offsets in textbytes.slices(column):
-        for at, part, starts in pieces(data, offsets, span, textbytes.SLICE_BYTES):
+    for row, data, offsets in textbytes.slices(column, PARSED_BYTES):
+        for at, part, starts in pieces(data, offsets, span, PARSED_BYTES):
             first, last, trigger = phrases(part, starts, span)
             if not len(first):
                 continue
