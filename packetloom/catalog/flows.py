@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from packetloom.catalog.base import RTT_TIMEOUT, SLICE, STEPS, WINDOW, packets, query
 from packetloom.catalog.scalar import entropy_of
-from packetloom.operators import flow, host, report, rtt, scalar, session
+from packetloom.functions.timing import floor_time
+from packetloom.operators import flow, host, report, rtt, scalar, session, sketches
 from packetloom.operators.slices import forward_fill, previous_value
 
 _KEY = "src_ip, dst_ip, src_port, dst_port, protocol"
@@ -167,6 +168,27 @@ def _(spark, sf):
     return exact.join(sketch, ["src_ip", "time_window"], "left").withColumn("close", (error <= 3 * 0.02 * F.col("exact")).cast("int"))
 
 
+_WIDTHS = {"hour": "1 hour", "quarter": "6 hours", "day": "1 day"}
+
+
+@query(
+    "host_distinct_peers_by_width", "src_ip:s width:s time_window:t exact close",
+    " UNION ALL ".join(
+        f"SELECT src_ip, '{name}' AS width, time_bucket(INTERVAL '{w}', timestamp) AS time_window, count(DISTINCT dst_ip) AS exact, 1 AS close FROM packets GROUP BY ALL"
+        for name, w in _WIDTHS.items()
+    ),
+)
+def _(spark, sf):
+    # Three widths from one table of hourly sketches, each beside the exact count: within three times the stated deviation.
+    rows = packets(spark, sf)
+    hourly = sketches.distinct_sketches(rows, ["src_ip"], ["dst_ip"], "1 hour")
+    wide = sketches.merged_sketches(hourly, ["src_ip"], ["dst_ip"], _WIDTHS)
+    times = F.array(*[F.struct(F.lit(n).alias("width"), floor_time(F.col("timestamp"), w).alias("time_window")) for n, w in _WIDTHS.items()])
+    exact = rows.select("src_ip", "dst_ip", F.explode(times).alias("t")).groupBy("src_ip", "t.width", "t.time_window").agg(F.count_distinct("dst_ip").alias("exact"))
+    error = F.abs(F.col("dst_ip_distinct") - F.col("exact"))
+    return exact.join(wide, ["src_ip", "width", "time_window"], "left").withColumn("close", (error <= 3 * sketches.deviation() * F.col("exact")).cast("int"))
+
+
 _HOST_MERGE = "SELECT p.frame_no, s.*, d.* FROM named p JOIN src_hosts s USING (src_ip, time_window) JOIN dst_hosts d USING (dst_ip, time_window)"
 
 

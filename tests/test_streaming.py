@@ -171,3 +171,16 @@ def test_a_late_session_keeps_first_and_last():
     rows = [next(processor.handleInputRows(("c",), iter([session(day, n)]), None)).iloc[0] for n, day in enumerate((10, 4, 12))]
     assert [r["days_since_last_seen"] for r in rows] == [0.0, 0.0, 2.0]
     assert [r["days_since_first_seen"] for r in rows] == [0.0, 0.0, 8.0]
+
+
+def test_sketches_of_a_stream_merge_like_those_of_the_batch(spark, landing):
+    from packetloom.operators import sketches
+
+    tmp_path, batch = landing
+    stream = packets.on_time(packets.packet_stream(spark, str(tmp_path / "in"), files_per_trigger=1), "1 minute")
+    got = _run(sketches.distinct_sketches(stream, ["src_ip"], ["dst_ip", "dst_port"], "1 minute"), tmp_path, "sketches")
+    closed = F.col("time_window") < F.lit(T0 + timedelta(minutes=20))
+    merged = [sketches.merged_sketches(s.where(closed), ["src_ip"], ["dst_ip", "dst_port"], {"5": "5 minutes", "20": "20 minutes"})
+              for s in (got, sketches.distinct_sketches(batch, ["src_ip"], ["dst_ip", "dst_port"], "1 minute"))]
+    _same(*merged)
+    assert merged[0].count() == 3 * 5

@@ -88,3 +88,24 @@ def test_header_of_nothing(spark):
     empty = spark.createDataFrame([], "timestamp timestamp, anomaly int")
     row = report.report_header(empty, F.col("anomaly") == -1).first()
     assert (row["total_samples"], row["anomalies"], row["anomaly_ratio"]) == (0, 0, 0.0)
+
+
+def test_sketches_of_small_windows_add_up(spark):
+    from packetloom.operators import sketches
+
+    df = spark.range(40_000).selectExpr(
+        "CASE WHEN id % 50 = 0 THEN NULL WHEN id % 10 = 1 THEN 'b' ELSE 'a' END AS k", "timestamp_seconds(id) AS timestamp",
+        "CASE WHEN id % 3 > 0 THEN pmod(id * 7919, 9000) END AS v", "id % 4 AS w",
+    )
+    small = sketches.distinct_sketches(df, ["k"], ["v", "w"], "1 minute")
+    assert small.groupBy("k", "time_window").count().where("count > 1").count() == 0 and small.where("k IS NULL").count() == 0
+    got = {(r["k"], r["width"], r["time_window"]): r for r in sketches.merged_sketches(small, ["k"], ["v", "w"], {"h": "1 hour", "d": "1 day"}).collect()}
+    direct = df.where("k IS NOT NULL").groupBy("k", F.date_trunc("hour", "timestamp").alias("t")).agg(F.count_distinct("v").alias("v"), F.count_distinct("w").alias("w")).collect()
+    assert len(got) == len(direct) + 2
+    for r in direct:
+        mine = got[r["k"], "h", r["t"]]
+        assert abs(mine["v_distinct"] - r["v"]) <= 4 * sketches.deviation() * r["v"] and mine["w_distinct"] == r["w"]
+    # Keys that are left out are merged as well.
+    everything = sketches.merged_sketches(small, [], ["v"], {"d": "1 day"}).first()["v_distinct"]
+    assert abs(everything - df.where("k IS NOT NULL").agg(F.count_distinct("v")).first()[0]) <= 4 * sketches.deviation() * everything
+    assert sketches.merged_sketches(small.limit(0), ["k"], ["v"], {"d": "1 day"}).collect() == []
