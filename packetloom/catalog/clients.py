@@ -157,6 +157,23 @@ def _(spark, sf):
     return profile.compare_with_history(client_sessions(spark, sf))
 
 
+_TTL = 3 * 86_400_000_000
+
+
+@query(
+    "profile_expiring", "client_ip:s frame_no is_first_session_for_ip is_new_uri_for_ip days_since_first_seen:f",
+    f"""SELECT *, fresh AS is_first_session_for_ip,
+         (coalesce(uri, '') <> '' AND coalesce(epoch_us(timestamp) - lag(epoch_us(timestamp)) OVER (PARTITION BY client_ip, uri ORDER BY timestamp, frame_no) >= {_TTL}, true))::INT AS is_new_uri_for_ip,
+         CASE WHEN fresh = 1 THEN 0 ELSE (epoch_us(timestamp) - epoch_us(min(timestamp) OVER (PARTITION BY client_ip, life))) / 1e6 / 86400.0 END AS days_since_first_seen
+       FROM (SELECT *, sum(fresh) OVER (PARTITION BY client_ip ORDER BY timestamp, frame_no) AS life FROM (
+         SELECT *, CASE WHEN epoch_us(timestamp) - lag(epoch_us(timestamp)) OVER (PARTITION BY client_ip ORDER BY timestamp, frame_no) < {_TTL} THEN 0 ELSE 1 END AS fresh
+         FROM csessions))""",
+    _C,
+)
+def _(spark, sf):
+    return profile.compare_with_history(client_sessions(spark, sf), ttl="3 days")
+
+
 @query(
     "profile_days_seen_as_of", "client_ip:s frame_no days_since_first_seen:f days_since_last_seen:f",
     """SELECT client_ip, frame_no, CASE WHEN n = 1 THEN 0 ELSE (epoch_us(TIMESTAMP '2024-02-01') - epoch_us(first_time)) / 1e6 / 86400.0 END AS days_since_first_seen,

@@ -6,8 +6,8 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from packetloom.functions.timing import floor_time, seconds_between
-from packetloom.operators.slices import DEFAULT_SLICE, merge_back, previous_value
+from packetloom.functions.timing import floor_time, seconds_between, width_us
+from packetloom.operators.slices import DEFAULT_SLICE, gap_sessions, merge_back, previous_value
 from packetloom.schema import PACKET_ORDER
 
 HISTORY = 50
@@ -29,29 +29,38 @@ def client_sessions(df: DataFrame, run: str = "1 day") -> DataFrame:
     )
 
 
-def _first_use(sessions: DataFrame, value: str, out: str) -> DataFrame:
-    """The session in which a client used each value first: one row per (client, value), named by its session."""
+def _first_use(sessions: DataFrame, value: str, out: str, ttl_us: int | None) -> DataFrame:
+    """The sessions in which a client used a value first, or for the first time since it was forgotten, named by the session."""
     place = F.struct("timestamp", "frame_no")
     used = sessions.where(F.col(value).isNotNull() & (F.col(value) != ""))
+    if ttl_us is not None:
+        us = F.unix_micros("timestamp")
+        again = previous_value(used, ["client_ip", value], us, "__used")
+        fresh = again.where(F.col("__used").isNull() | (us - F.col("__used") >= ttl_us))
+        return fresh.select("client_ip", "timestamp", "frame_no").distinct().withColumn(out, F.lit(1))
     firsts = used.groupBy("client_ip", value).agg(F.min(place).alias("p"))
     return firsts.select("client_ip", "p.timestamp", "p.frame_no").distinct().withColumn(out, F.lit(1))
 
 
 def compare_with_history(
-    sessions: DataFrame, as_of: datetime | None = None, width: str | int = SESSION_SLICE,
+    sessions: DataFrame, as_of: datetime | None = None, width: str | int = SESSION_SLICE, ttl: str | int | None = None,
 ) -> DataFrame:
     """New-value and first-session flags, and days since the client was first and last seen.
 
     Each session is compared with what came before it. Days count up to the session itself, or up to ``as_of``;
-    they are 0 when there is no past. First uses are joined by session, so a busy client stays spread out.
+    they are 0 when there is no past. First uses are joined by session, so a busy client stays spread out. With ``ttl``, a value that
+    was not used for so long is new again, and a client that was silent for so long has no past.
     """
-    session_id = ["client_ip", "timestamp", "frame_no"]
-    out = previous_value(sessions, ["client_ip"], F.col("timestamp"), "__last")
-    first_seen = sessions.groupBy("client_ip").agg(F.min("timestamp").alias("__first"))
-    out = merge_back(out, first_seen, ["client_ip"], width, source=sessions)
+    session_id, client, columns = ["client_ip", "timestamp", "frame_no"], ["client_ip"], sessions.columns
+    ttl_us = None if ttl is None else width_us(ttl)
+    if ttl_us is not None:
+        sessions, client = gap_sessions(sessions, client, ttl_us, "__life"), [*client, "__life"]
+    out = previous_value(sessions, client, F.col("timestamp"), "__last")
+    first_seen = sessions.groupBy(*client).agg(F.min("timestamp").alias("__first"))
+    out = merge_back(out, first_seen, client, width, source=sessions)
     flags = {"uri": "is_new_uri_for_ip", "user_agent": "is_new_user_agent_for_ip"}
     for value, name in flags.items():
-        out = out.join(_first_use(sessions, value, name), session_id, "left")
+        out = out.join(_first_use(sessions, value, name, ttl_us), session_id, "left")
     now = F.col("timestamp") if as_of is None else F.lit(as_of)
     has_past = F.col("__last").isNotNull()
     return out.withColumns({
@@ -59,7 +68,7 @@ def compare_with_history(
         "is_first_session_for_ip": F.when(has_past, 0).otherwise(1),
         "days_since_first_seen": F.when(has_past, seconds_between(now, F.col("__first")) / _DAY).otherwise(0.0),
         "days_since_last_seen": F.when(has_past, seconds_between(now, F.col("__last")) / _DAY).otherwise(0.0),
-    }).drop("__last", "__first")
+    }).select(*columns, *flags.values(), "is_first_session_for_ip", "days_since_first_seen", "days_since_last_seen")
 
 
 def profile_totals(sessions: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from packetloom.functions.timing import width_us
+
 HISTORY = 50
 _DAY = 86_400.0
 
@@ -28,9 +30,20 @@ def _in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
 
 
 class ProfileProcessor(StatefulProcessor):
-    """Compare each session with the stored profile of its client, then add it to the profile."""
+    """Compare each session with the stored profile of its client, then add it to the profile.
+
+    With ``ttl_us``, what was not seen for so long is forgotten: a value is new again, and after such a silence so is the client. What is
+    forgotten follows from the times of the sessions alone; timers only sweep out what no session can meet any more, some times per ttl.
+    """
+
+    #: Sweeps per ttl.
+    SWEEPS = 4
+
+    def __init__(self, ttl_us: int | None = None) -> None:
+        self.ttl_us = ttl_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.totals = handle.getValueState("totals", "sessions long, bytes long, first_us long, last_us long")
         self.seen = {k: handle.getMapState(k, "value string", "at_us long") for k in ("uri", "user_agent")}
         self.history = handle.getListState("history", "session string")
@@ -39,10 +52,37 @@ class ProfileProcessor(StatefulProcessor):
         if not value:
             return 0
         state = self.seen[kind]
-        if state.containsKey((value,)):
-            return 0
-        state.updateValue((value,), (us,))
-        return 1
+        last = state.getValue((value,))[0] if state.containsKey((value,)) else None
+        if last is None or (self.ttl_us is not None and us > last):
+            state.updateValue((value,), (us,))
+        return int(last is None or self._forgotten(last, us))
+
+    def _forgotten(self, last: int, now: int) -> bool:
+        return self.ttl_us is not None and now - last >= self.ttl_us
+
+    def _forget_all(self) -> None:
+        for state in (self.totals, *self.seen.values(), self.history):
+            state.clear()
+
+    def _sweep_later(self, after_us: int) -> None:
+        step = max(self.ttl_us // self.SWEEPS, 1000)
+        for timer in self.handle.listTimers():
+            if timer > after_us // 1000:
+                return
+        self.handle.registerTimer((after_us // step + 1) * step // 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        if self.totals.exists():
+            last = self.totals.get()[3]
+            if self._forgotten(last, now):
+                self._forget_all()
+            else:
+                for state in self.seen.values():
+                    for value in [v for v, (at,) in state.iterator() if self._forgotten(at, now)]:
+                        state.removeKey(value)
+                self._sweep_later(now)
+        return iter(())
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         sessions, total, first, last = self.totals.get() if self.totals.exists() else (0, 0, None, None)
@@ -50,6 +90,9 @@ class ProfileProcessor(StatefulProcessor):
         out = []
         for row in _in_order(rows).itertuples():
             us = row.timestamp.value // 1000
+            if last is not None and self._forgotten(last, us):
+                self._forget_all()
+                sessions, total, first, last, history = 0, 0, None, None, []
             uri = row.uri if isinstance(row.uri, str) else None
             agent = row.user_agent if isinstance(row.user_agent, str) else None
             compared = {
@@ -70,16 +113,23 @@ class ProfileProcessor(StatefulProcessor):
             })
         self.totals.update((sessions, total, first, last))
         self.history.put([(h,) for h in history])
+        if self.ttl_us is not None:
+            self._sweep_later(max(last, timerValues.getCurrentWatermarkInMs() * 1000))
         yield pd.DataFrame(out)
 
     def close(self) -> None:
         pass
 
 
-def compare_stream(sessions: DataFrame) -> DataFrame:
-    """Stream form of the profile comparison. Needs the RocksDB state store."""
+def compare_stream(sessions: DataFrame, ttl: str | int | None = None) -> DataFrame:
+    """Stream form of the profile comparison. Needs the RocksDB state store.
+
+    With ``ttl`` the sessions need a watermark on ``timestamp``, and state that was not touched for so long is removed, as
+    ``compare_with_history(ttl=…)`` forgets it; without, profiles are kept for ever.
+    """
+    ttl_us = None if ttl is None else width_us(ttl)
     return sessions.groupBy("client_ip").transformWithStateInPandas(
-        statefulProcessor=ProfileProcessor(), outputStructType=PROFILE_OUTPUT, outputMode="Append", timeMode="None",
+        statefulProcessor=ProfileProcessor(ttl_us), outputStructType=PROFILE_OUTPUT, outputMode="Append", timeMode="None" if ttl is None else "EventTime",
     )
 
 

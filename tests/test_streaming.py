@@ -110,6 +110,29 @@ def test_profiles(spark, sessions):
     _same(last, profile.profile_totals(s).select("client_ip", "session_count", "total_bytes"))
 
 
+def test_profiles_that_expire(spark, tmp_path):
+    day = timedelta(days=1)
+    # Client a comes back after 9 days, b uses /x again after 5, c comes daily with a new address each time.
+    rows = [("a", T0, 1, "/x"), ("a", T0 + day, 2, "/y"), ("a", T0 + 10 * day, 3, "/x"), ("b", T0, 4, "/x"), ("b", T0 + 3 * day, 5, "/y"), ("b", T0 + 5 * day, 6, "/x"), ("b", T0 + 6 * day, 7, "/x")]
+    rows += [("c", T0 + i * day, 100 + i, f"/{i}") for i in range(40)] + [("d", T0 + 2 * day, 200, None)]
+    s = spark.createDataFrame(rows, "client_ip string, timestamp timestamp, frame_no long, uri string").withColumns({"user_agent": F.lit(None).cast("string"), "total_bytes": F.lit(10).cast("long")})
+    for lo, hi in ((0, 4), (4, 12), (12, 25), (25, 41)):
+        part = s.where((F.col("timestamp") >= F.lit(T0 + lo * day)) & (F.col("timestamp") < F.lit(T0 + hi * day)))
+        part.coalesce(1).write.parquet(str(tmp_path / "in" / f"part={lo:02d}"))
+    read = spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    got = _run(state.compare_stream(read.withWatermark("timestamp", "1 hour"), "4 days"), tmp_path, "expiring")
+    columns = ["client_ip", "frame_no", "is_new_uri_for_ip", "is_first_session_for_ip", "days_since_first_seen", "days_since_last_seen"]
+    expected = profile.compare_with_history(s, ttl="4 days").select(*columns)
+    _same(got.select(*columns), expected)
+    by = {r["frame_no"]: r for r in expected.collect()}
+    assert (by[3]["is_first_session_for_ip"], by[3]["is_new_uri_for_ip"]) == (1, 1) and (by[6]["is_first_session_for_ip"], by[6]["is_new_uri_for_ip"]) == (0, 1)
+    assert by[7]["is_new_uri_for_ip"] == 0
+    # What is left of the state: nothing of the silent clients, and of c only what is younger than the ttl and a sweep.
+    held = spark.read.format("statestore").option("stateVarName", "uri").option("flattenCollectionTypes", "true").load(str(tmp_path / "expiring-cp"))
+    left = {(r["key"]["client_ip"] if hasattr(r["key"], "client_ip") else r["key"][0]) for r in held.select("key").collect()}
+    assert left == {"c"} and held.count() <= 4 + 1 + 16
+
+
 def test_sequences(spark, sessions):
     tmp_path, s, stream = sessions
     got = _run(state.sequence_stream(stream, ["total_bytes", "packets"], 4), tmp_path, "sequences")
@@ -148,6 +171,9 @@ class _Map(dict):
     def containsKey(self, key):
         return key in self
 
+    def getValue(self, key):
+        return self[key]
+
     def updateValue(self, key, value):
         self[key] = value
 
