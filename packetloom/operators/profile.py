@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from packetloom.functions.timing import floor_time, seconds_between, width_us
 from packetloom.operators.slices import DEFAULT_SLICE, gap_sessions, merge_back, previous_value
 from packetloom.schema import PACKET_ORDER
+from packetloom.session import settled
 
 HISTORY = 50
 _DAY = 86_400.0
@@ -54,7 +55,8 @@ def compare_with_history(
     session_id, client, columns = ["client_ip", "timestamp", "frame_no"], ["client_ip"], sessions.columns
     ttl_us = None if ttl is None else width_us(ttl)
     if ttl_us is not None:
-        sessions, client = gap_sessions(sessions, client, ttl_us, "__life"), [*client, "__life"]
+        # Every step below reads the numbered sessions, so they are written once.
+        sessions, client = settled(gap_sessions(sessions, client, ttl_us, "__life")), [*client, "__life"]
     out = previous_value(sessions, client, F.col("timestamp"), "__last")
     first_seen = sessions.groupBy(*client).agg(F.min("timestamp").alias("__first"))
     out = merge_back(out, first_seen, client, width, source=sessions)
