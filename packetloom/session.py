@@ -52,6 +52,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return "/".join([_run_dir(spark), *_SCOPES.get(), uuid.uuid4().hex, name])
 
 
+@contextmanager
+def scratch_folder(spark: SparkSession) -> Iterator[str]:
+    """A folder below the innermost scope for all that is written to the shared folder inside; it stays until ``remove_folder``."""
+    names = (*_SCOPES.get(), f"scope-{uuid.uuid4().hex}")
+    token = _SCOPES.set(names)
+    try:
+        yield "/".join([_run_dir(spark), *names])
+    finally:
+        _SCOPES.reset(token)
+
+
 @contextmanager
 def scratch_scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """All that is written to the shared folder inside is removed at the end, but for what the yielded function is given to keep.
@@ -59,7 +70,6 @@ def scratch_scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFra
     Nothing made inside may be used afterwards unless it was kept: kept rows are written to the scope around, and read from there.
     """
     outer = _SCOPES.get()
-    inner = (*outer, f"scope-{uuid.uuid4().hex}")
 
     def keep(df: DataFrame) -> DataFrame:
         token = _SCOPES.set(outer)
@@ -68,12 +78,11 @@ def scratch_scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFra
         finally:
             _SCOPES.reset(token)
 
-    token = _SCOPES.set(inner)
-    try:
-        yield keep
-    finally:
-        _SCOPES.reset(token)
-        _remove(spark, "/".join([_run_dir(spark), *inner]))
+    with scratch_folder(spark) as folder:
+        try:
+            yield keep
+        finally:
+            remove_folder(spark, folder)
 
 
 def _run_dir(spark: SparkSession) -> str:
@@ -82,10 +91,11 @@ def _run_dir(spark: SparkSession) -> str:
 
 def remove_scratch(spark: SparkSession) -> None:
     """Removes all that this application has written below the shared folder. Tables read from there are gone with it."""
-    _remove(spark, _run_dir(spark))
+    remove_folder(spark, _run_dir(spark))
 
 
-def _remove(spark: SparkSession, folder: str) -> None:
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Removes what was written below a folder of the shared one. Tables read from there are gone with it."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
