@@ -96,6 +96,8 @@ def detect(vectors: DataFrame, models: Models, mode: str = "collaborative", leng
         raise ValueError(f"the sequence model takes sequences of {models.sequences.length}, not {length}")
     length = models.sequences.length
     features = models.forest.features
+    # Sequences read their rows several times.
+    scored = settled(scored)
     ready = sequence.behaviour_sequences(align_features(scored, features), "client_ip", features, length)
     sequences = models.sequences
     if mode == "lstm_autoencoder":
