@@ -14,18 +14,31 @@ from packetloom.session import settled
 CHUNK = 1024
 
 
-def paired_chunks(df: DataFrame, keys: list[str], row: str, chunk: int = CHUNK) -> DataFrame:
+def paired_chunks(df: DataFrame, keys: list[str], row: str, chunk: int = CHUNK, apart: str | None = None) -> DataFrame:
     """``df`` with ``left``, ``right`` and ``side``, so that any two rows of a group meet in exactly one (keys, left, right).
 
     A group of at most ``chunk`` rows is left whole: (0, 0). A larger one is cut by the hash of ``row``, and each row goes to every pair
     of its chunk with another, and to its chunk alone. Rows of a pair of two chunks are to be compared only where ``side`` differs.
+    With ``apart``, rows of a large group that agree in that column need not meet: those of its most frequent value get chunks of their own
+    that meet only the chunks of the others, so a group where few rows differ from the rest is copied in proportion to its size.
     """
-    large = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > chunk)
-    large = settled(large.select(*keys, F.ceil(F.col("_n") / chunk).cast("int").alias("_chunks")))
-    marked = df.join(large, keys, "left").withColumn("_chunks", F.coalesce("_chunks", F.lit(1)))
-    marked = marked.withColumn("side", F.pmod(F.xxhash64(row), F.col("_chunks")).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_other")
-    return marked.select("*", others).select(
+    if apart is None:
+        sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.lit(0).cast("bigint").alias("_m"), F.lit(None).cast("bigint").alias("_major"))
+    else:
+        sizes = df.groupBy(*keys, apart).agg(F.count("*").alias("_n")).groupBy(*keys).agg(
+            F.sum("_n").alias("_n"), F.max("_n").alias("_m"), F.max_by(apart, F.struct("_n", apart)).alias("_major")
+        )
+    cut = lambda n: F.ceil(n / chunk).cast("int")
+    large = settled(sizes.where(F.col("_n") > chunk).select(*keys, "_major", cut(F.col("_m")).alias("_first"), cut(F.col("_n") - F.col("_m")).alias("_others")))
+    marked = df.join(large, keys, "left").na.fill({"_first": 0, "_others": 1})
+    # Chunks of the most frequent value come first: 0 to _first - 1; those of the others follow.
+    major = F.lit(False) if apart is None else F.coalesce(F.col(apart) == F.col("_major"), F.lit(False))
+    number = F.when(major, F.pmod(F.xxhash64(row), F.col("_first"))).otherwise(F.col("_first") + F.pmod(F.xxhash64(row), F.greatest("_others", F.lit(1))))
+    chunks = F.col("_first") + F.col("_others")
+    start = F.when(major, F.col("_first")).otherwise(0)
+    marked = marked.withColumn("side", number.cast("int"))
+    met = F.explode(F.when(start < chunks, F.sequence(start, chunks - 1)).otherwise(F.array().cast("array<int>"))).alias("_other")
+    return marked.select("*", met).select(
         *[F.col(f"`{c}`") for c in df.columns], "side", F.least("side", "_other").alias("left"), F.greatest("side", "_other").alias("right")
     )
 

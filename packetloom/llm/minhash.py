@@ -5,7 +5,8 @@
 2. In each band's bucket, members are paired with the smallest one only. Of a candidate pair, sketches are compared batch by batch; it is dropped
    as soon as the posterior probability that the similarity reaches the threshold falls below ``MISS``. Survivors are verified on their
    full sets.
-3. The links' components are found. Buckets that still hold several components are searched exhaustively between them, in chunks, so no
+3. The links' components are found. In buckets that still hold several, the most central member is paired with the others as well, which
+   settles groups made from one text. What then still holds several components is searched exhaustively between them, in chunks, so no
    link that shares a bucket is lost and groups of copies never become all pairs.
 
 Bands are as many as a pair at the threshold needs to share one with probability ``1 - MISS``.
@@ -162,7 +163,7 @@ def _full_sets(docs: DataFrame, key: str, text: str, words: int, wanted: DataFra
 
     source = docs.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{text}`").alias("text")).where("key IS NOT NULL")
     made = source.select("key", "text", scrambled.alias("hash")).mapInArrow(make, "key bigint, shingles binary")
-    return made.join(wanted, "key", "left_semi")
+    return made.join(wanted, "key", "left_semi").dropDuplicates(["key", "shingles"])
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int, similarity: int) -> DataFrame:
@@ -208,13 +209,44 @@ def _cross_pairs(table: pa.Table, bounds: np.ndarray, similarity: int) -> Iterat
 _CHUNK_KEYS = ["bucket", "left", "right"]
 
 
-def _mixed_members(members: DataFrame, sketches: DataFrame, similarity: int) -> DataFrame:
-    """Members of buckets of several components that have a plausible partner in another one. ``members``: bucket, pivot, key, component."""
+def _by_key(members: DataFrame) -> DataFrame:
+    """(key, component, buckets): of each member, its buckets that hold several components. ``members``: bucket, pivot, key, component."""
     mixed = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("_n"))
     mixed = mixed.where("low <> high AND _n > 2").select("bucket")
     # Pairs with the pivot are known already.
-    rows = members.where("key <> pivot").join(mixed, "bucket", "left_semi").select("bucket", "key", "component").join(sketches, "key")
-    chunks = together(paired_chunks(rows, ["bucket"], "key"), _CHUNK_KEYS)
+    rows = members.where("key <> pivot").join(mixed, "bucket", "left_semi")
+    return rows.groupBy("key", "component").agg(F.collect_set("bucket").alias("buckets"))
+
+
+def _central_pairs(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each bucket's most central member with its members in other components.
+
+    Central is who stands in the most buckets of several components: the text that a group's copies were made from shares bands with
+    all of them, while each copy has bands of its own.
+    """
+    rows = settled(_by_key(members).select("key", "component", F.size("buckets").alias("weight"), F.explode("buckets").alias("bucket")))
+    central = rows.groupBy("bucket").agg(F.max(F.struct("weight", F.bitwise_not("key").alias("flipped"), F.col("component").alias("own"))).alias("c"))
+    met = rows.join(central, "bucket").where("component <> c.own")
+    center = F.bitwise_not("c.flipped")
+    return met.select(F.least("key", center).alias("a"), F.greatest("key", center).alias("b")).distinct()
+
+
+def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components ``found`` (node, component) with further links between nodes; only components are linked anew."""
+    for end in ("a", "b"):
+        links = links.join(found.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")), end, "left")
+    edges = links.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    over = settled(connected_components(edges))
+    moved = found.join(over.select(F.col("node").alias("component"), F.col("component").alias("_over")), "component", "left")
+    moved = moved.select("node", F.coalesce("_over", "component").alias("component"))
+    return moved.union(over.join(found, "node", "left_anti").select("node", "component"))
+
+
+def _mixed_members(members: DataFrame, sketches: DataFrame, similarity: int) -> DataFrame:
+    """Members of buckets of several components that have a plausible partner in another one. ``members``: bucket, pivot, key, component."""
+    # Sketches meet each key once, not once a bucket.
+    rows = _by_key(members).join(sketches, "key").withColumn("bucket", F.explode("buckets")).drop("buckets")
+    chunks = together(paired_chunks(rows, ["bucket"], "key", apart="component"), _CHUNK_KEYS)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in whole_groups(batches, _CHUNK_KEYS, 4096):
@@ -229,9 +261,10 @@ def _mixed_members(members: DataFrame, sketches: DataFrame, similarity: int) ->
 
 def _cross_links(mixed: DataFrame, sketches: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """Links (a, b) between components, verified on full sets where the members meet; one per pair of components and chunk."""
-    rows = mixed.join(sketches, "key").join(sets, "key")
+    by_key = mixed.groupBy("key", "component").agg(F.collect_set("bucket").alias("buckets"))
+    rows = by_key.join(sketches, "key").join(sets, "key").withColumn("bucket", F.explode("buckets")).drop("buckets")
     # Full sets are wide, so their chunks are small.
-    chunks = together(paired_chunks(rows, ["bucket"], "key", 256), _CHUNK_KEYS)
+    chunks = together(paired_chunks(rows, ["bucket"], "key", 256, apart="component"), _CHUNK_KEYS)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in whole_groups(batches, _CHUNK_KEYS, 256):
@@ -271,7 +304,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     signed = settled(signatures(docs, key, text, words, similarity))
     named = signed.where("n > 0 AND key IS NOT NULL")
     sets = settled(named.groupBy("f1", "f2", "n").agg(F.min("key").alias("leader")))
-    leaders = settled(named.join(sets.select(F.col("leader").alias("key")).distinct(), "key", "left_semi").select("key", "n", "sketch", "bands"))
+    # Repeated rows of a key count once; different texts under one key stay.
+    led = named.join(sets.select(F.col("leader").alias("key")).distinct(), "key", "left_semi").groupBy("key", "f1", "f2", "n")
+    leaders = settled(led.agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands")).select("key", "n", "sketch", "bands"))
 
     spread = leaders.select("key", F.explode("bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.min("key").alias("pivot"), F.max("key").alias("last")).where("pivot <> last")
@@ -279,12 +314,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     stars = members.where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
     links = _verified(_likely(stars, leaders, similarity), docs, key, text, words, similarity)
     found = settled(connected_components(links))
-    placed = members.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    mixed = settled(_mixed_members(placed, leaders, similarity))
+
+    def placed() -> DataFrame:
+        return members.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+
+    central = _verified(_likely(_central_pairs(placed()), leaders, similarity), docs, key, text, words, similarity)
+    found = settled(_merged(found, central))
+    mixed = settled(_mixed_members(placed(), leaders, similarity))
     if not mixed.isEmpty():
         sets_of = settled(_full_sets(docs, key, text, words, settled(mixed.select("key").distinct())))
         more = settled(_cross_links(mixed, leaders, sets_of, similarity))
-        found = settled(connected_components(links.union(more)))
+        found = settled(_merged(found, more))
     class_of = sets.join(found.withColumnRenamed("node", "leader"), "leader", "left").select("f1", "f2", "n", F.coalesce("component", "leader").alias("component"))
     out = signed.select("key", "n", "f1", "f2").join(class_of, ["f1", "f2", "n"], "left")
     component = F.when(F.col("key").isNotNull(), F.coalesce("component", "key"))

@@ -55,6 +55,21 @@ def test_every_pair_of_a_large_group_meets_once(spark):
     assert set(seen.values()) == {1} and len(seen) == 40 * 39 // 2 + 3
 
 
+def test_rows_of_one_component_meet_only_the_others(spark):
+    rows = [(1, i, 5 if i < 90 else i) for i in range(100)] + [(2, i, 7) for i in range(20)] + [(3, i, i) for i in range(4)]
+    made = groups.paired_chunks(spark.createDataFrame(rows, "g bigint, row bigint, part bigint"), ["g"], "row", 10, apart="part").toPandas()
+    seen = {}
+    for _, met in made.groupby(["g", "left", "right"]):
+        for a in met.itertuples():
+            for b in met.itertuples():
+                if a.row < b.row and a.part != b.part and (a.left == a.right or a.side != b.side):
+                    seen[a.g, a.row, b.row] = seen.get((a.g, a.row, b.row), 0) + 1
+    wanted = {(g, a, b) for g, a, x in rows for h, b, y in rows if g == h and a < b and x != y}
+    assert set(seen) == wanted and set(seen.values()) == {1}
+    # In proportion to the group, not to its square.
+    assert len(made) < 3 * len(rows)
+
+
 def near_truth(texts, words, similarity):
     sets = []
     for t in texts:
@@ -82,6 +97,24 @@ def test_near_duplicates_equal_brute_force(spark, texts, words, similarity):
     assert got == {i: (n, c, c == i) for i, (n, c) in enumerate(near_truth(texts, words, similarity))}
 
 
+def test_copies_of_one_text_that_are_far_from_each_other(spark):
+    """Each copy reaches the threshold with its origin alone, which has neither the smallest nor the largest key."""
+    base = prose(80).split()
+    texts = []
+    for n in range(300):
+        words = list(base)
+        for at in (3 + n % 30, 40 + n // 30):
+            words[at] = f"w{n}x{at}"
+        texts.append(" ".join(words))
+    texts.insert(123, " ".join(base))
+    texts += [" ".join([*base[:60], *prose(30).split()]) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.key: (r.n_shingles, r.component, r.kept) for r in minhash.near_duplicates(df, words=3, similarity=85).collect()}
+    truth = near_truth(texts, 3, 85)
+    assert got == {i: (n, c, c == i) for i, (n, c) in enumerate(truth)}
+    assert sum(c == 0 for _, c in truth) == 301
+
+
 def test_near_duplicate_edges(spark):
     text = prose(50)
     df = spark.createDataFrame([(4, text, 1), (4, text, 2), (None, text, 3), (9, text, 4), (7, None, 5)], "doc_id bigint, text string, component int")
