@@ -12,6 +12,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructField, StructType
 
 from packetloom.functions.timing import width_us
 
@@ -168,6 +169,39 @@ def sequence_stream(sessions: DataFrame, columns: Sequence[str], length: int) ->
     )
 
 
+class FrequencyProcessor(StatefulProcessor):
+    """Keep the number of distinct peers in the latest window of each source."""
+
+    PEERS = "src_host_distinct_dst_ips_win"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.latest = handle.getValueState("latest", "peers long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        windows = pd.concat(list(rows), ignore_index=True).sort_values("time_window", ignore_index=True)
+        peers = windows[self.PEERS].astype("int64")
+        before = peers.shift(1)
+        if self.latest.exists():
+            before.iloc[0] = self.latest.get()[0]
+        windows["src_host_session_freq_change_win"] = (peers - before).fillna(0).astype("int64")
+        self.latest.update((int(peers.iloc[-1]),))
+        yield windows
+
+    def close(self) -> None:
+        pass
+
+
+def frequency_change_stream(windows: DataFrame) -> DataFrame:
+    """Source windows of a stream with ``src_host_session_freq_change_win``, the change against the source's window before; 0 for the first.
+
+    Windows come closed and in order of the watermark, so one number per source is all the state. Needs the RocksDB state store.
+    """
+    schema = StructType([StructField(f.name, f.dataType) for f in windows.schema]).add("src_host_session_freq_change_win", "long")
+    return windows.groupBy("src_ip").transformWithStateInPandas(
+        statefulProcessor=FrequencyProcessor(), outputStructType=schema, outputMode="Append", timeMode="None",
+    )
+
+
 def use_rocksdb(spark) -> None:
     spark.conf.set(
         "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

@@ -74,6 +74,33 @@ def test_host_windows(spark, landing):
     _same(dst.where(closed), host.dst_host_windows(batch, "1 minute").select(*dst.columns).where(closed))
 
 
+def test_whole_host_windows(spark, tmp_path):
+    """Every column of the batch, over files of their own batches, with rows that arrive twice, late ones, and missing values."""
+    rows = [
+        (i, T0 + timedelta(seconds=7 * i), None if i % 41 == 0 else f"10.0.0.{i % 3}", None if i % 17 == 0 else f"8.8.8.{i * i % 11}",
+         None if i % 13 == 0 else 400 + i * i % 7, 60 + i % 50, f"j{i % 4}" if i % 5 == 0 else None, i % 23 if i % 6 == 0 else None, i % 19 / 7 if i % 6 == 0 else None)
+        for i in range(400)
+    ]
+    schema = ("frame_no long, timestamp timestamp, src_ip string, dst_ip string, dst_port int, frame_len int, tls_ja3 string, "
+              "dns_qry_name_len int, dns_qry_name_entropy double")
+    marked = lambda some: spark.createDataFrame(some, schema).withColumn("file_path", F.lit("c"))
+    # Rows of a file come after those of the next one; some come twice; one is far too late.
+    for some in (rows[:150], rows[170:260] + rows[100:120], rows[150:170] + rows[260:], [(999, T0, *rows[1][2:])]):
+        marked(some).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    state.use_rocksdb(spark)
+    stream = spark.readStream.schema(marked(rows).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream = packets.on_time(stream, "20 minutes")
+    got = _run(state.frequency_change_stream(packets.whole_src_host_stream(stream, "1 minute")), tmp_path, "whole")
+    expected = host.src_host_windows(marked(rows), "1 minute")
+    assert set(got.columns) == set(expected.columns)
+    closed = F.col("time_window") < F.lit(T0 + timedelta(seconds=7 * 399) - timedelta(minutes=22))
+    rounded = lambda d: d.where(closed).select(
+        *[F.round(c, 9).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t == "bigint" else F.col(c) for c, t in d.dtypes]
+    )
+    _same(rounded(got), rounded(expected))
+    assert got.where(closed).count() > 60 and got.where("src_host_session_freq_change_win <> 0").count() > 10
+
+
 def test_bursts(spark, landing):
     tmp_path, batch = landing
     thin = batch.where("frame_no % 40 < 20")
