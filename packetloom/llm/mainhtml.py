@@ -9,8 +9,9 @@ cut, found by maximum flow in one small graph per page. Pages are independent: o
 from __future__ import annotations
 
 import html
+import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -59,27 +60,57 @@ _ROLES = {
 SMOOTHNESS = 3.0
 DECAY = 0.55
 _UNIT = 1000
+#: Steps beyond which the capacity rounds to 0.
+FAR = math.ceil(math.log(0.5 / (SMOOTHNESS * _UNIT)) / math.log(DECAY))
+
+
+#: Words that turn a name after them into a statement about layout, as in has-sidebar, and words that do so behind it, as in comments-open.
+_LAYOUT_BEFORE = {"has", "no", "with", "without", "not", "is"}
+_LAYOUT_AFTER = {"open", "closed", "enabled", "disabled", "left", "right", "none", "on", "off"}
+#: What runs to the end of a page without any further ">".
+_TO_THE_END = re.compile(r"<[!?]|</[a-zA-Z]")
 
 
 @dataclass
 class Block:
     text: str
-    path: tuple[int, ...]
+    node: int
     hint: float
     tag: str
     linked: int
 
 
-def _hint(tag: str, attrs: str) -> float:
-    """What a container's markup says about its content; the strongest hint counts."""
-    found = [_TAGS.get(tag, 0.0)]
+@dataclass
+class Tree:
+    """Containers by number; a parent comes before its children."""
+
+    parent: list[int]
+    tag: list[str]
+    attrs: list[str]
+
+
+def _name_hints(value: str) -> list[float]:
+    """Hints of the words of a class or id; words that only describe the layout give none."""
+    found = []
+    for name in value.split():
+        words = [w.lower() for w in _WORD.findall(name)]
+        if words and (words[0] in _LAYOUT_BEFORE or words[-1] in _LAYOUT_AFTER and len(words) > 1):
+            continue
+        found += [_BAD_NAMES.get(w, 0.0) or _GOOD_NAMES.get(w, 0.0) for w in words]
+    return found
+
+
+def _hint(tag: str, attrs: str, trusted: bool) -> float:
+    """What a container's markup says about its content; the strongest hint counts.
+
+    A container that is not ``trusted`` holds most of the page: its names, and that it is a form, say nothing against all that text.
+    """
+    found = [_TAGS.get(tag, 0.0) if trusted or tag not in ("form", "fieldset") else 0.0]
     for name, *values in _ATTRIBUTE.findall(attrs):
         value = next((v for v in values if v), "")
         name = name.lower()
         if name in ("class", "id"):
-            for word in _WORD.findall(value):
-                word = word.lower()
-                found.append(_BAD_NAMES.get(word, 0.0) or _GOOD_NAMES.get(word, 0.0))
+            found += [h for h in _name_hints(value) if trusted or h > 0]
         elif name == "role":
             found.append(_ROLES.get(value.lower(), 0.0))
         elif name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
@@ -88,13 +119,48 @@ def _hint(tag: str, attrs: str) -> float:
     return low if low < 0 else max(found)
 
 
-def blocks(page: str) -> list[Block]:
-    """The blocks of text of a page, in its order. Unclosed and stray tags are repaired as far as block-level markup needs it."""
+def _hints(tree: Tree, found: list[Block]) -> list[float]:
+    """The sum of hints from the root down to each container.
+
+    Of a container with half of the page's text or more, names count against it only if it is no page or form as a whole, has no good
+    name beside, and holds no article, main or top heading.
+    """
+    n = len(tree.parent)
+    size = [0] * n
+    holds = [tag in ("article", "main", "h1") for tag in tree.tag]
+    for block in found:
+        size[block.node] += len(block.text)
+    for node in range(n - 1, 0, -1):
+        size[tree.parent[node]] += size[node]
+        holds[tree.parent[node]] |= holds[node]
+    total = [0.0] * n
+    for node in range(1, n):
+        tag, attrs, above = tree.tag[node], tree.attrs[node], total[tree.parent[node]]
+        if tag in ("header", "hgroup") and above >= 4:
+            # A header inside an article holds its title.
+            total[node] = above
+        elif not attrs and tag not in _TAGS:
+            total[node] = above
+        else:
+            major = 2 * size[node] >= size[0] > 0
+            good = any(_GOOD_NAMES.get(w.lower()) for a, *v in _ATTRIBUTE.findall(attrs) if a.lower() in ("class", "id") for w in _WORD.findall(" ".join(v)))
+            total[node] = above + _hint(tag, attrs, not (major and (tag in ("html", "body", "form", "fieldset") or holds[node] or good)))
+    return total
+
+
+def parsed(page: str) -> tuple[Tree, list[Block]]:
+    """The containers and the blocks of text of a page, in its order, without hints; time in proportion to the page.
+
+    Unclosed and stray tags are repaired as far as block-level markup needs it.
+    """
     out: list[Block] = []
-    # (tag, number, sum of hints, text is dropped)
-    stack: list[tuple[str, int, float, bool]] = [("", 0, 0.0, False)]
+    tree = Tree([0], [""], [""])
+    # (tag, number, text is dropped)
+    stack: list[tuple[str, int, bool]] = [("", 0, False)]
+    opened: Counter[str] = Counter()
     parts: list[str] = []
-    linked = serial = 0
+    linked = 0
+    last = page.rfind(">")
     in_link = False
     at, end = 0, len(page)
     lower = None
@@ -103,16 +169,28 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append(Block(text, tuple(s[1] for s in stack), stack[-1][2], stack[-1][0], linked))
+            out.append(Block(text, stack[-1][1], 0.0, stack[-1][0], linked))
         parts.clear()
         linked = 0
 
+    def leave(depth: int) -> None:
+        opened.subtract(s[0] for s in stack[depth:])
+        del stack[depth:]
+
     while at < end:
+        if at > last:
+            # No tag can end any more: the rest is text, up to what runs to the end.
+            rest = _TO_THE_END.search(page, at)
+            text = page[at : rest.start() if rest else end]
+            if not stack[-1][2]:
+                parts.append(text)
+                linked += len(text) * in_link
+            break
         token = _TOKEN.match(page, at)
         at = token.end()
         kind = token.lastgroup
         if kind == "text" or kind == "cdata":
-            if not stack[-1][3]:
+            if not stack[-1][2]:
                 text = token.group(kind)
                 parts.append(text)
                 if in_link:
@@ -122,10 +200,9 @@ def blocks(page: str) -> list[Block]:
             if tag == "a":
                 in_link = False
             elif tag in _BLOCK or tag in _DROPPED:
-                depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-                if depth:
+                if opened[tag]:
                     flush()
-                    del stack[depth:]
+                    leave(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag))
                 elif tag == "p":
                     flush()
         elif token.group("open"):
@@ -144,21 +221,21 @@ def blocks(page: str) -> list[Block]:
             elif tag in _BLOCK or tag in _DROPPED:
                 flush()
                 if tag == "body":
-                    del stack[1:]
+                    leave(1)
                 in_link = in_link and tag not in ("li", "nav", "article")
                 if stack[-1][0] == "p" or tag == stack[-1][0] and tag in ("li", "dt", "dd", "td", "th", "tr", "option"):
-                    del stack[-1]
+                    leave(len(stack) - 1)
                 if tag not in _VOID and not attrs.endswith("/"):
-                    serial += 1
-                    _, _, above, dropped = stack[-1]
-                    # A header inside an article holds its title.
-                    hint = 0.0 if tag in ("header", "hgroup") and above >= 4 else _hint(tag, attrs) if attrs or tag in _TAGS else 0.0
-                    stack.append((tag, serial, above + hint, dropped or tag in _DROPPED or "hidden" in attrs.split()))
+                    stack.append((tag, len(tree.tag), stack[-1][2] or tag in _DROPPED or "hidden" in attrs.split()))
+                    opened[tag] += 1
+                    tree.parent.append(stack[-2][1])
+                    tree.tag.append(tag)
+                    tree.attrs.append(attrs)
         elif token.group() == "<":
-            if not stack[-1][3]:
+            if not stack[-1][2]:
                 parts.append("<")
     flush()
-    return out
+    return tree, out
 
 
 def cost(block: Block, position: float) -> float:
@@ -178,14 +255,14 @@ def cost(block: Block, position: float) -> float:
     return score - 0.5 * (position > 0.95)
 
 
-def _distance(a: tuple[int, ...], b: tuple[int, ...]) -> int:
-    """Steps from one container to the other through the tree."""
-    shared = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        shared += 1
-    return len(a) + len(b) - 2 * shared
+def _distance(parent: list[int], a: int, b: int) -> int:
+    """Steps from one container to the other through the tree, or more than ``FAR``, from where on a tie weighs nothing."""
+    steps = 0
+    while a != b and steps <= FAR:
+        # A parent has a smaller number than its children.
+        a, b = (parent[a], b) if a > b else (a, parent[b])
+        steps += 1
+    return steps
 
 
 def minimum_cut(scores: list[float], ties: list[tuple[int, int, float]]) -> list[bool]:
@@ -254,20 +331,23 @@ def minimum_cut(scores: list[float], ties: list[tuple[int, int, float]]) -> list
 
 def main_text(page: str | None) -> str:
     """The content blocks of a page, joined by line ends."""
-    found = blocks(page or "")
+    tree, found = parsed(page or "")
     if not found:
         return ""
+    hints = _hints(tree, found)
+    for block in found:
+        block.hint = hints[block.node]
     scores = [cost(b, i / len(found)) for i, b in enumerate(found)]
     ties = []
-    before: dict[tuple[int, ...], int] = {}
+    before: dict[int, int] = {}
     for i, block in enumerate(found):
         if i:
-            ties.append((i - 1, i, SMOOTHNESS * DECAY ** _distance(found[i - 1].path, block.path)))
+            ties.append((i - 1, i, SMOOTHNESS * DECAY ** _distance(tree.parent, found[i - 1].node, block.node)))
         # The block before in the same container, when others stand between.
-        container = block.path[:-1]
+        container = tree.parent[block.node] if block.node else -1
         last = before.get(container)
         if last is not None and last < i - 1:
-            ties.append((last, i, SMOOTHNESS * DECAY ** _distance(found[last].path, block.path)))
+            ties.append((last, i, SMOOTHNESS * DECAY ** _distance(tree.parent, found[last].node, block.node)))
         before[container] = i
     kept = minimum_cut(scores, ties)
     return "\n".join(b.text for b, k in zip(found, kept, strict=True) if k)

@@ -3,6 +3,7 @@
 import gzip
 import itertools
 import random
+import time
 import zlib
 
 import pytest
@@ -71,6 +72,29 @@ def test_article_without_its_surroundings():
     assert mainhtml.main_text(PAGE).split("\n") == ["The river & the bridge", PROSE, "Fish <3 – and cafés.", PROSE, "So it goes."]
 
 
+@pytest.mark.parametrize("page", [
+    '<body class="has-sidebar">{}</body>', '<div class="no-sidebar">{}</div>', '<body class="search-results"><main>{}</main></body>',
+    '<body class="single-post comments-open">{}</body>', '<div class="main-content with-sidebar">{}</div>', '<div class="post tags-news">{}</div>',
+    '<div class="article social-share-enabled">{}</div>', '<div class="story popular">{}</div>', '<body><form>{}</form></body>',
+    '<div id="page" class="search-page"><h1>' + PROSE + "</h1>{}</div>",
+])
+def test_names_of_the_whole_page_say_nothing_against_its_article(page):
+    article = "".join(f"<p>{PROSE} {i}</p>" for i in range(4))
+    around = '<nav><a href="/">Home</a></nav>', '<div class="sidebar widget"><p>Most read this week.</p></div><div class="comments"><p>' + PROSE + "</p></div>"
+    got = mainhtml.main_text(around[0] + page.format(article) + around[1]).split("\n")
+    assert [g for g in got if g != PROSE] == [f"{PROSE} {i}" for i in range(4)]
+    assert (PROSE in got) == ("<h1>" in page)
+
+
+def test_long_and_deep_pages_take_time_in_proportion():
+    start = time.monotonic()
+    assert mainhtml.main_text(f"<p>{PROSE}</p>" + "<a " * 300_000).startswith(PROSE)
+    deep = mainhtml.main_text("<div>x" * 100_000 + "</p>" * 100_000 + f"<p>{PROSE}</p>")
+    assert isinstance(deep, str)
+    assert mainhtml.main_text(f"<article><p>{PROSE} 1 <2 <!-- {PROSE}") == f"{PROSE} 1 <2"
+    assert time.monotonic() - start < 20
+
+
 def test_plain_and_broken_pages():
     assert mainhtml.main_text(f"<body><p>{PROSE}<p>{PROSE}") == f"{PROSE}\n{PROSE}"
     assert mainhtml.main_text(f"<article><p>{PROSE}</p><!-- open {PROSE}") == PROSE
