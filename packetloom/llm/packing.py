@@ -38,8 +38,11 @@ SCORED_TOKENS = 1 << 22
 #: So many of the most frequent terms are multiplied as a matrix, the others looked up one by one. Either way gives the same scores.
 COMMON = 2048
 _K1, _B = 1.2, 0.75
-#: Distinct stretches a worker remembers.
+#: Documents or seeds that are scored at a time at most, so that many short ones do not make a large matrix.
+SCORED_ROWS = 1 << 13
+#: Distinct stretches, and distinct pre-tokens, that a worker remembers, and the most characters of one that it remembers.
 REMEMBERED = 300_000
+LONGEST = 64
 
 _MIXED: dict[int, np.ndarray] = {}
 
@@ -73,7 +76,7 @@ class Encoder:
         """Ids (little-endian, 16 bits) of each whole text. The vocabulary drops white space, so no token crosses a blank."""
         split = [(text or "").replace("\n", " ").split(" ") for text in texts]
         new = set().union(*split).difference(self.memory)
-        if len(self.memory) + len(new) > REMEMBERED:
+        if len(self.memory) + len(new) > REMEMBERED or len(self.pieces) > REMEMBERED:
             self.memory.clear()
             self.pieces.clear()
             new = set().union(*split)
@@ -87,7 +90,14 @@ class Encoder:
         pieces = self.pieces
         for stretch, tokens in found.items():
             self.memory[stretch] = pieces[tokens[0]] if len(tokens) == 1 else b"".join([pieces[t] for t in tokens])
-        return [b"".join(map(self.memory.__getitem__, words)) for words in split]
+        out = [b"".join(map(self.memory.__getitem__, words)) for words in split]
+        for stretch in new:
+            if len(stretch) > LONGEST:
+                del self.memory[stretch]
+                for token in found.get(stretch, ()):
+                    if len(token) > LONGEST:
+                        pieces.pop(token, None)
+        return out
 
 
 def token_ids(docs: DataFrame, carry: list[str], key: str, text: str, vocabulary: str, end: int) -> DataFrame:
@@ -179,12 +189,12 @@ def counted(rows: DataFrame) -> Corpus:
 
 
 def _portions(batch: pa.RecordBatch, column: int, tokens: int = 1 << 18) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """(first row, ids of some rows) with about so many tokens at a time."""
+    """(first row, ids of some rows) with about so many tokens at a time, and at most ``SCORED_ROWS`` rows."""
     held, size, first = [], 0, 0
     for i in range(batch.num_rows):
         held.append(np.frombuffer(batch.column(column)[i].as_buffer(), "<u2"))
         size += len(held[-1])
-        if size >= tokens or i + 1 == batch.num_rows:
+        if size >= tokens or len(held) >= SCORED_ROWS or i + 1 == batch.num_rows:
             yield first, held
             held, size, first = [], 0, i + 1
 
@@ -194,7 +204,7 @@ def _blocks(rows: DataFrame, names: list[str], corpus, prefix: str) -> DataFrame
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        tokens = 0
+        tokens = rows = 0
 
         def made() -> pa.RecordBatch:
             parts = [b"".join(np.ascontiguousarray(h[k]).tobytes() for h in held) for k in range(4)]
@@ -203,12 +213,15 @@ def _blocks(rows: DataFrame, names: list[str], corpus, prefix: str) -> DataFrame
         for batch in batches:
             matrix = np.stack([batch.column(k).to_numpy() for k in range(len(names))], 1)
             for first, ids in _portions(batch, len(names)):
+                if held and rows + len(ids) > SCORED_ROWS:
+                    yield made()
+                    held, tokens, rows = [], 0, 0
                 doc, term, weight = weighted(ids, corpus.value)
                 held.append((matrix[first : first + len(ids)], np.bincount(doc, minlength=len(ids)), term.astype("<u2"), weight.astype(np.float32)))
-                tokens += sum(map(len, ids))
+                tokens, rows = tokens + sum(map(len, ids)), rows + len(ids)
                 if tokens >= SCORED_TOKENS:
                     yield made()
-                    held, tokens = [], 0
+                    held, tokens, rows = [], 0, 0
         if held:
             yield made()
 

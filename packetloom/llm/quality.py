@@ -218,7 +218,8 @@ def fit(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", metadata: tuple[str, ...] = ("n_chars",), sample: int = SAMPLE
 ) -> Machine:
     """A machine fitted on at most ``sample`` labelled rows that are not held out. Rows without a key or label are not used; a key
-    labelled twice counts twice."""
+    labelled twice counts twice. Of documents that share a key one is learned from, that with the smallest hash of its text, so that
+    copies of a key do not fill the task that fits."""
     spark = docs.sparkSession
     textbytes.bounded_batches(spark)
     usable = labels.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{label}`").cast("int").alias("_label")).where(
@@ -226,8 +227,10 @@ def fit(
     )
     # The sample is bounded, so its keys may be broadcast.
     chosen = settled(usable.orderBy(F.xxhash64("_key"), "_key", "_label").limit(sample))
-    texts = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"), *_numbers(list(metadata)))
-    picked = texts.join(F.broadcast(chosen), "_key").select("_label", "_text", "_key", *[f"_meta{i}" for i in range(len(metadata))])
+    texts = docs.select(F.col(f"`{key}`").alias("_key"), F.struct(F.col(f"`{text}`").alias("_text"), *_numbers(list(metadata))).alias("_row"))
+    known = texts.join(F.broadcast(chosen.select("_key").distinct()), "_key", "left_semi")
+    single = known.groupBy("_key").agg(F.min_by("_row", F.struct(F.xxhash64("_row._text"), "_row")).alias("_row"))
+    picked = single.join(F.broadcast(chosen), "_key").select("_label", "_row._text", "_key", *[f"_row._meta{i}" for i in range(len(metadata))])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -169,7 +169,7 @@ def _dealt_suffixes(entries: DataFrame, span: int) -> DataFrame:
 
 
 def _marks(source: DataFrame, span: int) -> DataFrame:
-    """(key, tag, begins, stops): for each text with repeated spans, where they are, by start; they may overlap."""
+    """(key, tag, begins, stops): for each text with repeated spans, where they are; they may overlap. Rows equal in key and tag share theirs."""
     context = source.sparkSession.sparkContext
     found = settled(_contexts(source, span))
     repeated = context.broadcast(bitmap(found, "context"))
@@ -188,7 +188,7 @@ def _marks(source: DataFrame, span: int) -> DataFrame:
     marked = places.select("context", "phrase", "key", "tag", "low", "spans").join(result, ["context", "phrase"])
     begin = F.col("low") + F.col("from")
     stop = F.col("low") + F.when(F.col("to") < 0, F.col("spans") - 1).otherwise(F.col("to")) + span
-    listed = marked.select("key", "tag", begin.alias("begin"), stop.alias("stop")).groupBy("key", "tag").agg(F.collect_list(F.struct("begin", "stop")).alias("marks"))
+    listed = marked.select("key", "tag", begin.alias("begin"), stop.alias("stop")).groupBy("key", "tag").agg(F.collect_set(F.struct("begin", "stop")).alias("marks"))
     return listed.select("key", "tag", F.col("marks.begin").alias("begins"), F.col("marks.stop").alias("stops"))
 
 

@@ -186,6 +186,8 @@ def test_repeat_edges(spark):
     got = sorted((r.doc.doc_id or 0, r.n_bytes, r.n_removed) for r in suffixes.remove_repeats(df, ["doc_id"]).collect())
     n = len(text)
     assert got == [(0, 0, 0), (0, n + 1, n), (1, n, n), (1, n, n), (2, 0, 0)]
+    many = suffixes._marks(spark.createDataFrame([(1, 5, text)] * 50, "key bigint, tag bigint, body string"), suffixes.SPAN).collect()
+    assert len(many) == 1 and len(many[0].begins) < 5
     assert suffixes.remove_repeats(df.limit(0), ["doc_id"]).collect() == []
 
 
@@ -237,6 +239,33 @@ def test_factorisation_machine_learns_an_interaction():
     assert ((score > 0.5) == np.array(labels)).mean() > 0.99
 
 
+def test_scores_equal_the_sum_over_all_pairs():
+    generator = np.random.default_rng(7)
+    machine = quality.Machine(
+        0.3, generator.normal(size=quality.BUCKETS + 4), generator.normal(0, 0.3, (quality.BUCKETS + 4, quality.RANK)), generator.normal(size=4), np.ones(4)
+    )
+    bounds = np.array([0, 3, 3, 10])
+    ids, weight, values = generator.integers(0, quality.BUCKETS, 10), generator.random(10), generator.normal(size=(3, 4))
+    want = []
+    for i in range(3):
+        part = slice(bounds[i], bounds[i + 1])
+        at = np.concatenate([ids[part], quality.BUCKETS + np.arange(4)])
+        x = np.concatenate([weight[part], machine.dense(values)[i]])
+        total = machine.bias + machine.linear[at] @ x
+        total += sum(machine.factors[at[a]] @ machine.factors[at[b]] * x[a] * x[b] for a in range(len(at)) for b in range(a))
+        want.append(1 / (1 + np.exp(-total)))
+    assert np.allclose(machine.score(bounds, ids, weight, values), want)
+
+
+def test_copies_of_a_key_are_learned_from_once(spark):
+    texts = [prose(30) for _ in range(40)]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, n_chars bigint")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, quality int")
+    copies = docs.union(docs.where("doc_id = 3").crossJoin(spark.range(500)).drop("id"))
+    one, many = quality.fit(docs, labels), quality.fit(copies, labels)
+    assert (one.linear == many.linear).all() and (one.factors == many.factors).all()
+
+
 def test_quality_on_held_out_rows(spark):
     base = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")

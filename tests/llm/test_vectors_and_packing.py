@@ -98,6 +98,27 @@ def test_packing_round_trip(spark, monkeypatch):
     assert packing.pack(df.limit(0), ["doc_id"]).collect() == []
 
 
+def test_many_short_texts_are_scored_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SCORED_ROWS", 64)
+    docs = [(i, f"word{i % 7}" if i % 3 else "") for i in range(900)]
+    df = spark.createDataFrame([(i, *d) for i, d in enumerate(docs)], "place int, doc_id bigint, text string").coalesce(1)
+    rows = packing.token_ids(df, ["doc_id"], "doc_id", "text", packing.VOCABULARY, packing.END)
+    corpus = spark.sparkContext.broadcast(packing.counted(rows))
+    sizes = [len(r.doc_names) // 8 for r in packing._blocks(rows, ["key"], corpus, "doc").collect()]
+    assert sum(sizes) == 900 and max(sizes) <= 64
+    check_packing(packing.pack(df, ["place", "doc_id"], with_ids=True).collect(), docs)
+
+
+def test_an_encoder_forgets_long_stretches():
+    library = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    encoder = packing.Encoder(public_tokenizers.path(packing.VOCABULARY))
+    texts = ["short words", "漢字" * 200, "a" * 300 + " short", "漢字" * 200 + " again"]
+    for _ in range(2):
+        got = [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(texts)]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert max(map(len, encoder.memory)) <= packing.LONGEST and max(map(len, encoder.pieces)) <= packing.LONGEST
+
+
 def test_neighbours_share_terms():
     rng = np.random.default_rng(1)
     topics = [rng.integers(100 * k, 100 * k + 100, (6, 80)) for k in range(5)]
@@ -160,7 +181,7 @@ def test_pipeline_on_awkward_rows(spark, tmp_path):
     extra = spark.createDataFrame(
         [(10_000, None, None, None, None), (10_001, "", "en", "s", 0), (None, text, "en", "s", 1), (None, text, "en", "s", 1), (0, text, "en", "s", 1)], given.schema
     )
-    docs = given.union(extra).selectExpr("*", "1 AS score", "2 AS kept", "'x' AS doc", "3 AS row_id", "4 AS n", "5 AS key")
+    docs = given.union(extra).selectExpr("*", "1 AS score", "2 AS kept", "'x' AS doc", "3 AS row_id", "4 AS n", "5 AS key", "6 AS _key", "7 AS _number", "8 AS _row", "9 AS absent", "'y' AS _null_text", "0.1 AS _quality_score", "7 AS count")
     for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
         stage(spark, docs, SMALL).write.parquet(str(tmp_path / str(number)))
         after = spark.read.parquet(str(tmp_path / str(number)))
