@@ -12,7 +12,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-FEW = ("flagship_top_sources", "scalar_dga", "flow_stats", "host_windows_src", "session_combined", "rtt_handshake", "profile_new_flags", "clean_clip_outliers")
+FEW = ("flagship_top_sources", "scalar_dga", "flow_stats", "host_windows_src", "session_combined", "rtt_handshake", "profile_new_flags", "clean_clip_outliers", "source_malformed", "source_intel", "stream_on_time")
 ORACLES = entry.oracle_sql()
 
 
