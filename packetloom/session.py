@@ -43,8 +43,19 @@ def shared_dir(spark: SparkSession) -> str:
     return fallback
 
 
-#: Names of the scopes that are open, outermost first.
-_SCOPES: ContextVar[tuple[str, ...]] = ContextVar("scopes", default=())
+class _Scopes:
+    """Names of the scopes that are open, outermost first. Functions that travel to executors may name it; there none is open."""
+
+    def __init__(self) -> None:
+        self._names: ContextVar[tuple[str, ...]] = ContextVar("scopes", default=())
+        self.get, self.set, self.reset = self._names.get, self._names.set, self._names.reset
+
+    def __reduce__(self) -> tuple:
+        # A context variable cannot be pickled.
+        return _Scopes, ()
+
+
+_SCOPES = _Scopes()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -1,8 +1,10 @@
 """Captures as a data source: read whole and by pieces, stream, write."""
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from packetloom import session
 from packetloom.sources import capture, pcap
 
 COLUMNS = "frame_no bigint, timestamp timestamp, src_ip string, dst_ip string, src_port int, dst_port int, tcp_flags int, tcp_seq bigint, tcp_ack bigint, frame_len int, payload string"
@@ -83,3 +85,10 @@ def test_overwrite_and_failed_writes(spark, folder, tmp_path):
     with pytest.raises(Exception, match="two kinds"):
         pcap.write_captures(df.limit(3).withColumns({"src_ip": F.lit("::1"), "dst_ip": F.lit("10.0.0.1")}), path)
     assert spark.read.format("pcap").load(path).count() == 7
+
+
+def test_modules_travel_with_a_job_inside_an_open_scope(spark):
+    with session.scratch_folder(spark):
+        assert session._SCOPES.get()
+        data_source, there = cloudpickle.loads(cloudpickle.dumps((pcap.PcapDataSource, session._SCOPES)))
+    assert data_source.name() == "pcap" and there.get() == ()
