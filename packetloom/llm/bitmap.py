@@ -3,28 +3,20 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 #: 2**24 bits are 2 MB, whatever the data. A fuller bitmap spares fewer rows.
 BITS = 24
-_BLOCK = 1 << 13
 
 
 def bitmap(hashes: DataFrame, column: str = "hash") -> np.ndarray:
-    """Packed bits of all values of a column of 64-bit hashes; at most 2**BITS bits reach the driver, in blocks."""
+    """Packed bits of all values of a column of 64-bit hashes; at most 2**BITS bits reach the driver, as words of 64 in one job."""
     spot = F.shiftrightunsigned(F.col(column), 64 - BITS)
-    blocks = hashes.select(spot.alias("spot")).distinct().select(F.floor(F.col("spot") / _BLOCK).cast("int").alias("block"), "spot")
-
-    def fill(group: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(_BLOCK, bool)
-        bits[group["spot"].to_numpy() % _BLOCK] = True
-        return pd.DataFrame({"block": [int(group["block"].iloc[0])], "bits": [np.packbits(bits).tobytes()]})
-
-    out = np.zeros((1 << BITS) // 8, np.uint8)
-    for row in blocks.groupBy("block").applyInPandas(fill, "block int, bits binary").toLocalIterator():
-        out[row["block"] * _BLOCK // 8 : (row["block"] + 1) * _BLOCK // 8] = np.frombuffer(row["bits"], np.uint8)
-    return out
+    words = hashes.select(F.shiftright(spot, 6).cast("int").alias("word"), spot.bitwiseAND(63).cast("int").alias("bit")).where("word IS NOT NULL")
+    rows = words.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, 63 - bit))").alias("bits")).toArrow()
+    out = np.zeros((1 << BITS) // 64, ">u8")
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return out.view(np.uint8)
 
 
 def known(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:

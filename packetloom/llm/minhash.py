@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +41,14 @@ def bands_for(similarity: int, rows: int = ROWS, miss: float = MISS) -> int:
     return math.ceil(math.log(miss) / math.log(1 - (similarity / 100) ** rows))
 
 
-@lru_cache(maxsize=8)
+#: What was computed once. A cache of functools would send the name of its function to the executors, which need not know this package.
+_LEAST: dict[tuple[int, int, float], list[tuple[int, int]]] = {}
+
+
 def least_matches(permutations: int, similarity: int, miss: float = MISS) -> list[tuple[int, int]]:
     """(bytes compared, matches needed) after each batch. The prior of the similarity is uniform; a byte also matches by chance."""
+    if (permutations, similarity, miss) in _LEAST:
+        return _LEAST[permutations, similarity, miss]
     grid = np.linspace(0, 1, 2001)[1:-1]
     match = grid + (1 - grid) / 256
     high = grid >= similarity / 100
@@ -56,6 +60,7 @@ def least_matches(permutations: int, similarity: int, miss: float = MISS) -> lis
             if weight[high].sum() >= miss * weight.sum():
                 out.append((n, m))
                 break
+    _LEAST[permutations, similarity, miss] = out
     return out
 
 

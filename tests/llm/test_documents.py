@@ -1,14 +1,20 @@
 """Operators over pairs of documents against brute force, with rows that go wrong easily."""
 
 import hashlib
+import os
+import pathlib
 import random
 import re
+import subprocess
+import sys
 
 import numpy as np
+import pyspark
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from packetloom.llm import decontaminate, groups, minhash, quality, suffixes
+from packetloom.llm import bitmap, decontaminate, groups, minhash, quality, suffixes
 from packetloom.llm.components import connected_components
 
 rng = random.Random(11)
@@ -123,6 +129,36 @@ def test_near_duplicate_edges(spark):
     assert minhash.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_a_bitmap_is_made_by_few_jobs(spark):
+    """One job for each shuffle partition took half of the time on tables dealt over many."""
+    spots = sorted({rng.randrange(1 << bitmap.BITS) for _ in range(3000)} | {0, (1 << bitmap.BITS) - 1})
+    shift = 64 - bitmap.BITS
+    hashes = np.array(spots, np.uint64) << np.uint64(shift)
+    df = spark.createDataFrame([(int(x),) for x in hashes.view(np.int64)] * 2, "hash bigint")
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    next_job = lambda: spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        first = next_job()
+        made = bitmap.bitmap(df)
+        jobs = next_job() - first
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert np.flatnonzero(np.unpackbits(made)).tolist() == spots and len(made) == (1 << bitmap.BITS) // 8
+    assert jobs <= 5
+    assert bitmap.known(made, hashes).all() and not bitmap.known(made, hashes + np.uint64(1 << shift)).all()
+    assert not bitmap.bitmap(df.limit(0)).any()
+
+
+def test_pruning_travels_without_the_package(tmp_path):
+    """Executors need not have this package, so no name in what is sent may be looked up there."""
+    load = "import pickle, sys; pickle.load(sys.stdin.buffer)"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYTHONPATH": str(pathlib.Path(pyspark.__file__).parent.parent)}
+    subprocess.run([sys.executable, "-c", load], input=cloudpickle.dumps(minhash.plausible), cwd=tmp_path, env=env, check=True)
+
+
 def test_sketches_prune_far_pairs_only():
     generator = np.random.default_rng(2)
     left = generator.integers(0, 256, (400, 120), dtype=np.uint8)
