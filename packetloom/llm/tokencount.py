@@ -65,6 +65,7 @@ class Merges:
         self.first = self.rank_of(np.repeat(self.inner[every], 512), np.tile(second, 256)).reshape(256, 512)
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"])
+        self.lines = regex.compile(split["pattern"]["Regex"] + "|\n")
         self.library = Tokenizer.from_str(text)
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]))
 
@@ -142,6 +143,17 @@ class Merges:
             return [plain[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(plain)]
         return self.pattern.findall(stretch.lower())
 
+    def pre_tokens_of(self, stretches: list[str]) -> list[list[str]]:
+        """The pre-tokens of each of many stretches without special tokens and line feeds, searched as one text of a stretch a line."""
+        lines = "\n".join(stretches)
+        if _RARE.search(lines):
+            common = [s for s in stretches if s.isascii() and s.isprintable() or not _RARE.search(s)]
+            made = dict(zip(common, self.pre_tokens_of(common), strict=True))
+            return [made[s] if s in made else self.pre_tokens(s) for s in stretches]
+        tokens = self.lines.findall(lines.lower())
+        ends = [*(i for i, token in enumerate(tokens) if token == "\n"), len(tokens)]
+        return [tokens[a:b] for a, b in zip([0, *(i + 1 for i in ends[:-1])], ends, strict=True)] if stretches else []
+
     def stretch_counts(self, stretches: list[str]) -> list[int]:
         """The number of tokens of each stretch. A special token's string counts as one token, as the library does by default."""
         index: dict[str, int] = {}

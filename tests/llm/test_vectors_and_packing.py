@@ -157,6 +157,33 @@ def test_seeds_are_searched_in_the_whole_table(spark, monkeypatch, common):
             assert abs(index.scores(np.unique(ids[mine]))[i] - r.close) < 1e-3
 
 
+def test_named_queries_are_the_seeds(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SCORED_TOKENS", 20_000)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    made = packing.token_ids(docs, ["doc_id"], "doc_id", "text", packing.VOCABULARY, packing.END).collect()
+    table = spark.createDataFrame([(r.doc.doc_id, r.key, r.lex1, r.lex2, r.n, r.ids) for r in made], "number bigint, key bigint, lex1 bigint, lex2 bigint, n bigint, ids binary")
+    corpus = packing.counted(table)
+    ids = [np.frombuffer(r.ids, "<u2") for r in made]
+    index, place = packing.Index(ids), {r.key: i for i, r in enumerate(made)}
+    seeds = [i for i, r in enumerate(made) if r.doc.doc_id % 7 == 0]
+    of = {r.doc.doc_id: i for i, r in enumerate(made)}
+    found = packing.retrieved(table, 4096, corpus, "number % 7 = 0").collect()
+    assert len(found) == len(made) and {place[r.seed] for r in found} == set(seeds)
+    for r in found:
+        scores = index.scores(np.unique(ids[of[r.number]]))
+        assert of[r.number] in seeds or scores[place[r.seed]] >= scores[seeds].max() * (1 - 1e-5)
+    # None, or more than sequences: as without a condition.
+    plain = sorted(r.key for r in packing.seeds_of(table, 4096, corpus).collect())
+    assert all(sorted(r.key for r in packing.seeds_of(table, 4096, corpus, q).collect()) == plain for q in ("number < 0", "number >= 0", "number IS NULL"))
+
+
+def test_pre_tokens_of_many_stretches_are_those_of_each():
+    rules = packing.tokencount.loaded(public_tokenizers.path(packing.VOCABULARY))
+    stretches = ["", "Word", "it's", "a\tb\r", "\x0bx", "漢字kana", "\u0130STANBUL", "e\u0301te", "1,234.5!?", "", "'s", "x'", "été", "\u2028", "\x85y"]
+    for some in ([], stretches, stretches[:5], stretches[::-1], ["", ""], ["'", "s"]):
+        assert rules.pre_tokens_of(some) == [rules.pre_tokens(s) for s in some]
+
+
 def test_relatives_far_apart_in_lexical_order_meet(spark, monkeypatch):
     monkeypatch.setattr(packing, "BLOCK_TOKENS", 2_000)
     rng = np.random.default_rng(5)
