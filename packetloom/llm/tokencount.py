@@ -71,11 +71,13 @@ class Merges:
 
     def merged(self, sequences: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, numbers of ids) that survive in each (non-empty) sequence of bytes, one sequence after another."""
-        n = len(sequences)
+        return self.merged_bytes(np.frombuffer(b"".join(sequences), np.uint8), np.fromiter(map(len, sequences), np.int64, len(sequences)))
+
+    def merged_bytes(self, data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``merged``, of sequences that stand one after another."""
+        n = len(lengths)
         if not n:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        lengths = np.fromiter(map(len, sequences), np.int64, n)
-        data = np.frombuffer(b"".join(sequences), np.uint8)
         ids = self.inner[data]
         last = np.cumsum(lengths) - 1
         ids[last] = self.final[data[last]]

@@ -121,6 +121,64 @@ def test_an_encoder_forgets_long_stretches():
     assert max(map(len, encoder.memory)) <= packing.LONGEST and max(map(len, encoder.pieces)) <= packing.LONGEST
 
 
+@pytest.mark.parametrize("remembered", [10, packing.wordids.REMEMBERED])
+def test_ids_over_bytes_are_those_of_the_library(remembered):
+    library = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    memory = packing.word_ids(public_tokenizers.path(packing.VOCABULARY))
+    memory.remembered = remembered
+    rng = np.random.default_rng(4)
+    parts = [*"abstmdlrveLAé×÷ßÉÞÿÀ'.!<|>09 \n\t\r\x0b\x00\x85", "'ll", "'re", "'VE", "It's", " the", " word", "naïve", "ÉTÉ", "漢字", "e\u0301", "<|endoftext|>", "a" * 40, "'" * 20, "\u0130", "x" * 16, "y" * 17, "…", "Éa" * 5]
+    texts = ["", " ", "'", "é", "\xc3", "'s", "s'l", *("".join(rng.choice(parts, rng.integers(1, 30))) for _ in range(3000))]
+    # More new pre-tokens than the first table has room for.
+    texts += [" ".join(f"{''.join(rng.choice([*'abcdefgh'], 6))}." for _ in range(400)) for _ in range(300)]
+    for _ in range(2):
+        for i in range(0, len(texts), 97):
+            some = texts[i : i + 97]
+            ids, sizes = memory.ids_of([t.encode("utf-8") for t in some], 2)
+            want = [library.encode(t, add_special_tokens=False).ids + [2] for t in some]
+            assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
+    assert len(memory.one) > 1 << 16 or remembered == 10
+
+
+def test_a_worker_keeps_its_memory_between_tasks(spark):
+    def seen(batches):
+        for _ in batches:
+            continue
+        held = packing.wordids.kept_by_worker("tasks of a test", list)
+        held.append(1)
+        yield packing.pa.RecordBatch.from_arrays([packing.pa.array([len(held)])], ["tasks"])
+
+    assert max(r.tasks for r in spark.range(0, 32, 1, 32).mapInArrow(seen, "tasks bigint").collect()) > 1
+
+
+def test_only_terms_that_many_documents_hold_are_multiplied(spark, monkeypatch):
+    sizes = []
+    dense = packing._Block.dense
+
+    def watched(self, column, *rest):
+        sizes.append(int(column.max()) + 1)
+        return dense(self, column, *rest)
+
+    monkeypatch.setattr(packing._Block, "dense", watched)
+    ids = [np.array([2, *range(10 * i + 10, 10 * i + 20)], "<u2") for i in range(100)]
+    corpus = packing.Corpus(100, 11.0, np.bincount(np.concatenate(ids), minlength=1 << 16))
+    column = np.full(1 << 16, -1, np.int64)
+    often = packing.common_terms(corpus)
+    column[often] = np.arange(len(often))
+    assert often.tolist() == [2]
+    doc, term, weight = packing.weighted(ids, corpus)
+    made = lambda names: packing.pa.RecordBatch.from_arrays(
+        [packing.pa.array([x.tobytes()]) for x in (np.arange(100 * names).reshape(100, names), np.bincount(doc), term.astype("<u2"), weight.astype("<f4"))], list("abcd")
+    )
+    seeds, docs = packing._Seeds(made(3), 0, 0, column), packing._Block(made(2), 0, 0, 2)
+    found, score, _ = seeds.best(docs, 0, 100)
+    index = packing.Index(ids, corpus)
+    for i in range(100):
+        scores = index.scores(ids[i])
+        assert np.isinf(score[i]) or abs(scores[found[i]] - score[i]) < 1e-4 and score[i] >= scores.max() - 1e-4
+    assert sizes and set(sizes) == {1}
+
+
 def test_neighbours_share_terms():
     rng = np.random.default_rng(1)
     topics = [rng.integers(100 * k, 100 * k + 100, (6, 80)) for k in range(5)]
