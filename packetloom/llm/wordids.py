@@ -7,9 +7,6 @@ together. Stretches with any other character or with special tokens, and longer
 
 from __future__ import annotations
 
-import sys
-import types
-from collections.abc import Callable
 from typing import Protocol
 
 import numpy as np
@@ -17,7 +14,7 @@ import numpy as np
 from packetloom.llm import textbytes
 from packetloom.llm.tokencount import Merges
 
-#: Distinct pre-tokens that a worker remembers, about. The memory is emptied when it is full, which costs time, never ids.
+#: Distinct pre-tokens that a task remembers, about. The memory is emptied when it is full, which costs time, never ids.
 REMEMBERED = 1_000_000
 
 _BLANK, _LETTER, _DIGIT, _SIGN, _OTHER = range(5)
@@ -87,21 +84,11 @@ def pre_tokens(data: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, ends, slow
 
 
-def kept_by_worker(name: str, make: Callable[[], object]) -> object:
-    """What a Python worker made under this name, kept for its later tasks. The package travels by value, so each task has globals of its own."""
-    held = sys.modules.setdefault("_packetloom_kept", types.ModuleType("_packetloom_kept")).__dict__
-    if name not in held:
-        held[name] = make()
-    return held[name]
-
-
 class Slower(Protocol):
     """Ids (little-endian, 16 bits) of any texts."""
 
     def encode(self, texts: list[str | None]) -> list[bytes]: ...
 
-    def clear(self) -> None: ...
-
 
 class WordIds:
     """Remembered ids of pre-tokens; the slower encoder gives those of stretches that are not plain."""
@@ -173,14 +160,6 @@ class WordIds:
 
     def ids_of(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of whole UTF-8 texts one after another, each closed with ``end``, numbers of ids)."""
-        try:
-            return self._ids_of(texts, end)
-        except BaseException:
-            # Pre-tokens may have been entered without their ids.
-            self._clear()
-            raise
-
-    def _ids_of(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         raw = b"\n".join([*texts, b""])
         data, lower = np.frombuffer(raw, np.uint8), np.frombuffer(bytearray(raw + _PAD), np.uint8)
         starts, ends, slow = pre_tokens(data, lower)
