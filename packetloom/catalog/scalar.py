@@ -69,7 +69,7 @@ _ON_THE_WIRE = """SELECT timestamp, src_ip, dst_ip, src_port, dst_port, CASE WHE
 
 def _captures(spark, sf) -> str:
     path = scratch_path(spark, "captures")
-    pcap.write_captures(packets(spark, sf).coalesce(2), path)
+    pcap.write_captures(packets(spark, sf), path)
     return path
 
 

@@ -3,25 +3,38 @@
 Records have no fixed size, so where one starts is only known from the one before. Still no task walks a whole file: each byte range looks
 for the first place where a record header makes sense, walks the headers from there and notes where its chain leaves the range. A range
 whose start is the end of the range before it was right; the few others are walked again from that end, until all agree. The pieces of
-all ranges are decoded by a second job, whatever file they are in, and frames are numbered by running sums over the ranges.
+all ranges are decoded by a second job, whatever file they are in, and frames are numbered by running sums over the ranges. A task takes
+many ranges or pieces, as their number follows the size of a range and not what a task can do.
+
+Frames are decoded thousands at a time, by gathering the same field of all of them. What that does not cover (VLAN tags, ICMP, extension
+headers, headers that do not add up) goes through ``decode`` one by one; both give the same rows.
 """
 
 from __future__ import annotations
 
 import ipaddress
 import struct
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import groupby
+from types import SimpleNamespace
+from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from packetloom.schema import PACKET_SCHEMA
 from packetloom.session import settled
 from packetloom.sources.records import discover, union_records
 
 CHUNK = 64 * 1024 * 1024
+#: Rows of an Arrow batch; bytes of a capture that are read and decoded at once, unless a single record is larger.
+BATCH = 10_000
+_READ = 8 * 1024 * 1024
+#: First bytes that are searched for a record header; each further stretch is twice as long.
+_SEARCH = 4096
 
 # Captured bytes of one record at most, where the file does not allow more; how far apart the times of neighbouring records may be
 # when records are looked for behind damage.
@@ -61,9 +74,11 @@ def _resume(f, at: int, size: int, order: str, nanos: bool, longest: int, second
         _, frac, caught, wire = struct.unpack(order + "IIII", head)
         return caught <= longest and caught <= wire and frac < (10**9 if nanos else 10**6) and pos + 16 + caught <= size
 
+    window = _SEARCH
     while at + 16 <= size and at < stop:
         f.seek(at)
-        raw = f.read(min(block, size - at))
+        raw = f.read(min(window, block, size - at, stop - at + 15))
+        window *= 2
         data = np.frombuffer(raw, np.uint8)
         n = len(data) - 15
         if n <= 0:
@@ -106,12 +121,14 @@ def walk(f, head: _Head, start: int, high: int, second: int | None, block: int)
     high = min(high, size)
     begin, first = at, frame
     base, data = at, b""
+    header = struct.Struct(head.order + "I4xI").unpack_from
     while at < high:
         if at < base or at + 16 > base + len(data):
             base = at
             f.seek(base)
-            data = f.read(block)
-        sec, length = struct.unpack_from(head.order + "I4xI", data, at - base) if at + 16 <= size else (0, size)
+            # Of the last record only the header is needed.
+            data = f.read(min(block, high - base + 16))
+        sec, length = header(data, at - base) if at + 16 <= size else (0, size)
         if length > head.longest or at + 16 + length > size:
             if at > begin:
                 pieces.append((begin, at, first, False))
@@ -134,23 +151,42 @@ _RANGE = (
 )
 
 
-def _walk_ranges(batches: Iterator[pd.DataFrame], block: int) -> Iterator[pd.DataFrame]:
+_RANGES = pa.schema([
+    *((name, pa.string() if name in ("path", "order") else pa.bool_() if name == "nanos" else pa.int32() if name == "link" else pa.int64())
+      for name in ("path", "low", "high", "begin", "end", "frames", "second", "order", "nanos", "link")),
+    ("pieces", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("before", pa.int64()), ("damaged", pa.bool_())]))),
+])
+
+
+def _walk_ranges(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
     """Ranges (path, low, high, begin, second) walked from ``begin``, or from the first plausible header if that is null."""
-    names = [c.split()[0].strip("`") for c in _RANGE.split(", ")][:11]
+
+    def walked(f, head: _Head, r: dict) -> dict:
+        begin, second = r["begin"], r["second"]
+        if begin is None and r["low"] == 0:
+            begin = 24
+        elif begin is None:
+            high = min(r["high"], head.size)
+            found = _resume(f, r["low"], head.size, head.order, head.nanos, head.longest, head.second, block, stop=high)
+            # None in the whole range: the range before decides.
+            begin = found if found < high else None
+        pieces, end, frames, second = walk(f, head, begin, r["high"], second, block) if begin is not None else ([], r["low"], 0, None)
+        named = [dict(zip(("start", "stop", "before", "damaged"), p, strict=True)) for p in pieces]
+        return {
+            "path": r["path"], "low": r["low"], "high": r["high"], "begin": begin, "end": end, "frames": frames, "second": second,
+            "order": head.order, "nanos": head.nanos, "link": head.link, "pieces": named,
+        }
+
     for batch in batches:
-        for r in batch.itertuples():
-            with _open(r.path) as f:
-                head = _Head(f, r.path)
-                begin, second = (None if pd.isna(x) else int(x) for x in (r.begin, r.second))
-                if begin is None and r.low == 0:
-                    begin = 24
-                elif begin is None:
-                    high = min(r.high, head.size)
-                    found = _resume(f, r.low, head.size, head.order, head.nanos, head.longest, head.second, block, stop=high)
-                    # None in the whole range: the range before decides.
-                    begin = found if found < high else None
-                pieces, end, frames, second = walk(f, head, begin, r.high, second, block) if begin is not None else ([], r.low, 0, None)
-            yield pd.DataFrame([(r.path, r.low, r.high, begin, end, frames, second, head.order, head.nanos, head.link, pieces)], columns=names)
+        for path, ranges in groupby(batch.to_pylist(), lambda r: r["path"]):
+            with _open(path) as f:
+                head = _Head(f, path)
+                yield pa.RecordBatch.from_pylist([walked(f, head, r) for r in ranges], schema=_RANGES)
+
+
+def _tasks(spark: SparkSession, parts: int, size: int) -> int:
+    """Into how many tasks so many parts of a capture go: one each while they are few, then by their bytes."""
+    return max(1, min(parts, max(4 * spark.sparkContext.defaultParallelism, -(-size // CHUNK))))
 
 
 def index_captures(files: DataFrame, chunk: int = CHUNK, block: int = 4 * 1024 * 1024) -> DataFrame:
@@ -159,8 +195,14 @@ def index_captures(files: DataFrame, chunk: int = CHUNK, block: int = 4 * 1024 *
     ranges = files.select("path", "length", low)
     nothing = F.lit(None).cast("long")
     ranges = ranges.select("path", "low", F.least(F.col("low") + chunk, "length").alias("high"), nothing.alias("begin"), nothing.alias("second"))
-    count = max(files.agg(F.sum(F.ceil(F.greatest(F.col("length"), F.lit(1)) / chunk))).first()[0] or 1, 1)
-    walked = settled(ranges.repartition(count).mapInPandas(lambda it: _walk_ranges(it, block), _RANGE))
+    count, size = files.agg(F.sum(F.ceil(F.greatest(F.col("length"), F.lit(1)) / chunk)), F.sum("length")).first()
+
+    def walked_of(some: DataFrame, parts: int) -> DataFrame:
+        # Dealt from one partition, so that all tasks get equally many.
+        dealt = some.coalesce(1).repartition(_tasks(files.sparkSession, parts, size or 0)).sortWithinPartitions("path", "low")
+        return dealt.mapInArrow(lambda it: _walk_ranges(it, block), _RANGE)
+
+    walked = settled(walked_of(ranges, count or 1))
     of_file = Window.partitionBy("path").orderBy("low")
     while True:
         seen = walked.select("path", "low", "high", "begin", F.lag("end").over(of_file).alias("before"), F.lag("second").over(of_file).alias("second"))
@@ -169,8 +211,7 @@ def index_captures(files: DataFrame, chunk: int = CHUNK, block: int = 4 * 1024 *
         if not again:
             break
         # Each round settles at least the first wrong range of every file; mostly a walk from the right place ends where the wrong one did.
-        repeat = wrong.select("path", "low", "high", F.col("before").alias("begin"), "second").repartition(again)
-        repeat = repeat.mapInPandas(lambda it: _walk_ranges(it, block), _RANGE)
+        repeat = walked_of(wrong.select("path", "low", "high", F.col("before").alias("begin"), "second"), again)
         walked = settled(walked.join(wrong.select("path", "low"), ["path", "low"], "left_anti").unionByName(repeat))
     before = F.coalesce(F.sum("frames").over(of_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     pieces = walked.withColumn("before", before).select("*", F.explode("pieces").alias("p"))
@@ -180,24 +221,26 @@ def index_captures(files: DataFrame, chunk: int = CHUNK, block: int = 4 * 1024 *
     )
 
 
-def _records(chunk) -> Iterator[tuple[int, int, int, bytes]]:
-    """(frame number, microseconds, length on the wire, captured bytes) of one chunk, read block by block."""
-    with _open(chunk.path) as f:
-        f.seek(chunk.start)
-        at, frame, rest = chunk.start, chunk.first_frame, b""
-        while at < chunk.stop:
-            data = rest + f.read(min(8 * 1024 * 1024, chunk.stop - f.tell()))
-            i = 0
-            while i + 16 <= len(data):
-                sec, frac, caught, wire = struct.unpack_from(chunk.order + "IIII", data, i)
-                if i + 16 + caught > len(data):
-                    break
-                yield frame, sec * 1_000_000 + (frac // 1000 if chunk.nanos else frac), wire, data[i + 16 : i + 16 + caught]
-                i += 16 + caught
-                frame += 1
-            at, rest = at + i, data[i:]
-            if i == 0 and f.tell() >= chunk.stop:
-                return
+def _records(f, piece: Any) -> Iterator[tuple[bytes, np.ndarray, int]]:
+    """(bytes, where records start in them, frame number of the first) of one piece, block by block; only whole records count."""
+    caught_at = struct.Struct(piece.order + "I").unpack_from
+    f.seek(piece.start)
+    at, frame, rest = piece.start, piece.first_frame, b""
+    while at < piece.stop:
+        data = rest + f.read(min(_READ, piece.stop - f.tell()))
+        i, starts = 0, []
+        while i + 16 <= len(data):
+            after = i + 16 + caught_at(data, i + 8)[0]
+            if after > len(data):
+                break
+            starts.append(i)
+            i = after
+        if starts:
+            yield data[:i] if i < len(data) else data, np.array(starts, np.int64), frame
+        frame += len(starts)
+        at, rest = at + i, data[i:]
+        if i == 0 and f.tell() >= piece.stop:
+            return
 
 
 def _network_layer(data: bytes, link: int) -> tuple[int, bytes]:
@@ -281,34 +324,216 @@ def decode(data: bytes, link: int) -> dict:
     return row
 
 
-def _decode(batches: Iterator[pd.DataFrame], on_malformed: str) -> Iterator[pd.DataFrame]:
-    names = [f.name for f in _DECODED.fields]
+def _u16(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (data[at].astype(np.int64) << 8) | data[at + 1]
+
+
+def _u32(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (_u16(data, at) << 16) | _u16(data, at + 2)
+
+
+_HEX = np.array([list(f"{i:02x}".encode()) for i in range(256)], np.uint8)
+
+
+def _texts(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data)))
+
+
+def _spread(values: pa.Array, rows: np.ndarray, n: int) -> pa.Array:
+    """``values`` at ``rows`` of ``n``, NULL elsewhere."""
+    place = np.full(n, -1, np.int64)
+    place[rows] = np.arange(len(rows))
+    return values.take(pa.array(place, mask=place < 0))
+
+
+def _options(data: np.ndarray, start: np.ndarray, size: np.ndarray, head: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The values of TCP options, below zero where there are none, and which segments have options that do not fit."""
+    found = {name: np.full(len(start), -1, np.int64) for name in ("tcp_mss", "tcp_window_scale", "tcp_sack_permitted", "tcp_timestamp")}
+    bad, at = np.zeros(len(start), bool), np.full(len(start), 20, np.int64)
+    live = np.flatnonzero(head > 20)
+    while len(live):
+        live = live[at[live] < head[live]]
+        short = at[live] >= size[live]
+        bad[live[short]] = True
+        live = live[~short]
+        kind = data[start[live] + at[live]]
+        live, kind = live[kind != 0], kind[kind != 0]
+        needs = np.select([kind == 1, kind == 2, kind == 3, kind == 8], [1, 4, 3, 6], 2)
+        short = at[live] + needs > size[live]
+        bad[live[short]] = True
+        live, kind = live[~short], kind[~short]
+        place = start[live] + at[live]
+        for name, number, value in (
+            ("tcp_mss", 2, lambda x: _u16(data, x + 2)), ("tcp_window_scale", 3, lambda x: data[x + 2]),
+            ("tcp_sack_permitted", 4, lambda x: 1), ("tcp_timestamp", 8, lambda x: _u32(data, x + 2)),
+        ):
+            here = kind == number
+            found[name][live[here]] = value(place[here])
+        at[live] += np.where(kind == 1, 1, np.maximum(data[np.where(kind == 1, 0, place + 1)], 2))
+    return found, bad
+
+
+def _table(raw: bytes, starts: np.ndarray, frames: np.ndarray, piece: Any, on_malformed: str, schema: pa.Schema) -> pa.Table:
+    """The rows of the records that start at ``starts``. ``piece`` names the file and how it is written."""
+    n = len(starts)
+    # Gathers of rows that turn out too short stay inside.
+    data = np.frombuffer(raw + bytes(64), np.uint8)
+    sec, frac, caught, wire = np.ascontiguousarray(data[starts[:, None] + np.arange(16)]).view(piece.order + "u4").astype(np.int64).T
+    begin = starts + 16
+    end, us = begin + caught, sec * 1_000_000 + (frac // 1000 if piece.nanos else frac)
+
+    if piece.link in (_ETHERNET, _SLL):
+        where = 12 if piece.link == _ETHERNET else 14
+        alone = caught < where + 2
+        kind, body = _u16(data, np.where(alone, 0, begin + where)), begin + where + 2
+        if piece.link == _ETHERNET:
+            alone |= (kind == 0x8100) | (kind == 0x88A8)
+    else:
+        body = begin + (4 if piece.link == _NULL else 0)
+        alone = body >= end
+        version = data[np.where(alone, 0, body)] >> 4
+        kind = np.select([version == 4, version == 6], [0x0800, 0x86DD], 0)
+    size = end - body
+    alone |= (kind == 0x0800) & (size < 20) | (kind == 0x86DD) & (size < 40)
+    four, six = (np.flatnonzero((kind == x) & ~alone) for x in (0x0800, 0x86DD))
+
+    ip = {name: np.full(n, -1, np.int64) for name in ("ip_version", "ip_len", "ip_ttl", "proto", "start", "size")}
+    b, room = body[four], size[four]
+    total = _u16(data, b + 2)
+    skip = np.minimum((data[b] & 15).astype(np.int64) * 4, room)
+    inner = np.maximum(np.where(total > 0, np.minimum(total, room), room) - skip, 0)
+    inner[_u16(data, b + 6) & 0x1FFF != 0] = 0
+    for name, value in (("ip_version", data[b] >> 4), ("ip_len", total), ("ip_ttl", data[b + 8]), ("proto", data[b + 9]), ("start", b + skip), ("size", inner)):
+        ip[name][four] = value
+    b = body[six]
+    length = _u16(data, b + 4)
+    for name, value in (("ip_version", 6), ("ip_len", 40 + length), ("ip_ttl", data[b + 7]), ("proto", data[b + 6]), ("start", b + 40), ("size", np.minimum(length, size[six] - 40))):
+        ip[name][six] = value
+    alone[six] |= np.isin(ip["proto"][six], list(_EXTENSIONS))
+
+    known = (ip["size"] > 0) & np.isin(ip["proto"], list(_TRANSPORT))
+    # Protocol numbers of the transport, -1 where it is none.
+    proto = np.where(known, ip["proto"], -1)
+    alone |= (proto == 1) | (proto == 6) & (ip["size"] < 20) | (proto == 17) & (ip["size"] < 4)
+    tcp = np.flatnonzero((proto == 6) & ~alone)
+    s, room = ip["start"][tcp], ip["size"][tcp]
+    bits = _u16(data, s + 12)
+    head = (bits >> 12) * 4
+    options, bad = _options(data, s, room, head)
+    alone[tcp[bad]] = True
+    udp = np.flatnonzero((proto == 17) & ~alone)
 
-    def frame(rows: list[dict]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=names).astype(object).where(lambda d: d.notna(), None)
+    def whole(name: str, values: np.ndarray, there: np.ndarray | None = None) -> pa.Array:
+        return pa.array(values, mask=None if there is None else ~there).cast(schema.field(name).type)
 
-    for batch in batches:
-        for chunk in batch.itertuples():
-            rows: list[dict] = []
-            if chunk.damaged:
-                if on_malformed == "raise":
-                    raise ValueError(f"{chunk.path}: no record header between bytes {chunk.start} and {chunk.stop}")
-                yield frame([{"file_path": chunk.path, "frame_no": chunk.first_frame, "malformed": True}])
+    def named(codes: np.ndarray, texts: list[str]) -> pa.Array:
+        return pa.DictionaryArray.from_arrays(pa.array(codes.astype(np.int32), mask=codes < 0), pa.array(texts, pa.string())).cast(pa.string())
+
+    columns: dict[str, pa.Array] = {
+        "file_path": named(np.zeros(n, np.int32), [piece.path]), "frame_no": whole("frame_no", frames), "timestamp": whole("timestamp", us),
+        "frame_len": whole("frame_len", wire), "malformed": pa.array(np.zeros(n, bool)),
+    }
+    names = ["ARP", "IPV6", "IP", "ETH", *_TRANSPORT.values()]
+    columns["protocol"] = named(np.select([proto == x for x in _TRANSPORT], range(4, 8), np.select([kind == 0x0806, kind == 0x86DD, kind == 0x0800], range(3), 3)), names)
+    for name in ("ip_version", "ip_len", "ip_ttl"):
+        columns[name] = whole(name, ip[name], ip["ip_version"] >= 0)
+    for name, at_four, at_six in (("src_ip", 12, 8), ("dst_ip", 16, 24)):
+        codes = np.full(n, -1, np.int64)
+        numbers, codes[four] = np.unique(_u32(data, body[four] + at_four), return_inverse=True)
+        texts = [f"{x >> 24}.{x >> 16 & 255}.{x >> 8 & 255}.{x & 255}" for x in numbers.tolist()]
+        if len(six):
+            wide = np.ascontiguousarray(data[(body[six] + at_six)[:, None] + np.arange(16)]).view("V16").ravel()
+            distinct, back = np.unique(wide, return_inverse=True)
+            codes[six] = back + len(texts)
+            texts += [str(ipaddress.IPv6Address(x.tobytes())) for x in distinct]
+        columns[name] = named(codes, texts)
+    port = np.full(n, 0, np.int64)
+    either = np.concatenate([tcp, udp])
+    ported = np.zeros(n, bool)
+    ported[either] = True
+    for name, at in (("src_port", 0), ("dst_port", 2)):
+        port[either] = _u16(data, ip["start"][either] + at)
+        columns[name] = whole(name, port, ported)
+    for name, values in (
+        ("tcp_seq", _u32(data, s + 4)), ("tcp_ack", _u32(data, s + 8)), ("tcp_flags", bits & 0xFFF), ("tcp_window_size", _u16(data, s + 14)),
+        ("tcp_urgent_pointer", _u16(data, s + 18)),
+    ):
+        columns[name] = _spread(whole(name, values), tcp, n)
+    for name, values in options.items():
+        if (values >= 0).any():
+            columns[name] = _spread(whole(name, values, values >= 0), tcp, n)
+    sums = np.concatenate([np.broadcast_to(np.frombuffer(b"0x", np.uint8), (len(tcp), 2)), _HEX[data[s + 16]], _HEX[data[s + 17]]], axis=1)
+    columns["tcp_checksum"] = _spread(_texts(sums, np.arange(len(tcp) + 1) * 6), tcp, n)
+    before = np.zeros(n, np.int64)
+    before[tcp], before[udp] = np.minimum(head, room), np.minimum(8, ip["size"][udp])
+    taken = np.where(ported & ~alone, ip["size"] - before, 0)
+    ends = np.cumsum(taken)
+    payload = data[np.repeat(ip["start"] + before - (ends - taken), taken) + np.arange(ends[-1] if n else 0)]
+    hexed = _texts(_HEX[payload], np.concatenate([[0], ends]) * 2)
+    columns["payload"] = hexed.take(pa.array(np.arange(n), mask=taken == 0))
+    table = pa.table([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+    if not alone.any():
+        return table
+
+    slow, rows = [], []
+    for i in np.flatnonzero(alone).tolist():
+        row = {"file_path": piece.path, "frame_no": int(frames[i]), "timestamp": int(us[i]), "frame_len": int(wire[i]), "malformed": False}
+        try:
+            row.update(decode(raw[begin[i] : end[i]], piece.link))
+        except (struct.error, IndexError, ValueError):
+            if on_malformed == "raise":
+                raise
+            if on_malformed == "skip":
                 continue
-            for number, us, wire, data in _records(chunk):
-                row = {"file_path": chunk.path, "frame_no": number, "timestamp": pd.Timestamp(us, unit="us", tz="UTC"), "frame_len": wire, "malformed": False}
-                try:
-                    row.update(decode(data, chunk.link))
-                except (struct.error, IndexError, ValueError):
-                    if on_malformed == "raise":
-                        raise
-                    row["malformed"] = True
-                rows.append(row)
-                if len(rows) >= 10_000:
-                    yield frame(rows)
-                    rows = []
-            if rows:
-                yield frame(rows)
+            row["malformed"] = True
+        slow.append(i)
+        rows.append(row)
+    by_one = pa.table([pa.array([r.get(f.name) for r in rows], f.type) for f in schema], schema=schema)
+    fast = np.flatnonzero(~alone)
+    order = np.argsort(np.concatenate([fast, np.array(slow, np.int64)]), kind="stable")
+    return pa.concat_tables([table.take(fast), by_one]).take(order)
+
+
+def decoded(pieces: Iterable[Any], on_malformed: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The frames of pieces of captures. Neighbouring pieces of a file are decoded together while they are small."""
+
+    def alike(p: Any) -> tuple:
+        return p.path, p.order, p.nanos, p.link, p.damaged
+
+    def made(held: list[tuple[bytes, np.ndarray, int]], piece: Any) -> Iterator[pa.RecordBatch]:
+        raw = b"".join(x[0] for x in held)
+        shifts = np.cumsum([0, *(len(x[0]) for x in held)])
+        starts = np.concatenate([x[1] + shift for x, shift in zip(held, shifts[:-1], strict=True)])
+        frames = np.concatenate([x[2] + np.arange(len(x[1])) for x in held])
+        for i in range(0, len(starts), BATCH):
+            some = starts[i : i + BATCH]
+            low, high = int(some[0]), int(starts[i + BATCH]) if i + BATCH < len(starts) else len(raw)
+            yield from _table(raw[low:high], some - low, frames[i : i + BATCH], piece, on_malformed, schema).combine_chunks().to_batches()
+
+    for (path, _, _, _, damaged), group in groupby(pieces, alike):
+        if damaged:
+            for piece in group:
+                if on_malformed == "raise":
+                    raise ValueError(f"{path}: no record header between bytes {piece.start} and {piece.stop}")
+                if on_malformed == "mark":
+                    yield pa.RecordBatch.from_pylist([{"file_path": path, "frame_no": piece.first_frame, "malformed": True}], schema=schema)
+            continue
+        with _open(path) as f:
+            held: list[tuple[bytes, np.ndarray, int]] = []
+            for piece in group:
+                for block in _records(f, piece):
+                    held.append(block)
+                    if sum(len(x[1]) for x in held) >= BATCH or sum(len(x[0]) for x in held) >= _READ:
+                        yield from made(held, piece)
+                        held = []
+            if held:
+                yield from made(held, piece)
+
+
+def _decode(batches: Iterator[pa.RecordBatch], on_malformed: str) -> Iterator[pa.RecordBatch]:
+    schema = to_arrow_schema(_DECODED)
+    for batch in batches:
+        yield from decoded((SimpleNamespace(**r) for r in batch.to_pylist()), on_malformed, schema)
 
 
 def read_captures(
@@ -325,6 +550,8 @@ def read_captures(
         empty = spark.createDataFrame([], _DECODED)
         return empty if on_malformed == "mark" else empty.drop("malformed")
     index = settled(index_captures(files, chunk))
+    pieces, size = index.agg(F.count(F.lit(1)), F.sum(F.col("stop") - F.col("start"))).first()
     # A fixed number of partitions: the list of pieces is tiny, their work is not.
-    decoded = index.repartition(max(index.count(), 1)).mapInPandas(lambda it: _decode(it, on_malformed), _DECODED)
-    return decoded if on_malformed == "mark" else decoded.where(~F.col("malformed")).drop("malformed")
+    dealt = index.coalesce(1).repartition(_tasks(spark, pieces, size or 0)).sortWithinPartitions("path", "start")
+    frames = dealt.mapInArrow(lambda it: _decode(it, on_malformed), _DECODED)
+    return frames if on_malformed == "mark" else frames.where(~F.col("malformed")).drop("malformed")

@@ -5,7 +5,8 @@ captures is one input partition, so a huge file is read by many tasks; without i
 ``skip`` (the default), ``mark`` (a column ``malformed``) or ``raise``.
 
 A stream takes new captures by their time of modification, so files are to be moved into the folder whole, and later ones with later times.
-``write`` makes one capture per task, of Ethernet frames with the header fields of each row; tasks that fail leave no file.
+``write`` makes one capture per task, of Ethernet frames with the header fields of each row; tasks that fail leave no file. Frames are made
+thousands at a time; a batch with a row that this does not cover is made by ``frame_of``, row by row, with the same bytes.
 """
 
 from __future__ import annotations
@@ -16,13 +17,16 @@ import struct
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from types import SimpleNamespace
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.dataset
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BooleanType, StructField, StructType
 
@@ -31,8 +35,6 @@ from packetloom.sources import capture
 from packetloom.sources.records import discover
 
 FORMAT = "pcap"
-#: Rows of an Arrow batch.
-BATCH = 10_000
 #: Blocks that a file without an index is walked in.
 _BLOCK = 4 * 1024 * 1024
 
@@ -106,42 +108,7 @@ class _Decoder:
             yield Piece(piece.path, start, stop, before + 1, head.order, head.nanos, head.link, damaged)
 
     def read(self, whole: Piece) -> Iterator[pa.RecordBatch]:
-        columns: dict[str, list] = {f.name: [] for f in self.schema.fields}
-        schema = to_arrow_schema(self.schema)
-
-        def made() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
-            for values in columns.values():
-                values.clear()
-            return batch
-
-        for piece in self.pieces_of(whole):
-            for row in self._rows(piece):
-                for name, values in columns.items():
-                    values.append(row.get(name))
-                if len(columns["frame_no"]) >= BATCH:
-                    yield made()
-        if columns["frame_no"]:
-            yield made()
-
-    def _rows(self, piece: Piece) -> Iterator[dict[str, Any]]:
-        if piece.damaged:
-            if self.mode == "raise":
-                raise ValueError(f"{piece.path}: no record header between bytes {piece.start} and {piece.stop}")
-            if self.mode == "mark":
-                yield {"file_path": piece.path, "frame_no": piece.first_frame, "malformed": True}
-            return
-        for number, us, wire, data in capture._records(piece):
-            row = {"file_path": piece.path, "frame_no": number, "timestamp": us, "frame_len": wire, "malformed": False}
-            try:
-                row.update(capture.decode(data, piece.link))
-            except (struct.error, IndexError, ValueError):
-                if self.mode == "raise":
-                    raise
-                if self.mode == "skip":
-                    continue
-                row["malformed"] = True
-            yield row
+        return capture.decoded(self.pieces_of(whole), self.mode, to_arrow_schema(self.schema))
 
 
 class PcapReader(DataSourceReader):
@@ -211,13 +178,129 @@ def frame_of(row: Any) -> bytes:
     return b"\x00" * 12 + b"\x08\x00" + head[:10] + struct.pack(">H", _checked(head)) + head[12:] + body
 
 
+#: What ``frame_of`` and the record header take from a row.
+_FIELDS = ("timestamp", "frame_len", "src_ip", "dst_ip", "src_port", "dst_port", "tcp_flags", "tcp_seq", "tcp_ack", "tcp_window_size", "ip_ttl", "payload")
+_NIBBLE = np.full(256, 255, np.uint8)
+_NIBBLE[list(b"0123456789abcdef")] = range(16)
+_NIBBLE[list(b"ABCDEF")] = range(10, 16)
+
+
+def _record_of(row: Any) -> bytes:
+    frame = frame_of(row)
+    us = int(row.timestamp.timestamp()) * 1_000_000 + row.timestamp.microsecond if row.timestamp else 0
+    return struct.pack("<IIII", us // 1_000_000, us % 1_000_000, len(frame), max(len(frame), int(getattr(row, "frame_len", None) or 0))) + frame
+
+
+def _big(out: np.ndarray, at: int, values: np.ndarray, width: int) -> None:
+    """Numbers of ``width`` bytes, highest first, into the columns from ``at`` on."""
+    for i in range(width):
+        out[:, at + i] = values >> 8 * (width - 1 - i) & 255
+
+
+def _payloads(texts: pa.Array) -> tuple[np.ndarray, np.ndarray] | None:
+    """The bytes that hexadecimal texts stand for, and how many each has; none if a text is anything else."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    half = _NIBBLE[raw]
+    sizes = np.diff(offsets)
+    if (sizes & 1).any() or (half > 15).any():
+        return None
+    return half[::2] << 4 | half[1::2], sizes // 2
+
+
+def _records_of(batch: pa.RecordBatch) -> bytes | None:
+    """The records of all rows, as ``_record_of`` makes them; none if a row is out of the ordinary."""
+    n = batch.num_rows
+    if not n:
+        return b""
+    have = dict(zip(batch.schema.names, batch.columns, strict=True))
+
+    def numbers(name: str, most: int) -> np.ndarray | None:
+        values = have.get(name, pa.nulls(n, pa.int64()))
+        if not pa.types.is_integer(values.type) and not pa.types.is_null(values.type):
+            return None
+        values = pc.fill_null(values.cast(pa.int64()), 0).to_numpy(zero_copy_only=False)
+        return values if 0 <= values.min() and values.max() <= most else None
+
+    texts = have.get("payload", pa.nulls(n, pa.string()))
+    if not {"timestamp", "src_ip", "dst_ip"} <= have.keys():
+        return None
+    at = have["timestamp"]
+    if not pa.types.is_timestamp(at.type) or at.type.unit != "us" or at.type.tz is None or not all(pa.types.is_string(x.type) for x in (texts, have["src_ip"], have["dst_ip"])):
+        return None
+    us = pc.fill_null(at.cast(pa.int64()), 0).to_numpy(zero_copy_only=False)
+    payloads = _payloads(texts)
+    sport, dport, window = (numbers(name, 0xFFFF) for name in ("src_port", "dst_port", "tcp_window_size"))
+    seq, ack, ttl = numbers("tcp_seq", 0xFFFFFFFF), numbers("tcp_ack", 0xFFFFFFFF), numbers("ip_ttl", 0xFF)
+    flags, wire = numbers("tcp_flags", 1 << 62), numbers("frame_len", 0xFFFFFFFF)
+    if payloads is None or any(x is None for x in (sport, dport, window, seq, ack, ttl, flags, wire)) or us.min() < 0 or us.max() >= 1_000_000 << 32:
+        return None
+    payload, sizes = payloads
+    tcp = ~have["tcp_flags"].is_null().to_numpy(zero_copy_only=False) if "tcp_flags" in have else np.zeros(n, bool)
+    six, packed = np.zeros((n, 2), bool), np.zeros((n, 2, 16), np.uint8)
+    for side, name in enumerate(("src_ip", "dst_ip")):
+        coded = pc.fill_null(have[name], "").dictionary_encode()
+        try:
+            known = [ipaddress.ip_address(x or "0.0.0.0") for x in coded.dictionary.to_pylist()]
+        except ValueError:
+            return None
+        which = coded.indices.to_numpy()
+        six[:, side] = np.array([x.version == 6 for x in known])[which]
+        packed[:, side] = np.array([list(x.packed.ljust(16, b"\0")) for x in known], np.uint8)[which]
+    body = np.where(tcp, 20, 8) + sizes
+    if (six[:, 0] != six[:, 1]).any() or (body + np.where(six[:, 0], 0, 20) > 0xFFFF).any():
+        return None
+
+    ttl = np.where(ttl == 0, 64, ttl)
+    caught = 14 + np.where(six[:, 0], 40, 20) + body
+    ends = np.cumsum(16 + caught)
+    starts = ends - 16 - caught
+    out = np.zeros(int(ends[-1]), np.uint8)
+    for version, proto in ((4, 6), (4, 17), (6, 6), (6, 17)):
+        rows = np.flatnonzero((six[:, 0] == (version == 6)) & (tcp == (proto == 6)))
+        if not len(rows):
+            continue
+        ip, at_body = 30, 30 + (40 if version == 6 else 20)
+        head = np.zeros((len(rows), at_body + (20 if proto == 6 else 8)), np.uint8)
+        head[:, :16] = np.stack([us[rows] // 1_000_000, us[rows] % 1_000_000, caught[rows], np.maximum(caught, wire)[rows]], axis=1).astype("<u4").view(np.uint8)
+        if version == 4:
+            length = 20 + body[rows]
+            _big(head, 28, np.array([0x0800]), 2)
+            head[:, ip], head[:, ip + 8], head[:, ip + 9] = 0x45, ttl[rows], proto
+            _big(head, ip + 2, length, 2)
+            head[:, ip + 12 : ip + 16], head[:, ip + 16 : ip + 20] = packed[rows, 0, :4], packed[rows, 1, :4]
+            total = head[:, ip : ip + 20].reshape(len(rows), 10, 2).astype(np.int64) @ np.array([256, 1])
+            total = total.sum(axis=1)
+            for _ in range(2):
+                total = (total & 0xFFFF) + (total >> 16)
+            _big(head, ip + 10, ~total & 0xFFFF, 2)
+        else:
+            _big(head, 28, np.array([0x86DD]), 2)
+            head[:, ip], head[:, ip + 6], head[:, ip + 7] = 0x60, proto, ttl[rows]
+            _big(head, ip + 4, body[rows], 2)
+            head[:, ip + 8 : ip + 24], head[:, ip + 24 : ip + 40] = packed[rows, 0], packed[rows, 1]
+        _big(head, at_body, sport[rows], 2)
+        _big(head, at_body + 2, dport[rows], 2)
+        if proto == 6:
+            _big(head, at_body + 4, seq[rows], 4)
+            _big(head, at_body + 8, ack[rows], 4)
+            _big(head, at_body + 12, 5 << 12 | flags[rows] & 0xFFF, 2)
+            _big(head, at_body + 14, window[rows], 2)
+        else:
+            _big(head, at_body + 4, body[rows], 2)
+        out[starts[rows][:, None] + np.arange(head.shape[1])] = head
+    out[np.repeat(ends - sizes - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(payload))] = payload
+    return out.tobytes()
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     part: str
     target: str
 
 
-class PcapWriter(DataSourceWriter):
+class PcapWriter(DataSourceArrowWriter):
     def __init__(self, path: str, overwrite: bool):
         self.path, self.overwrite = path.rstrip("/"), overwrite
         if overwrite:
@@ -225,16 +308,15 @@ class PcapWriter(DataSourceWriter):
             system.create_dir(inner, recursive=True)
             self.old = [x.path for x in system.get_file_info(fs.FileSelector(inner)) if x.base_name.endswith(".pcap")]
 
-    def write(self, rows: Iterator[Any]) -> WriterCommitMessage:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         system, inner = _system(self.path)
         system.create_dir(inner, recursive=True)
         part = f"{inner}/_{uuid.uuid4().hex}.part"
         with system.open_output_stream(part) as out:
             out.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 1 << 18, 1))
-            for row in rows:
-                frame = frame_of(row)
-                us = int(row.timestamp.timestamp()) * 1_000_000 + row.timestamp.microsecond if row.timestamp else 0
-                out.write(struct.pack("<IIII", us // 1_000_000, us % 1_000_000, len(frame), max(len(frame), int(getattr(row, "frame_len", None) or 0))) + frame)
+            for batch in batches:
+                made = _records_of(batch)
+                out.write(b"".join(_record_of(SimpleNamespace(**r)) for r in batch.to_pylist()) if made is None else made)
         return _Written(part, f"{inner}/part-{uuid.uuid4().hex}.pcap")
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
@@ -277,4 +359,6 @@ class PcapDataSource(DataSource):
 def write_captures(df: DataFrame, path: str, mode: str = "append") -> None:
     """The packets as captures below ``path``, one for each partition."""
     register(df.sparkSession)
+    # Other columns are not computed for it.
+    df = df.select(*[c for c in df.columns if c in _FIELDS])
     df.write.format(FORMAT).mode(mode).save(path)
