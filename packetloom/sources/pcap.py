@@ -1,8 +1,8 @@
 """Captures as a data source: ``spark.read.format("pcap")``, ``readStream`` and ``write``, once ``register(spark)`` was called.
 
 ``load`` takes a file, a folder or a glob of names below it. With the option ``index`` (a table written by ``write_index``) every piece of the
-captures is one input partition, so a huge file is read by many tasks; without it, a file is one partition. ``onMalformed`` is
-``skip`` (the default), ``mark`` (a column ``malformed``) or ``raise``.
+captures is one input partition, so a huge file is read by many tasks; where there are very many, neighbours share one. Without it, a file is
+one partition. ``onMalformed`` is ``skip`` (the default), ``mark`` (a column ``malformed``) or ``raise``.
 
 A stream takes new captures by their time of modification, so files are to be moved into the folder whole, and later ones with later times.
 ``write`` makes one capture per task, of Ethernet frames with the header fields of each row; tasks that fail leave no file. Frames are made
@@ -37,6 +37,8 @@ from packetloom.sources.records import discover
 FORMAT = "pcap"
 #: Blocks that a file without an index is walked in.
 _BLOCK = 4 * 1024 * 1024
+#: So many input partitions have one piece each; more pieces are put together.
+_PARTITIONS = 256
 
 
 def register(spark: SparkSession) -> None:
@@ -89,6 +91,24 @@ class Piece(InputPartition):
     damaged: bool = False
 
 
+@dataclass
+class Pieces(InputPartition):
+    """Neighbouring pieces of an index."""
+
+    pieces: list[Piece]
+
+
+def _together(pieces: list[Piece]) -> list[Pieces]:
+    """Neighbours share a partition, of about equally many bytes, where there are more than ``_PARTITIONS`` pieces."""
+    if len(pieces) <= _PARTITIONS:
+        return [Pieces([x]) for x in pieces]
+    pieces = sorted(pieces, key=lambda x: (x.path, x.start))
+    ends = np.cumsum([x.stop - x.start for x in pieces])
+    share = ends[-1] / max(_PARTITIONS, -(-ends[-1] // capture.CHUNK))
+    cuts = np.flatnonzero(np.diff((ends - 1) // share, prepend=0)).tolist()
+    return [Pieces(pieces[i:j]) for i, j in zip([0, *cuts], [*cuts, len(pieces)], strict=True) if i < j]
+
+
 class _Decoder:
     def __init__(self, schema: StructType, options: dict[str, str]):
         self.schema = schema
@@ -107,8 +127,9 @@ class _Decoder:
         for start, stop, before, damaged in found:
             yield Piece(piece.path, start, stop, before + 1, head.order, head.nanos, head.link, damaged)
 
-    def read(self, whole: Piece) -> Iterator[pa.RecordBatch]:
-        return capture.decoded(self.pieces_of(whole), self.mode, to_arrow_schema(self.schema))
+    def read(self, whole: Piece | Pieces) -> Iterator[pa.RecordBatch]:
+        pieces = whole.pieces if isinstance(whole, Pieces) else self.pieces_of(whole)
+        return capture.decoded(pieces, self.mode, to_arrow_schema(self.schema))
 
 
 class PcapReader(DataSourceReader):
@@ -122,9 +143,9 @@ class PcapReader(DataSourceReader):
         system, inner = _system(d.index)
         files = [x.path for x in system.get_file_info(fs.FileSelector(inner)) if x.base_name.endswith(".parquet")]
         table = pyarrow.dataset.dataset(files, filesystem=system, format="parquet").to_table()
-        return [Piece(r["path"], r["start"], r["stop"], r["first_frame"], r["order"], r["nanos"], r["link"], r["damaged"]) for r in table.to_pylist()]
+        return _together([Piece(r["path"], r["start"], r["stop"], r["first_frame"], r["order"], r["nanos"], r["link"], r["damaged"]) for r in table.to_pylist()])
 
-    def read(self, partition: Piece | None) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Piece | Pieces | None) -> Iterator[pa.RecordBatch]:
         # Without any file there is one partition of nothing.
         return self.decoder.read(partition) if partition is not None else iter(())
 

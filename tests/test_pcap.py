@@ -134,7 +134,12 @@ def test_many_ranges_and_pieces_share_tasks(spark, tmp_path):
     (tmp_path / "many.pcap").write_bytes(_capture_of([bytes([i % 251]) * 84 for i in range(60_000)]))
     read = capture.read_captures(spark, str(tmp_path), chunk=1 << 13)
     assert 4 < read.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
-    for df in (read,):
+    pcap.write_index(spark, str(tmp_path), str(tmp_path / "index"), chunk=1 << 13)
+    pieces = spark.read.parquet(str(tmp_path / "index")).count()
+    pcap.register(spark)
+    by_index = spark.read.format("pcap").option("index", str(tmp_path / "index")).load(str(tmp_path))
+    assert pieces > 2 * pcap._PARTITIONS >= 2 * by_index.rdd.getNumPartitions() > 20
+    for df in (read, by_index):
         assert df.agg(F.count("*"), F.count_distinct("frame_no"), F.max("frame_no"), F.count_distinct("timestamp")).first() == (60_000,) * 4
 
 
