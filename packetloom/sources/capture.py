@@ -21,12 +21,11 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from packetloom.schema import PACKET_SCHEMA
-from packetloom.session import settled
+from packetloom.session import open_file as _open, settled
 from packetloom.sources.records import discover, union_records
 
 CHUNK = 64 * 1024 * 1024
@@ -53,14 +52,6 @@ _EXTENSIONS = {0, 43, 44, 51, 60}
 _TRANSPORT = {1: "ICMP", 6: "TCP", 17: "UDP", 58: "ICMPV6"}
 
 
-def _open(path: str):
-    """A seekable file from the path the listing gave, on any file system Arrow knows."""
-    if path.startswith("file:"):
-        return fs.LocalFileSystem().open_input_file("/" + path[5:].lstrip("/"))
-    system, inner = fs.FileSystem.from_uri(path)
-    return system.open_input_file(inner)
-
-
 def _resume(f, at: int, size: int, order: str, nanos: bool, longest: int, second: int | None, block: int, stop: int | None = None) -> int:
     """The next place from ``at`` on where a record header makes sense and is followed by another one or by the end; else the end. Places
     from ``stop`` on are not looked at."""

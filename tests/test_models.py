@@ -1,5 +1,9 @@
 """Properties of the models."""
 
+import threading
+import time
+from contextlib import contextmanager
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -108,6 +112,48 @@ def test_lof_with_a_crowd_of_copies(spark):
     assert [got[i] for i in range(101)] == pytest.approx(list(expected), rel=1e-6)
 
 
+@contextmanager
+def _most_on_disk(spark):
+    """A list whose last number is the most bytes that lay in block files at once."""
+    manager, seen, done = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), [0], threading.Event()
+
+    def watch():
+        while not done.wait(0.02):
+            files = manager.getAllFiles()
+            seen.append(max(seen[-1], sum(files.apply(i).length() for i in range(files.size()))))
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        yield seen
+    finally:
+        done.set()
+        watcher.join()
+
+
+def test_lof_copies_no_vectors_per_pair_of_blocks(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3_000, 16))
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, v array<double>").coalesce(2)
+    with _most_on_disk(spark) as before:
+        time.sleep(0.2)
+    with _most_on_disk(spark) as seen:
+        got = {r["id"]: r["lof"] for r in lof.local_outlier_factor(df, "id", "v", 5, pivots=4, block=32).collect()}
+    # The points take 0.4 MB; a copy for each of 94 blocks takes 30 and more.
+    assert seen[-1] - before[-1] < 4_000_000
+    assert [got[i] for i in range(len(x))] == pytest.approx(list(_brute_lof(x, 5)), rel=1e-9)
+
+
+def test_lof_of_rows_without_a_name_and_with_repeated_ones(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(50, 3))
+    ids = [None, None, *range(2, 30), *range(10, 30)]
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in zip(ids, x, strict=True)], "id long, v array<double>")
+    got = lof.local_outlier_factor(df, "id", "v", 6, pivots=4, block=16).collect()
+    assert sorted(r["lof"] for r in got) == pytest.approx(sorted(_brute_lof(x, 6)), rel=1e-9)
+    assert sorted(str(r["id"]) for r in got) == sorted(map(str, ids))
+
+
 def test_one_class_threshold_is_the_nu_quantile(spark, clusters):
     model = ocsvm.fit(clusters, FEATURES, nu=0.1, epochs=5, components=64)
     out = model.score(clusters)
