@@ -144,6 +144,22 @@ def test_lof_copies_no_vectors_per_pair_of_blocks(spark):
     assert [got[i] for i in range(len(x))] == pytest.approx(list(_brute_lof(x, 5)), rel=1e-9)
 
 
+@pytest.mark.parametrize("shift, scale", [(0.0, 1.0), (1e8, 1.0), (0.0, 1e-30)])
+def test_neighbours_at_equal_distances_are_taken_by_name(spark, shift, scale):
+    # A grid, where very many points are equally far, and the same grid far off, so that one block spans both.
+    grid = np.array([[i, j, l] for i in range(6) for j in range(6) for l in range(6)], float)
+    x = np.r_[grid, grid + 1e7] * scale + shift
+    names = np.random.default_rng(2).permutation(len(x))
+    x = x[np.argsort(names)]
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, v array<double>")
+    points, neighbours, k = lof.nearest(df, "id", "v", 7, pivots=3, block=300)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    expected = np.argsort(d, axis=1, kind="stable")[:, :k]
+    assert sorted((r["q"], r["s"], r["w"]) for r in neighbours.collect()) == sorted((i, int(s), 1) for i, row in enumerate(expected) for s in row)
+    assert sorted((r["p"], tuple(r["v"]), r["w"]) for r in points.collect()) == [(i, tuple(row), 1) for i, row in enumerate(x.tolist())]
+
+
 def test_lof_of_rows_without_a_name_and_with_repeated_ones(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(50, 3))
