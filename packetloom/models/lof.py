@@ -15,10 +15,10 @@ from urllib.parse import unquote
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from packetloom.operators.slices import attach_by_slot
-from packetloom.session import open_file, scratch_path
+from packetloom.session import open_file, scratch_path, settled
 
 NEIGHBORS, LIMIT = 20, 1.5
 PIVOTS = 64
@@ -194,12 +194,11 @@ class _Layout:
         order = np.argsort(at, axis=None, kind="stable")
         wanted = at.ravel()[order]
         cuts = np.searchsorted(wanted, [*self.starts, self.starts[-1] + self.sizes[-1]])
-        out = None
+        kind = np.int64 if column == "p" else np.float64
+        out = np.zeros(at.size, kind)
         for number, (low, high) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             if low < high:
-                raw = _stored(files[number], column)[0]
-                values = np.frombuffer(raw, np.int64 if column == "p" else np.float64)
-                out = np.zeros(at.size, values.dtype) if out is None else out
+                values = np.frombuffer(_stored(files[number], column)[0], kind)
                 out[order[low:high]] = values[wanted[low:high] - self.starts[number]]
         return out.reshape(at.shape)
 
@@ -273,8 +272,8 @@ def _lower_bounds(to_pivots: np.ndarray, segments: tuple[np.ndarray, np.ndarray,
     return np.maximum(bound, 0.0).min(axis=-1)
 
 
-def _search(layout: _Layout, pivots: np.ndarray, k: int, mine: list[int]) -> tuple[_Best, np.ndarray]:
-    """The best ``k`` candidates besides itself of every point in the blocks ``mine``, and the numbers of those points.
+def _search(layout: _Layout, pivots: np.ndarray, k: int, mine: list[int]) -> _Best:
+    """The best ``k`` candidates besides itself of every point in the blocks ``mine``.
 
     Distances are first taken from products in single precision. All pairs that can be among the best by a bound of the rounding error are
     computed from differences, so the neighbours are exact. Where too many pairs pass, points spread too widely for single precision: products
@@ -285,6 +284,7 @@ def _search(layout: _Layout, pivots: np.ndarray, k: int, mine: list[int]) -> tup
     own = {j: layout.read(j) for j in mine}
     x = np.concatenate([own[j][0] for j in mine])
     numbers = np.concatenate([layout.starts[j] + np.arange(layout.sizes[j]) for j in mine])
+    names = np.concatenate([own[j][1] for j in mine])
     middle = pivots[np.isfinite(pivots).all(axis=1)].mean(axis=0) if np.isfinite(pivots).all(axis=1).any() else np.zeros(width)
     best = _Best(len(x), k)
     to_pivots = _distances(x, pivots)
@@ -305,12 +305,12 @@ def _search(layout: _Layout, pivots: np.ndarray, k: int, mine: list[int]) -> tup
         longest = np.sqrt(np.fmax.reduce((b * b).sum(axis=1), initial=0.0))
         return (width + 16) * rounding * (np.sqrt((a * a).sum(axis=1)) + longest) ** 2
 
-    def passing(near: np.ndarray, worst: np.ndarray, loose: np.ndarray) -> np.ndarray:
+    def passing(near: np.ndarray, worst: np.ndarray, loose: np.ndarray, lone: np.ndarray) -> np.ndarray:
         """Places in ``near`` that can be among the best, where ``worst`` is the distance of the worst kept so far."""
         limit = worst * worst * (1 + 1e-9) + loose
         if np.isinf(worst).any() and near.shape[1] > k:
-            # Of k + 1 candidates one may be the query itself.
-            limit = np.minimum(limit, np.partition(near, k, axis=1)[:, k] + 2 * loose)
+            # Of k + 1 candidates one may be the query itself; several may have its name.
+            limit = np.where(lone, np.minimum(limit, np.partition(near, k, axis=1)[:, k] + 2 * loose), limit)
         flags = flag_space[: near.size]
         np.greater(near, np.nextafter(limit.astype(near.dtype), np.inf, dtype=near.dtype)[:, None], out=flags.reshape(near.shape))
         np.logical_not(flags, out=flags)
@@ -334,23 +334,26 @@ def _search(layout: _Layout, pivots: np.ndarray, k: int, mine: list[int]) -> tup
             y_moved = y - middle
             right = products(y_moved, np.float32, False).T
             loose = slack(moved, y_moved, 2.0**-23)
-            center = y.mean(axis=0)
+            center, ordered = y.mean(axis=0), np.sort(p)
             for i in range(0, len(wanted), _CHUNK):
                 rows = wanted[i : i + _CHUNK]
                 near = np.matmul(left[rows], right, out=space[: len(rows) * len(y)].reshape(len(rows), len(y)))
-                hit = passing(near, worst[rows], loose[rows])
+                # Where the block has no second point of the query's name.
+                lone = np.searchsorted(ordered, names[rows], "right") - np.searchsorted(ordered, names[rows]) <= 1
+                hit = passing(near, worst[rows], loose[rows], lone)
                 if len(hit) > 4 * (k + 1) * len(rows):
                     a, b = x[rows] - center, y - center
-                    hit = passing(products(a, np.float64, True) @ products(b, np.float64, False).T, worst[rows], slack(a, b, 2.0**-52))
+                    hit = passing(products(a, np.float64, True) @ products(b, np.float64, False).T, worst[rows], slack(a, b, 2.0**-52), lone)
                 q, c = rows[hit // len(y)], hit % len(y)
                 for h in range(0, len(q), pairs):
                     qs, cs = q[h : h + pairs], c[h : h + pairs]
                     at = layout.starts[j] + cs
-                    self_too = numbers[qs] == at
+                    # Points of one name are no neighbours of each other.
+                    self_too = (numbers[qs] == at) | (names[qs] == p[cs]) & (p[cs] != _NAMELESS)
                     d = np.where(self_too, 0.0, np.sqrt(((x[qs] - y[cs]) ** 2).sum(axis=1)))
                     best.add(qs, d, p[cs], at, w[cs] - self_too)
         best.settle()
-    return best, numbers
+    return best
 
 
 @dataclass
@@ -373,7 +376,7 @@ def _all_neighbours(df: DataFrame, row_id: str, vector: str, k: int, pivots: int
     k = min(k, total - 1)
 
     def searched(mine: list[int]) -> Iterator[pa.RecordBatch]:
-        best, _ = _search(layout, centers, k, mine)
+        best = _search(layout, centers, k, mine)
         # Weights of a query add up to k.
         before = np.cumsum(best.w, axis=1) - best.w
         weights = np.clip(k - before, 0, best.w)
@@ -394,39 +397,77 @@ def _in_order(spark: SparkSession, path: str) -> list[str]:
     return [r["file"] for r in sorted(_files(spark, path, "number"), key=lambda r: r["number"])]
 
 
-def nearest(df: DataFrame, row_id: str, vector: str, k: int, pivots: int = PIVOTS, block: int = BLOCK) -> tuple[DataFrame, DataFrame, int]:
-    """(points, neighbours, k): ``neighbours`` holds ``q, s, d, w`` with the weights of a query adding up to k."""
-    found = _all_neighbours(df, row_id, vector, k, pivots, block)
-    layout = found.layout
+def _names(values: np.ndarray) -> pa.Array:
+    return pa.array(values, pa.int64(), mask=values == _NAMELESS)
 
-    def names(values: np.ndarray) -> pa.Array:
-        return pa.array(values, pa.int64(), mask=values == _NAMELESS)
 
-    def points(mine: list[int]) -> Iterator[pa.RecordBatch]:
+def _points(spark: SparkSession, layout: _Layout) -> DataFrame:
+    """``p, w, h1, h2`` of all points."""
+
+    def read(mine: list[int]) -> Iterator[pa.RecordBatch]:
         for number in mine:
-            v, p, w = layout.read(number)
-            yield pa.RecordBatch.from_pydict({"v": pa.ListArray.from_arrays(np.arange(len(v) + 1) * layout.width, v.ravel()), "p": names(p), "w": pa.array(w)})
+            p, *others = (np.frombuffer(x, np.int64) for x in _stored(layout.files[number], "p", "w", "h1", "h2"))
+            yield pa.RecordBatch.from_arrays([_names(p), *map(pa.array, others)], names=["p", "w", "h1", "h2"])
+
+    return layout.each_group(spark, read, "p long, w long, h1 long, h2 long")
+
+
+def _names_repeat(spark: SparkSession, layout: _Layout) -> bool:
+    """Whether rows with different vectors have the same name."""
+    return not _points(spark, layout).where("p IS NOT NULL").groupBy("p").count().where("count > 1").isEmpty()
 
-    def neighbours(mine: list[int]) -> Iterator[pa.RecordBatch]:
+
+def _named_neighbours(spark: SparkSession, found: _Found, repeated: bool) -> DataFrame:
+    """``q, s, d, w`` by names; points of one name are one query, whose nearest come from those of all."""
+    layout, k = found.layout, found.k
+
+    def read(mine: list[int]) -> Iterator[pa.RecordBatch]:
         for number in mine:
             at, d, w = found.read(number)
             q = np.repeat(np.frombuffer(_stored(layout.files[number], "p")[0], np.int64), at.shape[1])
             used = w.ravel() > 0
             s = layout.gathered(layout.files, "p", at.ravel()[used])
-            yield pa.RecordBatch.from_pydict({"q": names(q[used]), "s": names(s), "d": pa.array(d.ravel()[used]), "w": pa.array(w.ravel()[used])})
+            yield pa.RecordBatch.from_pydict({"q": _names(q[used]), "s": _names(s), "d": pa.array(d.ravel()[used]), "w": pa.array(w.ravel()[used])})
 
-    spark = df.sparkSession
-    return layout.each_group(spark, points, "v array<double>, p long, w long"), layout.each_group(spark, neighbours, "q long, s long, d double, w long"), found.k
+    rows = layout.each_group(spark, read, "q long, s long, d double, w long")
+    if not repeated:
+        return rows
+    order = Window.partitionBy("q").orderBy("d", "s").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("w").over(order), F.lit(0))
+    return rows.withColumn("before", before).where(F.col("before") < k).select("q", "s", "d", F.least(F.col("w"), k - F.col("before")).alias("w"))
 
 
-def local_outlier_factor(
-    df: DataFrame, row_id: str, vector: str, k: int = NEIGHBORS, limit: float = LIMIT, pivots: int = PIVOTS, block: int = BLOCK,
-) -> DataFrame:
-    """``id, lof, label`` for every row: -1 where the factor exceeds ``limit``."""
+def nearest(df: DataFrame, row_id: str, vector: str, k: int, pivots: int = PIVOTS, block: int = BLOCK) -> tuple[DataFrame, DataFrame, int]:
+    """(points, neighbours, k): ``neighbours`` holds ``q, s, d, w`` with the weights of a query adding up to k."""
     spark = df.sparkSession
     found = _all_neighbours(df, row_id, vector, k, pivots, block)
     layout = found.layout
 
+    def points(mine: list[int]) -> Iterator[pa.RecordBatch]:
+        for number in mine:
+            v, p, w = layout.read(number)
+            yield pa.RecordBatch.from_pydict({"v": pa.ListArray.from_arrays(np.arange(len(v) + 1) * layout.width, v.ravel()), "p": _names(p), "w": pa.array(w)})
+
+    return layout.each_group(spark, points, "v array<double>, p long, w long"), _named_neighbours(spark, found, _names_repeat(spark, layout)), found.k
+
+
+def _factors_by_name(spark: SparkSession, found: _Found) -> DataFrame:
+    """``h1, h2, lof`` where rows with different vectors have the same name: these are one point with many places."""
+    neighbours = settled(_named_neighbours(spark, found, True))
+    slot = F.pmod(F.xxhash64("q"), F.lit(_SLOTS))
+    distance = neighbours.groupBy("q").agg(F.max("d").alias("kd")).withColumnRenamed("q", "s")
+    reach = attach_by_slot(neighbours, distance, ["s"], slot).withColumn("reach", F.greatest("kd", "d"))
+    density = reach.groupBy("q").agg((1.0 / (F.sum(F.col("reach") * F.col("w")) / F.sum("w") + 1e-10)).alias("lrd"))
+    around = attach_by_slot(neighbours, density.select(F.col("q").alias("s"), F.col("lrd").alias("lrd_s")), ["s"], slot)
+    mean = around.groupBy("q").agg((F.sum(F.col("lrd_s") * F.col("w")) / F.sum("w")).alias("mean_lrd"))
+    factor = mean.join(density, "q").select(F.col("q").alias("p"), (F.col("mean_lrd") / F.col("lrd")).alias("lof"))
+    return _points(spark, found.layout).join(factor, "p").select("h1", "h2", "lof")
+
+
+def _factors(spark: SparkSession, found: _Found) -> DataFrame:
+    """``h1, h2, lof`` of all points."""
+    layout = found.layout
+
     def of_blocks(mine: list[int], files: list[str], column: str) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """(number, distances, weights, values of the neighbours) of blocks; the values are gathered for all of them at once."""
         known = [found.read(number) for number in mine]
@@ -449,9 +490,21 @@ def local_outlier_factor(
             lrd = np.frombuffer(_stored(dense[number], "lrd")[0], np.float64)
             mean = np.where(w > 0, around * w, 0.0).sum(axis=1) / w.sum(axis=1)
             h1, h2 = (pa.array(np.frombuffer(x, np.int64)) for x in _stored(layout.files[number], "h1", "h2"))
-            yield pa.RecordBatch.from_arrays([h1, h2, pa.array(mean / lrd)], names=["h1", "h2", "lof"])
+            # A vector with a missing or infinite number has no factor.
+            with np.errstate(divide="ignore", invalid="ignore"):
+                factor = mean / lrd
+            yield pa.RecordBatch.from_arrays([h1, h2, pa.array(factor, mask=~np.isfinite(factor))], names=["h1", "h2", "lof"])
+
+    return layout.each_group(spark, factors, "h1 long, h2 long, lof double")
+
 
-    per_vector = layout.each_group(spark, factors, "h1 long, h2 long, lof double")
+def local_outlier_factor(
+    df: DataFrame, row_id: str, vector: str, k: int = NEIGHBORS, limit: float = LIMIT, pivots: int = PIVOTS, block: int = BLOCK,
+) -> DataFrame:
+    """``id, lof, label`` for every row: -1 where the factor exceeds ``limit``."""
+    spark = df.sparkSession
+    found = _all_neighbours(df, row_id, vector, k, pivots, block)
+    per_vector = _factors_by_name(spark, found) if _names_repeat(spark, found.layout) else _factors(spark, found)
     names = df.select(F.col(row_id).alias("id"), _vector(vector).alias("v")).select("id", *_digest())
     # Many rows may share a vector, so the join back is spread by id.
     out = attach_by_slot(names, per_vector, ["h1", "h2"], F.pmod(F.xxhash64("id"), F.lit(_SLOTS)))

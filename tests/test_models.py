@@ -160,16 +160,38 @@ def test_neighbours_at_equal_distances_are_taken_by_name(spark, shift, scale):
     assert sorted((r["p"], tuple(r["v"]), r["w"]) for r in points.collect()) == [(i, tuple(row), 1) for i, row in enumerate(x.tolist())]
 
 
-def test_lof_of_rows_without_a_name_and_with_repeated_ones(spark):
+def test_lof_of_rows_without_a_name(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(50, 3))
-    ids = [None, None, *range(2, 30), *range(10, 30)]
+    ids = [None, None, *range(2, 50)]
     df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in zip(ids, x, strict=True)], "id long, v array<double>")
     got = lof.local_outlier_factor(df, "id", "v", 6, pivots=4, block=16).collect()
     assert sorted(r["lof"] for r in got) == pytest.approx(sorted(_brute_lof(x, 6)), rel=1e-9)
     assert sorted(str(r["id"]) for r in got) == sorted(map(str, ids))
 
 
+@pytest.mark.parametrize("odd", [float("nan"), float("inf"), None])
+def test_a_vector_with_an_odd_number_has_no_factor_and_changes_no_other(spark, odd):
+    x = np.random.default_rng(6).normal(size=(50, 3))
+    df = spark.createDataFrame([*((i, [float(v) for v in row]) for i, row in enumerate(x)), (50, [odd, 0.0, 0.0])], "id long, v array<double>")
+    got = {r["id"]: (r["lof"], r["label"]) for r in lof.local_outlier_factor(df, "id", "v", 6, pivots=4, block=16).collect()}
+    assert got.pop(50) == (None, 1) and [got[i][0] for i in range(50)] == pytest.approx(list(_brute_lof(x, 6)), rel=1e-9)
+
+
+@pytest.mark.parametrize("block", [7, 100])
+def test_rows_of_one_name_are_one_point_with_many_places(spark, block):
+    rng = np.random.default_rng(6)
+    x, k = rng.normal(size=(60, 3)), 6
+    names = np.arange(60) // 3
+    df = spark.createDataFrame([(int(i), [float(v) for v in row]) for i, row in zip(names, x, strict=True)], "id long, v array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    near = [sorted((d[i, j], names[j]) for i in np.flatnonzero(names == n) for j in np.flatnonzero(names != n))[:k] for n in range(20)]
+    lrd = np.array([1 / (np.mean([max(e, near[s][-1][0]) for e, s in row]) + 1e-10) for row in near])
+    expected = np.array([np.mean([lrd[s] for _, s in row]) for row in near]) / lrd
+    got = lof.local_outlier_factor(df, "id", "v", k, pivots=4, block=block).collect()
+    assert len(got) == 60 and [r["lof"] for r in sorted(got, key=lambda r: r["id"])] == pytest.approx(list(np.repeat(expected, 3)), rel=1e-9)
+
+
 def test_one_class_threshold_is_the_nu_quantile(spark, clusters):
     model = ocsvm.fit(clusters, FEATURES, nu=0.1, epochs=5, components=64)
     out = model.score(clusters)
